@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.plans.tables import read
 
 from .near_copies import near_copy_classes, near_copy_pairs
+from .neighbours import nearest
 
 NEAR = {"similarity": 0.6, "shingle": 3, "min_words": 20}
 
@@ -20,5 +21,10 @@ def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
     return near_copy_classes(read(spark, sf, "store_documents", "doc_id", "content"), "doc_id", "content", **NEAR).withColumnRenamed("id", "doc_id")
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    lists = nearest(read(spark, sf, "multimodal_documents", "id", "embedding"), "id", "embedding", 96, 10, 0.7)
+    return lists.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
