@@ -1,17 +1,19 @@
 """Problem 4: the most similar vectors for every vector.
 
-Index: p-stable hashing. Each of ``tables`` tables has m Gaussian projections of the unit vector, shifted and cut into cells of
-width w; the m cells name a bucket. A vector is filed in its own bucket and in the ``probes - 1`` neighbouring buckets that are
-likeliest to hold its neighbours: moving projection i by one cell costs the squared distance to that wall, and sets of moves are
-visited in the order of their summed cost (query-directed multiprobe). Vectors of a bucket are compared by 128-bit sign
-sketches, 16 bytes instead of the vector, as a matrix product; per vector and bucket the nearest ``keep`` whose sketch does not
-rule out ``min_similarity`` are candidates. Candidates of all tables are merged and reranked by the exact cosine in double
-precision.
-
-Scale: m grows with the logarithm of the number of vectors, so that the expected bucket stays near ``bucket_rows`` rows times
-(n / 100,000)^0.3. A bucket of more than ``hot_rows`` rows is cut into tiles by a salt; rows are sent to all pairs of tiles
-they belong to, so no task holds more than two tiles and all pairs of the bucket are still compared. Vectors are shuffled for
-reranking once per group of candidates, not once per pair. Exactly equal vectors are one vector until the very end.
+Index: p-stable hashing. A table has m Gaussian projections of the unit vector, shifted and cut into cells of width w; the m
+cells name a bucket. A vector is filed in its own bucket and in the neighbouring buckets likeliest to hold its neighbours: moving
+projection i by one cell costs the squared distance to that wall, and sets of moves are visited in the order of their summed cost
+(query-directed multiprobe). As every vector is filed under all its probes, two vectors meet where any of their probes agree.
+
+There are two levels, so that a vector is shipped only ``probes`` times. A coarse table of few projections decides where vectors
+go; within a coarse bucket, ``tables`` fine tables of more projections are visited in memory, by multiprobe again, and vectors
+that meet in a fine bucket are compared as a matrix product. The candidates of all tables are merged and reranked by the exact
+cosine in double precision.
+
+Scale: coarse buckets hold about ``coarse_rows`` rows times the square root of (n / 100,000), fine ones about ``fine_rows``, so
+a vector is compared with a number that grows far slower than n. A coarse bucket of more than ``hot_rows`` rows is cut into tiles
+by a hash; rows are sent to all pairs of tiles they belong to, so no task holds more than two tiles and all pairs of the bucket
+can still meet. Exactly equal vectors share all their buckets and are one vector there, named by the smallest id, until the end.
 
 Only arrays of ``dim`` finite values, not all zero, take part; null, empty, shorter, longer, NaN or zero vectors give no rows.
 Ties in similarity (rounded to 6 decimals) go to the smaller id. An empty table gives an empty result.
@@ -32,7 +34,8 @@ from skein.plans.tables import written
 
 from .words import mix
 
-SKETCH_BITS = 128
+WIDTH = 3.5  # of a cell, in standard deviations of a projection of a random unit vector
+PER_HALVING = 2.9  # projections that halve a bucket, counting its probes; measured on random unit vectors
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
@@ -52,242 +55,198 @@ def _move_sets(m: int) -> list[tuple[int, ...]]:
     return [(), *((i,) for i in range(n)), *itertools.combinations(range(min(n, 6)), 2), *itertools.combinations(range(min(n, 4)), 3)]
 
 
-class Hashing:
-    """Tables of p-stable hash functions for unit vectors of ``dim`` numbers."""
-
-    def __init__(self, dim: int, m: int, width: float, tables: int, probes: int, seed: int):
-        self.dim, self.m, self.width, self.tables, self.probes, self.seed = dim, m, width, tables, probes, seed
+class Table:
+    """One table of p-stable hash functions for unit vectors of ``dim`` numbers."""
 
-    def draw(self) -> None:
-        rng = np.random.default_rng(self.seed)
-        self.signs = rng.normal(size=(self.dim, SKETCH_BITS)).astype(np.float32)
-        self.axes = [np.linalg.qr(rng.normal(size=(self.dim, self.m)))[0].astype(np.float32) * math.sqrt(self.dim) for _ in range(self.tables)]
-        self.shifts = [rng.uniform(0, self.width, self.m).astype(np.float32) for _ in range(self.tables)]
+    def __init__(self, dim: int, m: int, probes: int, seed: int, width: float = WIDTH):
+        rng = np.random.default_rng(seed)
+        self.m, self.width = min(m, dim), width
+        self.axes = (np.linalg.qr(rng.normal(size=(dim, self.m)))[0] * math.sqrt(dim)).astype(np.float32)
+        self.shift = rng.uniform(0, width, self.m).astype(np.float32)
         self.mult = rng.integers(1, 1 << 62, self.m).astype(np.uint64) | np.uint64(1)
+        self.salt = np.array([seed], np.uint64)
         self.sets = _move_sets(self.m)
-
-    def sketch(self, x: np.ndarray) -> np.ndarray:
-        """128 signs of random projections as two longs."""
-        return np.packbits(x @ self.signs > 0, axis=1).view(np.int64)
+        self.probes = min(probes, len(self.sets))
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
-        """The ``probes`` buckets of each unit vector in each table, in the estimated order of success, as (n, tables * probes) longs."""
-        out = []
-        for t in range(self.tables):
-            p = x @ self.axes[t] + self.shifts[t]
-            cell = np.floor(p / self.width)
-            low = p - cell * self.width
-            cost = np.concatenate([low**2, (self.width - low) ** 2], 1)
-            ranks = np.argsort(cost, 1)[:, : min(8, 2 * self.m)]
-            sorted_cost = np.take_along_axis(cost, ranks, 1)
-            total = np.zeros((len(x), len(self.sets)), np.float32)
-            for i, s in enumerate(self.sets):
-                if s:
-                    total[:, i] = sorted_cost[:, list(s)].sum(1)
-                    for a, b in itertools.combinations(s, 2):  # both walls of one cell can't be crossed at once
-                        total[(ranks[:, a] % self.m) == (ranks[:, b] % self.m), i] = np.inf
-            best = np.argsort(total, 1, kind="stable")[:, : self.probes]
-            home = (cell.astype(np.int64).view(np.uint64) * self.mult).sum(1)
-            step = np.concatenate([np.negative(self.mult.view(np.int64)).view(np.uint64), self.mult])
-            moved = np.zeros((len(x), len(self.sets)), np.uint64)
-            for i, s in enumerate(self.sets):
-                for j in s:
-                    moved[:, i] += step[ranks[:, j]]
-            out.append(mix(home[:, None] + np.take_along_axis(moved, best, 1) + np.uint64((t + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1)))
-        return np.concatenate(out, 1).view(np.int64)
-
-
-def _file(hashing: Hashing):
+        """The probed buckets of each unit vector in the estimated order of success, as (n, probes) longs."""
+        p = x @ self.axes + self.shift
+        cell = np.floor(p / self.width)
+        low = p - cell * self.width
+        cost = np.concatenate([low**2, (self.width - low) ** 2], 1)
+        ranks = np.argsort(cost, 1)[:, : min(8, 2 * self.m)]
+        cost = np.take_along_axis(cost, ranks, 1)
+        step = np.concatenate([np.uint64(0) - self.mult, self.mult])[ranks]
+        total = np.zeros((len(x), len(self.sets)), np.float32)
+        moved = np.zeros((len(x), len(self.sets)), np.uint64)
+        for i, s in enumerate(self.sets):
+            for j in s:
+                total[:, i] += cost[:, j]
+                moved[:, i] += step[:, j]
+            for a, b in itertools.combinations(s, 2):  # both walls of one cell can't be crossed at once
+                total[(ranks[:, a] % self.m) == (ranks[:, b] % self.m), i] = np.inf
+        best = np.argsort(total, 1, kind="stable")[:, : self.probes]
+        home = (cell.astype(np.int64).view(np.uint64) * self.mult).sum(1)
+        return mix(home[:, None] + np.take_along_axis(moved, best, 1) + mix(self.salt)).view(np.int64)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _file(dim: int, m: int, probes: int, seed: int):
+    """Vectors under their coarse buckets; of equal vectors of a batch the smallest id stands for all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashing.draw()
+        table = Table(dim, m, probes, seed, COARSE_WIDTH)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                _, once = np.unique(np.asarray(batch.column(0)), return_index=True)
-                batch = batch.take(pa.array(once))
-                x = matrix(batch.column(1), hashing.dim)
-                x = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
-                b, s = hashing.buckets(x), hashing.sketch(x)
+                ids = np.asarray(batch.column(0).to_pylist(), object)
+                order = np.argsort(ids)
+                _, once = np.unique(np.asarray(batch.column(1))[order], return_index=True)
+                once = order[once]
+                x = matrix(batch.column(2), dim)[once]
+                b = table.buckets(unit(x).astype(np.float32))
                 n = b.shape[1]
-                key = np.asarray(batch.column(0))
-                yield pa.record_batch([pa.array(b.ravel()), *(pa.array(np.repeat(c, n)) for c in (key, s[:, 0], s[:, 1]))], names=["bucket", "k", "s1", "s2"])
-
-    return run, "bucket bigint, k bigint, s1 bigint, s2 bigint"
-
-
-def _signs(s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
-    both = np.stack([s1, s2], 1)
-    return np.unpackbits(both.view(np.uint8).reshape(len(s1), 16), axis=1).astype(np.float32) * 2 - 1
-
-
-def _nearest(k1, x1, k2, x2, same: bool, floor: float, keep: int):
-    """Candidates between two tiles of a bucket: rows of the first with their ``keep`` nearest of the second by sketch."""
-    for lo in range(0, len(k1), 1024):
-        dots = x1[lo : lo + 1024] @ x2.T
-        if same:
-            dots[np.arange(len(dots)), np.arange(lo, lo + len(dots))] = -1e9
-        if keep < dots.shape[1]:
-            cut = np.partition(dots, dots.shape[1] - keep, axis=1)[:, dots.shape[1] - keep] if (dots >= floor).sum() > keep * 8 else np.full(len(dots), floor, np.float32)
-            i, j = np.nonzero(dots >= np.maximum(cut, floor)[:, None])
-        else:
-            i, j = np.nonzero(dots >= floor)
-        yield k1[lo + i], k2[j]
-
-
-def _compare(floor: float, keep: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def of(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        _, first = np.unique(g["k"] if len(g) < 2 else g["k"] * 2 + g["tile"], return_index=True)
-        g = g[first]
-        x = _signs(g["s1"], g["s2"])
-        left, right = g["tile"] == 0, g["tile"] == 1
-        found = []
-        if right.any():
-            found += _nearest(g["k"][left], x[left], g["k"][right], x[right], False, floor, keep)
-            found += _nearest(g["k"][right], x[right], g["k"][left], x[left], False, floor, keep)
-        elif len(g) > 1:
-            found += _nearest(g["k"], x, g["k"], x, True, floor, keep)
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b = (np.concatenate(c) for c in zip(*found, strict=True))
-        return np.minimum(a, b), np.maximum(a, b)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        pairs: list[np.ndarray] = []
+                rows = [r.tobytes() for r in x]
+                yield pa.record_batch(
+                    [pa.array(b.ravel()), pa.array(np.repeat(ids[once], n), pa.string()), pa.array(np.repeat(np.asarray(batch.column(1))[once], n)), pa.array([r for r in rows for _ in range(n)], pa.binary())],
+                    names=["bucket", "id", "k", "v"],
+                )
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if pairs:
-                both = np.unique(np.concatenate(pairs, 1).T.copy().view([("a", np.int64), ("b", np.int64)]).ravel())
-                pairs.clear()
-                yield pa.record_batch([pa.array(both["a"]), pa.array(both["b"])], schema=schema)
+    return run, "bucket bigint, id string, k bigint, v binary"
 
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                g = np.zeros(batch.num_rows, [("bucket", np.int64), ("part", np.int64), ("tile", np.int64), ("k", np.int64), ("s1", np.int64), ("s2", np.int64)])
-                for i, c in enumerate(g.dtype.names):
-                    g[c] = np.asarray(batch.column(i))
-                rest = g if rest is None else np.concatenate([rest, g])
-            if rest is None or not len(rest):
-                continue
-            edge = np.flatnonzero((rest["bucket"][1:] != rest["bucket"][:-1]) | (rest["part"][1:] != rest["part"][:-1])) + 1
-            bounds = [0, *edge.tolist(), *([len(rest)] if batch is None else [])]
-            for lo, hi in itertools.pairwise(bounds):
-                if hi - lo > 1:
-                    a, b = of(rest[lo:hi])
-                    if len(a):
-                        pairs.append(np.stack([a, b]))
-                        if sum(p.shape[1] for p in pairs) > 1 << 18:
-                            yield from flush()
-            rest = rest[bounds[-1] :].copy()
-        yield from flush()
 
-    return run, "a bigint, b bigint"
+COARSE_WIDTH = 3.0
 
 
-def _spread(rows: DataFrame, hot_rows: int) -> DataFrame:
-    """(bucket, part, tile, k, s1, s2): buckets as they are, hot ones cut into tiles and rows sent to every pair of tiles.
+def _tiled(rows: DataFrame, hot_rows: int) -> DataFrame:
+    """(bucket, part, tile, k, id, v): buckets as they are, hot ones cut into tiles and rows sent to every pair of tiles.
 
     Which buckets are hot comes from a count over all rows; the join with those few is planned by their size.
     """
     hot = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("bucket", F.ceil(F.col("n") / (hot_rows / 2)).cast("int").alias("tiles"))
     joined = rows.join(hot, "bucket", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    mine = F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int")
     other = F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    return (
-        joined.withColumn("mine", mine)
-        .withColumn("other", other)
-        .select(
-            "bucket",
-            (F.least("mine", "other") * F.col("tiles") + F.greatest("mine", "other")).cast("long").alias("part"),
-            F.when(F.col("mine") > F.col("other"), 1).otherwise(0).cast("long").alias("tile"),
-            "k", "s1", "s2",
-        )
-    )
-
-
-def _rerank(dim: int, min_similarity: float | None):
+    placed = joined.withColumn("mine", F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int")).withColumn("other", other)
+    part = F.least("mine", "other") * F.col("tiles") + F.greatest("mine", "other")
+    return placed.select("bucket", part.cast("long").alias("part"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).cast("long").alias("tile"), "k", "id", "v")
+
+
+def _near_in(x: np.ndarray, groups: Iterator[np.ndarray], k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, other row) that meet in some group: of each row and group the ``k`` most similar beyond ``floor``, ties included."""
+    left, right = [], []
+    for g in groups:
+        y = x[g]
+        for lo, co in itertools.product(range(0, len(g), 2048), range(0, len(g), 8192)):
+            dots = y[lo : lo + 2048] @ y[co : co + 8192].T
+            i = np.arange(max(lo, co), min(lo + len(dots), co + dots.shape[1]))
+            dots[i - lo, i - co] = -2
+            low = np.full(len(dots), floor, np.float32)
+            many = np.flatnonzero((dots >= floor).sum(1) > k + 4)
+            if len(many):
+                low[many] = np.partition(dots[many], dots.shape[1] - k, axis=1)[:, dots.shape[1] - k] - 2e-6
+            i, j = np.nonzero(dots >= low[:, None])
+            left.append(g[lo + i])
+            right.append(g[co + j])
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    both = np.unique(np.concatenate(left) * len(x) + np.concatenate(right))
+    return both // len(x), both % len(x)
+
+
+def _visit(dim: int, k: int, min_similarity: float | None, tables: int, probes: int, fine_rows: int, seed: int):
+    floor = -1.5 if min_similarity is None else min_similarity - 2e-6
+
+    def groups(x: np.ndarray) -> Iterator[np.ndarray]:
+        if len(x) <= fine_rows:
+            yield np.arange(len(x))
+            return
+        for t in range(tables):
+            table = Table(dim, projections(len(x), fine_rows), probes, seed + 1000 + t)
+            b = np.concatenate([table.buckets(x[lo : lo + 4096]) for lo in range(0, len(x), 4096)]).ravel()
+            who = np.repeat(np.arange(len(x)), table.probes)
+            order = np.argsort(b, kind="stable")
+            for g in np.split(who[order], np.flatnonzero(np.diff(b[order])) + 1):
+                if len(g) > 1:
+                    yield g
+
+    def of(rows: np.ndarray, ids: list[str], blobs: list[bytes]) -> tuple[list, list, np.ndarray]:
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        _, once = np.unique(rows["k"][order], return_index=True)
+        keep = [order[i] for i in once]
+        exact = unit(np.frombuffer(b"".join([blobs[i] for i in keep]), "<f4").reshape(-1, dim))
+        i, j = _near_in(exact.astype(np.float32), groups(exact.astype(np.float32)), k, floor)
+        s = np.concatenate([np.zeros(0), *((exact[i[lo : lo + 65536]] * exact[j[lo : lo + 65536]]).sum(1) for lo in range(0, len(i), 65536))])
+        s = np.round(s, 6)
+        if len(i):  # the k best of each row over all tables, ties included
+            order = np.lexsort((-s, i))
+            i, j, s = i[order], j[order], s[order]
+            begin = np.flatnonzero(np.diff(i, prepend=-1))
+            last = np.minimum(begin + k, np.append(begin[1:], len(i))) - 1
+            ok = (s >= np.repeat(s[last], np.diff(np.append(begin, len(i))))) & (s >= (-1.5 if min_similarity is None else min_similarity))
+            i, j, s = i[ok], j[ok], s[ok]
+        name = [ids[q] for q in keep]
+        return [name[q] for q in i.tolist()], [name[q] for q in j.tolist()], s
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors, pairs = batch.column(0), batch.column(1)
-            flat, twos = vectors.flatten(), pairs.flatten()
-            k = np.asarray(flat.field("k"))
-            x = matrix(flat.field("v"), dim).astype(np.float64)
-            x /= np.sqrt((x * x).sum(1, keepdims=True))
-            a, b = (np.asarray(twos.field(c)) for c in "ab")
-            lens_v, lens_p = (np.asarray(c.value_lengths()) for c in (vectors, pairs))
-            at_v, at_p, out = 0, 0, []
-            for nv, np_ in zip(lens_v, lens_p, strict=True):
-                order = np.argsort(k[at_v : at_v + nv]) + at_v
-                i, j = (order[np.searchsorted(k[order], c[at_p : at_p + np_])] for c in (a, b))
-                out.append((x[i] * x[j]).sum(1))
-                at_v, at_p = at_v + nv, at_p + np_
-            s = np.round(np.concatenate(out), 6) if out else np.zeros(0)
-            ok = slice(None) if min_similarity is None else s >= min_similarity
-            yield pa.record_batch([pa.array(a[ok]), pa.array(b[ok]), pa.array(s[ok])], names=["a", "b", "similarity"])
-
-    return run, "a bigint, b bigint, similarity double"
-
-
-def _exact(pairs: DataFrame, vectors: DataFrame, dim: int, min_similarity: float | None, group_rows: int = 256) -> DataFrame:
-    """(a, b, similarity) for candidate pairs, a < b.
-
-    Pairs are gathered into groups that share most vectors, named by the smallest candidate of their first vector and cut by a
-    salt into parts of about ``group_rows`` first vectors, so that a vector travels once to each group instead of once to each pair.
-    """
-    label = pairs.groupBy("a").agg(F.min("b").alias("m")).unionByName(pairs.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "a")).groupBy("a").agg(F.least(F.min("m"), F.col("a")).alias("m"))
-    parts = label.groupBy("m").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("parts"))
-    group = label.join(parts, "m").select("a", F.xxhash64("m", F.pmod(F.xxhash64("a"), F.col("parts"))).alias("g"))
-    placed = pairs.join(group, "a")
-    need = placed.select("g", F.col("a").alias("k")).unionByName(placed.select("g", F.col("b").alias("k"))).distinct()
-    groups = need.join(vectors, "k").groupBy("g").agg(F.collect_list(F.struct("k", "v")).alias("vectors"))
-    run, schema = _rerank(dim, min_similarity)
-    return groups.join(placed.groupBy("g").agg(F.collect_list(F.struct("a", "b")).alias("pairs")), "g").select("vectors", "pairs").mapInArrow(run, schema)
+        kinds = [("bucket", np.int64), ("part", np.int64), ("k", np.int64)]
+        rest, ids, blobs = np.zeros(0, kinds), [], []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                g = np.zeros(batch.num_rows, kinds)
+                for c in g.dtype.names:
+                    g[c] = np.asarray(batch.column(c))
+                rest = np.concatenate([rest, g])
+                ids += batch.column("id").to_pylist()
+                blobs += batch.column("v").to_pylist()
+            edge = np.flatnonzero((rest["bucket"][1:] != rest["bucket"][:-1]) | (rest["part"][1:] != rest["part"][:-1])) + 1
+            bounds = [0, *edge.tolist(), *([len(rest)] if batch is None and len(rest) else [])]
+            for lo, hi in itertools.pairwise(bounds):
+                if hi - lo > 1:
+                    a, b, s = of(rest[lo:hi], ids[lo:hi], blobs[lo:hi])
+                    if len(a):
+                        yield pa.record_batch([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(s)], names=["a", "b", "similarity"])
+            rest, ids, blobs = rest[bounds[-1] :].copy(), ids[bounds[-1] :], blobs[bounds[-1] :]
 
+    return run, "a string, b string, similarity double"
 
-def projections(n: int, bucket_rows: int) -> int:
-    """The number of projections of a table for ``n`` vectors: one more for every doubling beyond the bucket size wanted."""
-    wanted = bucket_rows * max(1.0, n / 100_000) ** 0.3
-    return max(6, min(40, round(PER_HALVING * math.log2(max(2.0, n / wanted)))))
 
+def projections(n: int, rows: float) -> int:
+    """The number of projections of a table of ``n`` vectors for buckets of about ``rows``."""
+    return max(4, min(48, round(PER_HALVING * math.log2(max(2.0, n / rows)))))
 
-PER_HALVING = 2.9  # projections of the default width that halve a bucket, counting its probes; measured on random unit vectors
 
+def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 10, min_similarity: float | None = None, probes: int = 3, coarse_rows: int = 32_000, tables: int = 4, fine_probes: int = 6, fine_rows: int = 1000, hot_rows: int = 250_000, seed: int = 11) -> DataFrame:
+    """(id, neighbour, similarity, rank): for every usable vector its ``k`` most similar others of ``min_similarity`` or more, rank from 1."""
+    base = usable(df, id_col, vector_col, dim).select("id", F.xxhash64("v").alias("k"), "v")
+    n = max(1, base.select("k").count())
+    m = max(2, min(24, round(COARSE_PER_HALVING * math.log2(max(1.0, n / (coarse_rows * max(1.0, n / 100_000) ** 0.5))))))
+    run, schema = _file(dim, m, probes, seed)
+    rows = _tiled(base.mapInArrow(run, schema), hot_rows)
+    run, schema = _visit(dim, k, min_similarity, tables, fine_probes, fine_rows, seed)
+    sims = rows.drop("tile").repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(run, schema)
+    best = sims.repartition("a").dropDuplicates(["a", "b"]).withColumn("r", F.rank().over(Window.partitionBy("a").orderBy(F.desc("similarity")))).where(F.col("r") <= k).drop("r")
+    return _lists(base.select("id", "k"), written(best), k)
 
-def nearest(
-    df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 10, min_similarity: float | None = None, tables: int = 3, probes: int = 6, width: float = 3.5, bucket_rows: int = 4000, keep: int = 24, slack: float = 2.6, hot_rows: int = 16_000, seed: int = 11
-) -> DataFrame:
-    """(id, neighbour, similarity, rank): for every usable vector its ``k`` most similar others of ``min_similarity`` or more, rank from 1.
 
-    ``slack`` is how many standard deviations a sketch may fall short of ``min_similarity`` and still be a candidate.
-    """
-    base = usable(df, id_col, vector_col, dim).withColumn("k", F.xxhash64("v"))
-    hashing = Hashing(dim, projections(base.select("k").count(), bucket_rows), width, tables, probes, seed)
-    if min_similarity is None:
-        floor = -1e8
-    else:
-        p = 1 - math.acos(max(-1.0, min(1.0, min_similarity))) / math.pi
-        floor = SKETCH_BITS * (2 * p - 1) - slack * 2 * math.sqrt(SKETCH_BITS * p * (1 - p))
-    run, schema = _file(hashing)
-    rows = _spread(base.select("k", "v").mapInArrow(run, schema), hot_rows)
-    run, schema = _compare(floor, keep)
-    pairs = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(run, schema).distinct()
-    pairs = written(pairs)
-    sims = _exact(pairs, base.groupBy("k").agg(F.first("v").alias("v")), dim, min_similarity)
-    sims = written(sims)
-    return _lists(base.select("id", "k"), sims, k)
-
-
-def _lists(ids: DataFrame, sims: DataFrame, k: int) -> DataFrame:
-    """The k best of every id from similarities between distinct vectors. Of a vector stored many times only its k + 1 smallest ids can be anyone's neighbour."""
-    first = ids.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("id"))).where(F.col("r") <= k + 1).select("k", "id")
-    both = sims.unionByName(sims.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    best = both.withColumn("r", F.rank().over(Window.partitionBy("a").orderBy(F.desc("similarity")))).where(F.col("r") <= k)
-    near = best.select("a", F.col("b").alias("k"), "similarity").join(first, "k").select(F.col("a").alias("k"), F.col("id").alias("neighbour"), "similarity")
-    copies = first.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    own = first.join(copies, "k", "left_semi").select("k", F.col("id").alias("neighbour"), F.lit(1.0).alias("similarity"))
+COARSE_PER_HALVING = 2.6
+
+
+def _lists(ids: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """The k best of every id, from the best of one id of each set of equal vectors. Of a vector stored many times only the k + 1
+    smallest ids can be anyone's neighbour, so only those are expanded."""
+    again = ids.join(ids.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where("n > 1").select("k", "rep"), "k").select("rep", "id")
+    again = written(again)
+    first = again.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1).groupBy("rep").agg(F.collect_list("id").alias("ids"))
     order = [F.desc("similarity"), F.asc("neighbour")]
-    listed = near.unionByName(own).withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(*order))).where(F.col("r") <= k + 1)
-    each = ids.join(listed, "k").where(F.col("id") != F.col("neighbour"))
-    return each.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(F.col("rank") <= k).select("id", "neighbour", "similarity", "rank")
+    near = best.join(first.withColumnRenamed("rep", "b"), "b", "left").select("a", F.explode(F.coalesce("ids", F.array("b"))).alias("neighbour"), "similarity")
+    own = first.select(F.col("rep").alias("a"), F.explode("ids").alias("neighbour"), F.lit(1.0).alias("similarity"))
+    listed = near.unionByName(own).withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(*order))).where(F.col("rank") <= k + 1)
+    copied = first.select(F.col("rep").alias("a"))
+    single = listed.join(copied, "a", "left_anti").where(F.col("rank") <= k).select(F.col("a").alias("id"), "neighbour", "similarity", "rank")
+    members = listed.join(again.withColumnRenamed("rep", "a"), "a").where(F.col("id") != F.col("neighbour"))
+    members = members.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(F.col("rank") <= k).select("id", "neighbour", "similarity", "rank")
+    return single.unionByName(members)
