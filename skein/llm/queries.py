@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from skein.plans.tables import read
 
+from .leaks import leak_spans, leaks, without_leaks
 from .near_copies import near_copy_classes, near_copy_pairs
 from .neighbours import nearest
+from .splitting import pieces, profiled
 
 NEAR = {"similarity": 0.6, "shingle": 3, "min_words": 20}
 
@@ -21,10 +23,38 @@ def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
     return near_copy_classes(read(spark, sf, "store_documents", "doc_id", "content"), "doc_id", "content", **NEAR).withColumnRenamed("id", "doc_id")
 
 
+def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    items = profiled(read(spark, sf, "store_documents", "doc_id", "content", "profile_name"), read(spark, sf, "profiles"))
+    return pieces(items, "doc_id", "content", "chunk_size", "chunk_overlap").withColumnRenamed("id", "doc_id")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every item cut in more than one piece; the second piece tells, so nothing is grouped or shuffled."""
+    return p3_pieces(spark, sf).where("piece_no = 2").select("doc_id").distinct()
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     lists = nearest(read(spark, sf, "multimodal_documents", "id", "embedding"), "id", "embedding", 96, 10, 0.7)
     return lists.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(read(spark, sf, "documents", "doc_id", "text"), read(spark, sf, "eval_items", "item_id", "text"))
+
+
+def p6_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return leak_spans(read(spark, sf, "documents", "doc_id", "text"), read(spark, sf, "eval_items", "item_id", "text"))
+
+
+def p6_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return without_leaks(read(spark, sf, "documents", "doc_id", "text"), read(spark, sf, "eval_items", "item_id", "text"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p3_found": "SELECT d.doc_id FROM store_documents d JOIN profiles p ON p.name = d.profile_name WHERE length(d.content) > p.chunk_size AND p.chunk_overlap < p.chunk_size",
+    }
