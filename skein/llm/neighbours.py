@@ -122,17 +122,19 @@ def _file(dim: int, m: int, probes: int, seed: int):
 COARSE_WIDTH = 3.0
 
 
-def _tiled(rows: DataFrame, hot_rows: int) -> DataFrame:
-    """(bucket, part, tile, k, id, v): buckets as they are, hot ones cut into tiles and rows sent to every pair of tiles.
+def _tiled(rows: DataFrame, n: int, hot_rows: int) -> DataFrame:
+    """(bucket, part, k, id, v): buckets as they are, hot ones cut into tiles and rows sent to every pair of tiles.
 
-    Which buckets are hot comes from a count over all rows; the join with those few is planned by their size.
+    Which buckets are hot comes from a count over all rows. There are at most n / hot_rows of them, so they are broadcast as long as
+    that bound is small, and joined by shuffle beyond it.
     """
     hot = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("bucket", F.ceil(F.col("n") / (hot_rows / 2)).cast("int").alias("tiles"))
+    hot = F.broadcast(hot) if n / hot_rows < 100_000 else hot
     joined = rows.join(hot, "bucket", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     other = F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1)))
     placed = joined.withColumn("mine", F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int")).withColumn("other", other)
     part = F.least("mine", "other") * F.col("tiles") + F.greatest("mine", "other")
-    return placed.select("bucket", part.cast("long").alias("part"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).cast("long").alias("tile"), "k", "id", "v")
+    return placed.select("bucket", part.cast("long").alias("part"), "k", "id", "v")
 
 
 def _near_in(x: np.ndarray, groups: Iterator[np.ndarray], k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
@@ -225,9 +227,9 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 10,
     n = max(1, base.select("k").count())
     m = max(2, min(24, round(COARSE_PER_HALVING * math.log2(max(1.0, n / (coarse_rows * max(1.0, n / 100_000) ** 0.5))))))
     run, schema = _file(dim, m, probes, seed)
-    rows = _tiled(base.mapInArrow(run, schema), hot_rows)
+    rows = _tiled(base.mapInArrow(run, schema), n * probes, hot_rows)
     run, schema = _visit(dim, k, min_similarity, tables, fine_probes, fine_rows, seed)
-    sims = rows.drop("tile").repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(run, schema)
+    sims = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(run, schema)
     best = sims.repartition("a").dropDuplicates(["a", "b"]).withColumn("r", F.rank().over(Window.partitionBy("a").orderBy(F.desc("similarity")))).where(F.col("r") <= k).drop("r")
     return _lists(base.select("id", "k"), written(best), k)
 
