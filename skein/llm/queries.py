@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.plans.tables import read
 
+from .keyword_pages import keyword_pages
 from .leaks import leak_spans, leaks, without_leaks
 from .near_copies import near_copy_classes, near_copy_pairs
 from .neighbours import nearest
@@ -50,6 +51,14 @@ def p6_clean(spark: SparkSession, sf: str) -> DataFrame:
     return without_leaks(read(spark, sf, "documents", "doc_id", "text"), read(spark, sf, "eval_items", "item_id", "text"))
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return keyword_pages(read(spark, sf, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id")
+
+
+def p8_parts(spark: SparkSession, sf: str) -> DataFrame:
+    return keyword_pages(read(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
