@@ -142,15 +142,25 @@ def _near_in(x: np.ndarray, groups: Iterator[np.ndarray], k: int, floor: float)
     left, right = [], []
     for g in groups:
         y = x[g]
-        for lo, co in itertools.product(range(0, len(g), 2048), range(0, len(g), 8192)):
-            dots = y[lo : lo + 2048] @ y[co : co + 8192].T
+        for lo, co in itertools.product(range(0, len(g), 1024), range(0, len(g), 4096)):
+            dots = y[lo : lo + 1024] @ y[co : co + 4096].T
             i = np.arange(max(lo, co), min(lo + len(dots), co + dots.shape[1]))
             dots[i - lo, i - co] = -2
-            low = np.full(len(dots), floor, np.float32)
-            many = np.flatnonzero((dots >= floor).sum(1) > k + 4)
-            if len(many):
-                low[many] = np.partition(dots[many], dots.shape[1] - k, axis=1)[:, dots.shape[1] - k] - 2e-6
-            i, j = np.nonzero(dots >= low[:, None])
+            if floor > -1:  # few pass: one look at the product, and the k best of a row among what passed
+                flat = dots.ravel()
+                at = np.flatnonzero(flat >= floor)
+                i, j = at // dots.shape[1], at % dots.shape[1]
+                if len(i) > k * len(dots):
+                    s = flat[at]
+                    order = np.lexsort((-s, i))
+                    i, j, s = i[order], j[order], s[order]
+                    begin = np.flatnonzero(np.diff(i, prepend=-1))
+                    size = np.diff(np.append(begin, len(i)))
+                    ok = s >= np.repeat(s[begin + np.minimum(k, size) - 1], size) - 2e-6
+                    i, j = i[ok], j[ok]
+            else:
+                low = np.partition(dots, -k, axis=1)[:, -k] - 2e-6 if dots.shape[1] > k else np.full(len(dots), -1.5, np.float32)
+                i, j = np.nonzero(dots >= low[:, None])
             left.append(g[lo + i])
             right.append(g[co + j])
     if not left:
