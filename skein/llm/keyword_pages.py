@@ -9,7 +9,7 @@ of the corpus, which bounds what is broadcast.
 Pages: the words of a text are put down to links, to tags, to repeated collocations, to strings of keywords or to word salad, and
 a page whose sum is more than ``share`` of its words is found.
 
-* A sentence or line is a *repeated collocation* if half of its words or more are in pairs that occur ``repeats`` times or more in
+* A sentence or line is a *repeated collocation* if ``unit_share`` of its letters or more are in pairs that occur ``repeats`` times or more in
   the page although few texts of the corpus hold them.
 * *Strings of keywords* are eight or more items in a row of at most three words, made of words the corpus knows; records and
   tables, whose items are names and numbers, are not.
@@ -65,7 +65,7 @@ def _held(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept: dict[int, list] = {0: [], 1: []}
-    size = texts_seen = 0
+    size = texts_seen = held = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         for kind, parts in kept.items():
@@ -83,20 +83,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = masked(words)
             same = words.doc[1:] == words.doc[:-1]
             for kind, x in ((0, _held(words.doc, h)), (1, _held(words.doc[:-1][same], pairs(h)[same]))):
+                held += len(x) * (kind == 0)
                 kept[kind].append(np.unique(x, return_counts=True))
                 size += len(kept[kind][-1][0])
             if size > 3_000_000:
                 yield from flush()
                 size = 0
     yield from flush()
-    yield pa.record_batch([pa.array([2], pa.int8()), pa.array([0], pa.int64()), pa.array([texts_seen], pa.int64())], names=["kind", "key", "n"])
+    yield pa.record_batch([pa.array([2, 2], pa.int8()), pa.array([0, 1], pa.int64()), pa.array([texts_seen, held], pa.int64())], names=["kind", "key", "n"])
 
 
 class Counts:
-    """Supported words and pairs of a corpus of ``n`` texts."""
+    """Supported words and pairs of a corpus of ``n`` texts, which hold ``held`` different words each, summed up."""
 
-    def __init__(self, n: int, words: dict[int, int], pair_keys: np.ndarray, pair_counts: np.ndarray):
-        self.n, self.words, self.pair_keys, self.pair_counts = n, words, pair_keys, pair_counts
+    def __init__(self, n: int, held: int, words: dict[int, int], pair_keys: np.ndarray, pair_counts: np.ndarray):
+        self.n, self.held, self.words, self.pair_keys, self.pair_counts = n, held, words, pair_keys, pair_counts
 
     def support(self, keys: np.ndarray) -> np.ndarray:
         """How many texts hold each pair; 0 if it isn't supported."""
@@ -110,13 +111,14 @@ def corpus_counts(df: DataFrame, text_col: str, pair_share: float, word_share: f
     texts = df.select(F.col(text_col).alias("text")).where("text is not null").distinct()
     counted = texts.mapInArrow(_count, "kind tinyint, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counted = written(counted)
-    total = counted.where("kind = 2").agg(F.sum("n")).first()[0] or 0
+    sums = dict(counted.where("kind = 2").select("key", "n").collect())
+    total = sums.get(0, 0)
     least = F.when(F.col("kind") == 0, max(3.0, word_share * total)).otherwise(max(4.0, pair_share * total))
     rows = counted.where((F.col("kind") < 2) & (F.col("n") >= least)).toArrow()
     kind, key, many = (np.asarray(rows.column(c).combine_chunks()) for c in ("kind", "key", "n"))
     word, pair = kind == 0, kind == 1
     order = np.argsort(key[pair].view(np.uint64))
-    return Counts(total, dict(zip(key[word].view(np.uint64).tolist(), many[word].tolist(), strict=True)), key[pair].view(np.uint64)[order], many[pair][order])
+    return Counts(total, sums.get(1, 0), dict(zip(key[word].view(np.uint64).tolist(), many[word].tolist(), strict=True)), key[pair].view(np.uint64)[order], many[pair][order])
 
 
 def suspects(texts: list[str]) -> np.ndarray:
@@ -148,7 +150,7 @@ def _plain(points: np.ndarray) -> np.ndarray:
     return (points >= 128) & (points < 0x2010) & (points != 0xB7) | (points > 0x2E7F) & ((points < 0x3000) | (points > 0x303F)) & (points < 0xFF00) | (points >= 48) & (points <= 57) | (points >= 97) & (points <= 122) | np.isin(points, [37, 39, 45, 95, 0x2019, 0x2010, 0x2011])
 
 
-def parts(text: str, counts: Counts, repeats: int = 4, run_words: int = 20, run_items: int = 8, known: float = 0.85, low_pmi: float = 0.45) -> tuple[int, dict[str, int]]:
+def parts(text: str, counts: Counts, repeats: int = 4, unit_share: float = 0.4, run_words: int = 20, run_items: int = 8, known: float = 0.85, low_pmi: float = 1.0) -> tuple[int, dict[str, int]]:
     """The number of words of a text, and how many are put down to each kind of stuffing."""
     n = len(WORD.findall(text))
     found = dict.fromkeys(("link", "tag", "repeated", "keywords", "salad"), 0)
@@ -181,8 +183,8 @@ def parts(text: str, counts: Counts, repeats: int = 4, run_words: int = 20, run_
     repeated[:-1] |= odd
     repeated[1:] |= odd
     units = np.concatenate(([0], np.cumsum([bool(STOP.search(x)) for x in gaps]))).astype(np.int64)
-    size = np.bincount(units)
-    kind[(np.bincount(units, repeated) >= 0.5 * size)[units]] = 1
+    letters = words.end - words.start  # shares of units are of letters, as texts without spaces have few and long words
+    kind[(np.bincount(units, repeated * letters) >= unit_share * np.bincount(units, letters))[units]] = 1
     items = np.concatenate(([0], np.cumsum([bool(BREAK.search(x)) for x in gaps]))).astype(np.int64)
     length = np.bincount(items)
     number = h == NUMBER
@@ -200,13 +202,13 @@ def parts(text: str, counts: Counts, repeats: int = 4, run_words: int = 20, run_
     if k > 1:
         df = np.array([max(3, counts.words.get(x, 3)) for x in h.tolist()], float)
         ok = support > 0
-        pmi[ok] = np.maximum(0, np.log(support[ok] * counts.n / (df[:-1][ok] * df[1:][ok])))
+        pmi[ok] = np.maximum(0, np.log(support[ok] * counts.held / (df[:-1][ok] * df[1:][ok])))
     for i in np.flatnonzero(length >= run_words).tolist():
         lo, hi = int(begin[i]), int(begin[i + 1])
         variety = len(np.unique(h[lo:hi])) / (hi - lo)
         within = pmi[lo : hi - 1]
         within = np.where(many[at][lo : hi - 1] >= repeats, 0, within)
-        if within.mean() < (low_pmi if variety <= 0.8 else low_pmi / 3):
+        if within.mean() < (low_pmi if variety <= 0.8 else low_pmi / 2):
             kind[lo:hi][kind[lo:hi] == 0] = 3
     for i, name in enumerate(("repeated", "keywords", "salad"), 1):
         found[name] = int((kind == i).sum())
