@@ -11,6 +11,7 @@ from .keyword_pages import keyword_pages
 from .leaks import leak_spans, leaks, without_leaks
 from .near_copies import near_copy_classes, near_copy_pairs
 from .neighbours import nearest
+from .scans import repair, scan_lines
 from .splitting import pieces, profiled
 
 NEAR = {"similarity": 0.6, "shingle": 3, "min_words": 20}
@@ -39,6 +40,14 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return lists.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_lines(read(spark, sf, "store_documents", "doc_id", "content"), "doc_id", "content").withColumnRenamed("id", "doc_id")
+
+
+def p5_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    return repair(read(spark, sf, "store_documents", "doc_id", "content"), "doc_id", "content").withColumnRenamed("id", "doc_id")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks(read(spark, sf, "documents", "doc_id", "text"), read(spark, sf, "eval_items", "item_id", "text"))
 
