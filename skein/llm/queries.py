@@ -9,6 +9,7 @@ from skein.plans.tables import read
 
 from .keyword_pages import keyword_pages
 from .leaks import leak_spans, leaks, without_leaks
+from .names import same_entities, same_entity_pairs
 from .near_copies import near_copy_classes, near_copy_pairs
 from .neighbours import nearest
 from .scans import repair, scan_lines
@@ -25,6 +26,20 @@ def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
     return near_copy_classes(read(spark, sf, "store_documents", "doc_id", "content"), "doc_id", "content", **NEAR).withColumnRenamed("id", "doc_id")
 
 
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    columns = ("record_id", "name", "entity_type")
+    nodes = read(spark, sf, "entity_nodes", *columns, "mentions")
+    return nodes.unionByName(read(spark, sf, "kg_entities", *columns).withColumn("mentions", F.lit(None).cast("array<string>")))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return same_entity_pairs(_records(spark, sf))
+
+
+def p2_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return same_entities(_records(spark, sf))
+
+
 def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     items = profiled(read(spark, sf, "store_documents", "doc_id", "content", "profile_name"), read(spark, sf, "profiles"))
     return pieces(items, "doc_id", "content", "chunk_size", "chunk_overlap").withColumnRenamed("id", "doc_id")
