@@ -9,6 +9,7 @@ from skein.plans.tables import read
 
 from .keyword_pages import keyword_pages
 from .leaks import leak_spans, leaks, without_leaks
+from .mixing import mix_records, mix_shares
 from .names import same_entities, same_entity_pairs
 from .near_copies import near_copy_classes, near_copy_pairs
 from .neighbours import nearest
@@ -75,6 +76,16 @@ def p6_clean(spark: SparkSession, sf: str) -> DataFrame:
     return without_leaks(read(spark, sf, "documents", "doc_id", "text"), read(spark, sf, "eval_items", "item_id", "text"))
 
 
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The records each mix uses, with how often."""
+    selected, _ = mix_records(read(spark, sf, "documents", "doc_id", "text", "source", "lang"), read(spark, sf, "mix_targets"))
+    return selected.withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_shares(*mix_records(read(spark, sf, "documents", "doc_id", "text", "source", "lang"), read(spark, sf, "mix_targets")))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return keyword_pages(read(spark, sf, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id")
 
