@@ -5,7 +5,7 @@ generation; of an organisation core name, line of business and legal form. Parsi
 "Last, First", swapped parts, nicknames, initials, joined words, abbreviations, transliterated letters, acronyms aside. Records with the
 same forms are one *signature*, so a name that a third of all rows bear is compared once.
 
-Candidates: MinHash banding over the padded q-grams of the parts that tell entities apart. Bands follow from the collision curve:
+Candidates: MinHash banding over the padded q-grams of surname or core name. Bands follow from the collision curve:
 ``bands`` is the least number at which forms of similarity ``least`` meet with probability ``recall``, at ``rows`` rows a band.
 Candidates are verified by the Monge-Elkan similarity of their parts (inner similarity: 1 - Damerau-Levenshtein distance / length),
 under rules for what may not differ: generation, middle initials, line of business, legal form. An edge is strong if all parts
@@ -243,19 +243,12 @@ def forms(name: str | None, mentions: list[str] | None, kind: str | None) -> lis
     return sorted({f for t in texts if (f := parse(t))}, key=str)
 
 
-def parts(form: tuple) -> list[str]:
-    """What distinguishes a form, as padded words for q-grams."""
-    if form[0] == "p":
-        return ["<" + form[3] + ">", "(" + (form[1][:1] if form[5] else form[1]) + ")"]
-    return ["<" + form[1] + ">"]
-
-
 def grams(form: tuple, q: int = 3) -> set[str]:
-    out = set()
-    for w in parts(form):
-        pad = w[0] * (q - 2) + w + w[-1] * (q - 2)
-        out |= {form[0] + pad[i : i + q] for i in range(len(pad) - q + 1)}
-    return out
+    """The padded q-grams of the part that tells entities apart, surname or core name; those of people each with the initial of the
+    given name, as the few given names there are would else bring all their bearers together."""
+    word, mark = (form[3], form[1][:1]) if form[0] == "p" else (form[1], "")
+    padded = "<" * (q - 1) + word + ">" * (q - 1)
+    return {form[0] + mark + padded[i : i + q] for i in range(len(padded) - q + 1)}
 
 
 def bands_for(least: float, rows: int, recall: float) -> int:
@@ -393,7 +386,7 @@ def stars(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
     return placed.unionByName(alone)
 
 
-def same_entities(records: DataFrame, least: float = 0.35, recall: float = 0.97, rows: int = 2, margin: float = 0.04, seed: int = 5) -> DataFrame:
+def same_entities(records: DataFrame, least: float = 0.5, recall: float = 0.98, rows: int = 3, margin: float = 0.04, seed: int = 5) -> DataFrame:
     """(record_id, entity_id): every record (record_id, name, entity_type, mentions) that names a person or organisation, with the
     smallest record of its entity."""
     parsed = written(records.select("record_id", "name", "entity_type", "mentions").where("record_id is not null").mapInArrow(_parse, "record_id bigint, forms array<string>, complete boolean"))
