@@ -95,7 +95,7 @@ def by_words(df: DataFrame, size: int = 500) -> DataFrame:
 
 def units(df: DataFrame, separator: str) -> DataFrame:
     """One chunk for each unit between ``separator``s (pages, slides, paragraphs) that isn't blank, stripped."""
-    return _numbered(df, F.filter(F.transform(F.split("content", separator), F.trim), lambda c: c != ""))
+    return _numbered(df, F.filter(F.transform(F.split("content", separator), lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")), lambda c: c != ""))
 
 
 def table_rows(df: DataFrame) -> DataFrame:

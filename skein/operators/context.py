@@ -16,8 +16,8 @@ def _joined(results: DataFrame, text: Column, separator: str) -> DataFrame:
 
 def percent(results: DataFrame) -> Column:
     """The composite score, or 100 times the similarity where there is none."""
-    composite = F.col("composite_score") if "composite_score" in results.columns else F.lit(None).cast("double")
-    return F.coalesce(composite, (1 - F.col("semantic_score")) * 100, F.lit(0.0))
+    has = lambda c: F.col(c) if c in results.columns else F.lit(None).cast("double")
+    return F.coalesce(has("composite_score"), (1 - has("semantic_score")) * 100, F.lit(0.0))
 
 
 def simple(results: DataFrame) -> DataFrame:

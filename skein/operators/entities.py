@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from skein.functions.text import normal_name
 
@@ -25,7 +26,7 @@ def plain_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), F.round(0.8 + 0.2 * ratio, 6)).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """As the plain similarity, but the SequenceMatcher ratio where neither contains the other."""
 
@@ -60,7 +61,7 @@ def similar_names(df: DataFrame, threshold: float = 0.85, exact_ratio: bool = Fa
     w = Window.partitionBy("entity_type", "name").orderBy("n", "gram")
     size = F.count("*").over(Window.partitionBy("entity_type", "name"))
     shared = F.floor(threshold * F.length("name") / (2 - threshold) - 2 * ((1 - threshold) * 2 * F.length("name") + 1)) if exact_ratio else size
-    rare = grams.join(held, ["entity_type", "gram"]).withColumn("r", F.row_number().over(w)).withColumn("size", size).where(F.col("r") <= F.col("size") - F.greatest(shared, F.lit(1)) + 1)
+    rare = grams.join(held, ["entity_type", "gram"]).withColumn("r", F.row_number().over(w)).withColumn("size", size).withColumn("shared", shared).where(F.col("r") <= F.col("size") - F.greatest("shared", F.lit(1)) + 1)
     a = rare.select("entity_type", "gram", F.col("name").alias("x"))
     b = grams.select("entity_type", "gram", F.col("name").alias("y"))
     pairs = a.join(b, ["entity_type", "gram"]).where("x <> y").select("entity_type", F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b")).distinct()

@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from skein.functions.text import FEW_STOP_WORDS, STOP_WORDS, keywords, length_score, proper_nouns, token_overlap
 
@@ -20,7 +21,7 @@ from .ranking import top
 WEIGHTS = {"fuzzy": 0.25, "keywords": 0.25, "semantic": 0.35, "length": 0.15}
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def partial_ratio(query: pd.Series, content: pd.Series) -> pd.Series:
     """100 times the best SequenceMatcher ratio of the shorter text with a stretch as long of the longer one that starts where they match."""
 

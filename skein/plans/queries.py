@@ -1,7 +1,7 @@
 """The queries of the retrieval operators over the test tables, each over whole tables.
 
 Searches take as queries every row whose id is divisible by 100, a stated query set, against all rows. Documents and embeddings are paired by
-doc_id = vec_id, and evaluation items with the embedding vec_id = item_id / 100, as the tables relate them in no other way.
+doc_id = vec_id, as the tables relate them in no other way.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "eval_items", "item_id", "text").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return read(spark, sf, "documents", "doc_id", "text").where("doc_id % 100 = 0 and text is not null").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
 
 
 def _store(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,7 +82,7 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _hybrid_queries(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = _vectors(spark, sf).select((F.col("id") * 100).alias("query_id"), F.col("vec").alias("query_vec"))
+    vectors = _vectors(spark, sf).select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
     return _items(spark, sf).join(vectors, "query_id")
 
 
