@@ -10,8 +10,9 @@ go; within a coarse bucket, ``tables`` fine tables of more projections are visit
 that meet in a fine bucket are compared as a matrix product. The candidates of all tables are merged and reranked by the exact
 cosine in double precision.
 
-Scale: coarse buckets hold about ``coarse_rows`` rows times the square root of (n / 100,000), fine ones about ``fine_rows``, so
-a vector is compared with a number that grows far slower than n. A coarse bucket of more than ``hot_rows`` rows is cut into tiles
+Scale: up to 150,000 vectors coarse buckets are sized for about ``coarse_rows``, beyond that for the 0.8th power of n in proportion, and
+probes are added with the logarithm of n to keep the recall; fine buckets hold about ``fine_rows``, so what a vector is compared
+with grows far slower than n. A coarse bucket of more than ``hot_rows`` rows is cut into tiles
 by a hash; rows are sent to all pairs of tiles they belong to, so no task holds more than two tiles and all pairs of the bucket
 can still meet. Exactly equal vectors share all their buckets and are one vector there, named by the smallest id, until the end.
 
@@ -231,13 +232,15 @@ def projections(n: int, rows: float) -> int:
     return max(4, min(48, round(PER_HALVING * math.log2(max(2.0, n / rows)))))
 
 
-def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 10, min_similarity: float | None = None, probes: int = 3, coarse_rows: int = 32_000, tables: int = 4, fine_probes: int = 6, fine_rows: int = 1000, hot_rows: int = 250_000, seed: int = 11) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 10, min_similarity: float | None = None, probes: int = 3, coarse_rows: int = 32_000, tables: int = 4, fine_probes: int = 6, fine_rows: int = 1000, hot_rows: int = 150_000, seed: int = 11) -> DataFrame:
     """(id, neighbour, similarity, rank): for every usable vector its ``k`` most similar others of ``min_similarity`` or more, rank from 1."""
     base = usable(df, id_col, vector_col, dim).select("id", F.xxhash64("v").alias("k"), "v")
     n = max(1, base.select("k").count())
-    m = max(2, min(24, round(COARSE_PER_HALVING * math.log2(max(1.0, n / (coarse_rows * max(1.0, n / 100_000) ** 0.5))))))
-    run, schema = _file(dim, m, probes, seed)
-    rows = _tiled(base.mapInArrow(run, schema), n * probes, hot_rows)
+    beyond = max(1.0, n / 150_000)
+    m = max(2, min(24, round(COARSE_PER_HALVING * math.log2(max(1.0, n / (coarse_rows * beyond**0.8))))))
+    copies = probes + round(math.log2(beyond) / 1.5)
+    run, schema = _file(dim, m, copies, seed)
+    rows = _tiled(base.mapInArrow(run, schema), n * copies, hot_rows)
     run, schema = _visit(dim, k, min_similarity, tables, fine_probes, fine_rows, seed)
     sims = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(run, schema)
     best = sims.repartition("a").dropDuplicates(["a", "b"]).withColumn("r", F.rank().over(Window.partitionBy("a").orderBy(F.desc("similarity")))).where(F.col("r") <= k).drop("r")
