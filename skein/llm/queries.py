@@ -99,6 +99,17 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    words = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
     return {
+        "p1_found": f"""WITH w AS (SELECT doc_id, {words.format('content')} AS ws FROM store_documents),
+            g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 20)),
+            n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+            b AS (SELECT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2)
+            SELECT doc_id_a, doc_id_b FROM b JOIN n p ON p.doc_id = doc_id_a JOIN n q ON q.doc_id = doc_id_b WHERE c::DOUBLE / (p.n + q.n - c) >= 0.6""",
+        "p6_found": f"""WITH i AS (SELECT item_id, {words.format('text')} AS ws FROM eval_items WHERE text IS NOT NULL), k AS (SELECT *, least(12, len(ws)) AS k FROM i WHERE len(ws) > 0),
+            ig AS (SELECT DISTINCT item_id, k, array_to_string(ws[j:j + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS j FROM k)),
+            d AS (SELECT doc_id, {words.format('text')} AS ws FROM documents WHERE text IS NOT NULL), dk AS (SELECT doc_id, ws, k FROM d, (SELECT DISTINCT k FROM k) WHERE len(ws) >= k),
+            dg AS (SELECT DISTINCT doc_id, k, array_to_string(ws[j:j + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS j FROM dk))
+            SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (k, s)""",
         "p3_found": "SELECT d.doc_id FROM store_documents d JOIN profiles p ON p.name = d.profile_name WHERE length(d.content) > p.chunk_size AND p.chunk_overlap < p.chunk_size",
     }
