@@ -30,10 +30,11 @@ def partial_ratio(query: pd.Series, content: pd.Series) -> pd.Series:
             return 0.0
         short, long = (a, b) if len(a) <= len(b) else (b, a)
         best = 0.0
-        for i, j, n in SequenceMatcher(None, short, long, autojunk=False).get_matching_blocks():
-            if n:
-                at = max(0, j - i)
-                best = max(best, SequenceMatcher(None, short, long[at : at + len(short)], autojunk=False).ratio())
+        blocks = SequenceMatcher(None, short, long, autojunk=False).get_matching_blocks()
+        for at in {max(0, j - i) for i, j, n in blocks if n}:
+            m = SequenceMatcher(None, long[at : at + len(short)], short, autojunk=False)
+            if m.real_quick_ratio() > best and m.quick_ratio() > best:
+                best = max(best, m.ratio())
         return 100 * best
 
     return pd.Series([one(a, b) for a, b in zip(query, content, strict=True)], dtype=float)

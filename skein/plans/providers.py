@@ -35,9 +35,10 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """The unit vector of counts of words by the first eight hex digits of their MD5, modulo ``dim``; zeros for texts without words."""
     word = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
     bucket = F.transform(word, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(bucket, lambda b: b == i)).cast("double"))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(length > 0, x / length).otherwise(0.0))
+    # lambda variables bind what is used for every dimension, so that it is computed once for a text
+    counts = F.transform(F.array(bucket), lambda b: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double")))[0]
+    scaled = F.transform(F.array(counts), lambda c: F.transform(F.array(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0)))[0])
+    return F.when(text.isNotNull(), scaled[0])
 
 
 class HashingEmbedder:

@@ -105,7 +105,9 @@ def rerank_composite(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rerank_partial_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    found = answer.hybrid(_hybrid_queries(spark, sf), _hybrid_corpus(spark, sf), 30)
+    """Names of entities as queries, as the ratio's cost grows with the product of the lengths."""
+    q = _vertices(spark, sf).where("record_id % 100 = 0 and name is not null").select(F.col("record_id").alias("query_id"), F.col("name").alias("query_text"))
+    found = keyword.overlap_topk(q, _docs(spark, sf), 30).join(_docs(spark, sf), "id").join(q, "query_id").withColumn("semantic_score", F.lit(None).cast("double"))
     return rerank.multi_factor(found, 10, exact_fuzzy=True).select("query_id", "id", "composite_score", "rank")
 
 
