@@ -5,8 +5,9 @@ generation; of an organisation core name, line of business and legal form. Parsi
 "Last, First", swapped parts, nicknames, initials, joined words, abbreviations, transliterated letters, acronyms aside. Records with the
 same forms are one *signature*, so a name that a third of all rows bear is compared once.
 
-Candidates: MinHash banding over the padded q-grams of surname or core name. Bands follow from the collision curve:
-``bands`` is the least number at which forms of similarity ``least`` meet with probability ``recall``, at ``rows`` rows a band.
+Candidates: all pairs the verifier can accept. The different surnames and core names are first compared among themselves: two within
+the edits the verifier allows share what is left of them when as many letters are left out. Then forms with
+the same or near words meet under the generation and every initial their given names may go by.
 Candidates are verified by the Monge-Elkan similarity of their parts (inner similarity: 1 - Damerau-Levenshtein distance / length),
 under rules for what may not differ: generation, middle initials, line of business, legal form. An edge is strong if all parts
 agree, weak if a part is missing or an initial.
@@ -22,14 +23,12 @@ Null and blank names count by their mentions; a record without any usable form i
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,8 +36,6 @@ from pyspark.sql import functions as F
 from skein.operators.components import connected_components
 from skein.plans.tables import written
 
-from .words import mix
-
 # Given names and their short forms.
 NICKNAMES = {
     "alexander": "alex sandy xander lex sascha", "amina": "mina", "anastasia": "stasia ana nastia nastya tasia", "benedikta": "bene dikta", "charles": "charlie chuck carl",
@@ -243,12 +240,33 @@ def forms(name: str | None, mentions: list[str] | None, kind: str | None) -> lis
     return sorted({f for t in texts if (f := parse(t))}, key=str)
 
 
-def grams(form: tuple, q: int = 3) -> set[str]:
-    """The padded q-grams of the part that tells entities apart, surname or core name; those of people each with the initial of the
-    given name, as the few given names there are would else bring all their bearers together."""
-    word, mark = (form[3], form[1][:1]) if form[0] == "p" else (form[1], "")
-    padded = "<" * (q - 1) + word + ">" * (q - 1)
-    return {form[0] + mark + padded[i : i + q] for i in range(len(padded) - q + 1)}
+def allowed(a: str, b: str) -> int:
+    """How many edits two surnames or core names of the same entity may be apart."""
+    return 1 if min(len(a), len(b)) < 6 else 2
+
+
+def remainders(word: str) -> set[str]:
+    """What is left of a word when no more letters are left out than it may have edits. Words within ``allowed`` edits share one of
+    them: an edit, a swap of neighbours too, is undone by leaving out at most one letter in each."""
+    out = last = {word}
+    for _ in range(1 if len(word) < 6 else 2):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        out = out | last
+    return out - {""}
+
+
+def heads(form: tuple) -> Iterator[tuple[str, str, bool]]:
+    """(word, mark, asks): the part that tells entities apart, with what else two forms must share to be alike: of people the
+    generation and an initial the given name may go by. Given names that no list knows may differ in the first letter, so they also ask under
+    "*", where all are filed."""
+    if form[0] == "o":
+        yield "o" + form[1], "", True
+        return
+    word, first, generation = "p" + form[3], form[7], form[4]
+    for x in {form[1][:1], first[:1], *(n[:1] for n in ALSO.get(first, ()))}:
+        yield word, generation + " " + x, True
+    if not form[5] and len(first) >= 3:
+        yield word, generation + " *", given(first) is None
 
 
 def bands_for(least: float, rows: int, recall: float) -> int:
@@ -271,7 +289,7 @@ def alike(a: tuple, b: tuple) -> float:
         if a[4] != b[4] or a[2] and b[2] and not set(a[2]) & set(b[2]):
             return 0.0
         last = inner(a[3], b[3])
-        if distance(a[3], b[3]) > (1 if min(len(a[3]), len(b[3])) < 6 else 2):
+        if distance(a[3], b[3]) > allowed(a[3], b[3]):
             return 0.0
         if a[5] or b[5]:
             short, long = (a, b) if a[5] else (b, a)
@@ -287,7 +305,7 @@ def alike(a: tuple, b: tuple) -> float:
     if a[2] and b[2] and a[2] != b[2]:
         return 0.0
     core = inner(a[1], b[1])
-    if distance(a[1], b[1]) > (1 if min(len(a[1]), len(b[1])) < 6 else 2):
+    if distance(a[1], b[1]) > allowed(a[1], b[1]):
         return 0.0
     score = monge_elkan([a[1], *a[2].split()], [b[1], *b[2].split()]) if a[2] and b[2] else core * 0.9
     bonus = 0.05 * (bool(a[3]) and a[3] == b[3]) + 0.02 * (a[4] == b[4])
@@ -327,30 +345,35 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _bands(rows: int, bands: int, seed: int):
-    rng = np.random.default_rng(seed)
-    a = rng.integers(1, 1 << 62, rows * bands).astype(np.uint64) | np.uint64(1)
-    b = rng.integers(0, 1 << 62, rows * bands).astype(np.uint64)
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(i, *x) for i, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in {h for e in f for h in heads(_decode(e))}]
+        yield pa.record_batch([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.bool_()))], names=["id", "word", "mark", "asks"])
 
-    def keys(form: tuple) -> np.ndarray:
-        g = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in grams(form)], np.uint64)
-        low = mix((g[:, None] * a + b).min(0)).reshape(bands, rows)
-        out = np.arange(1, bands + 1, dtype=np.uint64)
-        for i in range(rows):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + low[:, i])
-        return out.view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, key = [], []
-            for i, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                mine = np.unique(np.concatenate([keys(_decode(x)) for x in f]))
-                ids.append(np.full(len(mine), i))
-                key.append(mine)
-            if ids:
-                yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(key))], names=["id", "key"])
+def _remainders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(w, w[0] + x) for w in batch.column(0).to_pylist() for x in remainders(w[1:])]
+        yield pa.record_batch([pa.array([r[j] for r in rows], pa.string()) for j in range(2)], names=["word", "left"])
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(x, y) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if distance(x[1:], y[1:]) <= allowed(x[1:], y[1:])]
+        yield pa.record_batch([pa.array([r[j] for r in rows], pa.string()) for j in range(2)], names=["x", "y"])
+
 
-    return run, "id bigint, key bigint"
+def candidates(signature: DataFrame) -> DataFrame:
+    """(a, b): the pairs of signatures (id, forms) that may be alike, a < b; none that ``alike`` accepts is left out."""
+    filed = written(signature.select("id", "forms").mapInArrow(_heads, "id bigint, word string, mark string, asks boolean"))
+    words = filed.select("word").distinct()
+    left = words.mapInArrow(_remainders, "word string, left string")
+    met = left.select("left", F.col("word").alias("x")).join(left.select("left", F.col("word").alias("y")), "left").where("x < y").select("x", "y").distinct()
+    near = written(met.mapInArrow(_near, "x string, y string"))
+    beside = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(words.select(F.col("word").alias("x"), F.col("word").alias("y")))
+    asking = filed.where("asks").select(F.col("id").alias("a"), F.col("word").alias("x"), "mark").join(beside, "x").select("a", F.col("y").alias("word"), "mark")
+    pairs = asking.join(filed.select(F.col("id").alias("b"), "word", "mark"), ["word", "mark"]).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,14 +409,12 @@ def stars(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
     return placed.unionByName(alone)
 
 
-def same_entities(records: DataFrame, least: float = 0.5, recall: float = 0.98, rows: int = 3, margin: float = 0.04, seed: int = 5) -> DataFrame:
+def same_entities(records: DataFrame, margin: float = 0.04) -> DataFrame:
     """(record_id, entity_id): every record (record_id, name, entity_type, mentions) that names a person or organisation, with the
     smallest record of its entity."""
     parsed = written(records.select("record_id", "name", "entity_type", "mentions").where("record_id is not null").mapInArrow(_parse, "record_id bigint, forms array<string>, complete boolean"))
     signature = written(parsed.groupBy("forms").agg(F.min("record_id").alias("id"), F.first("complete").alias("complete")))
-    run, schema = _bands(rows, bands_for(least, rows, recall), seed)
-    keys = signature.select("id", "forms").mapInArrow(run, schema)
-    pairs = keys.select("key", F.col("id").alias("a")).join(keys.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
+    pairs = candidates(signature)
     told = pairs.join(signature.select(F.col("id").alias("a"), F.col("forms").alias("x")), "a").join(signature.select(F.col("id").alias("b"), F.col("forms").alias("y")), "b")
     edges = written(told.select("a", "b", "x", "y").mapInArrow(_verify, "a bigint, b bigint, score double"))
     strong, weak = edges.where("score >= 2"), edges.where("score < 2")

@@ -123,6 +123,24 @@ def test_bands_follow_the_collision_curve():
     assert names.distance("levanzizu", "levanizzu") == 1 and names.monge_elkan(["ab", "cd"], ["cd", "ab"]) == 1
 
 
+def test_candidates_hold_all_pairs_the_verifier_accepts(spark):
+    rng = np.random.default_rng(3)
+    firsts = ["Robert", "Bob", "R.", "Ted", "Edmund", "Theodore", "Jo", "Johannes", "Josephine", "Amir", "Emir", "Bartholomeusz"]
+    lasts = ["Kamol", "Kmaol", "Vendori", "Vednori", "Vnedroi", "Vendoir", "Li", "Le", "Ng", "Levanzizu", "Elvanzizu", "Levanizzuu"]
+    texts = [f"{f} {x}" for f in firsts for x in lasts] + [f"{x} {b}" for x in ["Konate", "Kontae", "Fetengelpo", "Feetngepol"] for b in ["Publishing Inc", "Publ.", "GmbH"]]
+    for _ in range(60):
+        w = list("mirandelo"[: rng.integers(4, 10)])
+        for _ in range(2):
+            w[rng.integers(len(w))] = "abc"[rng.integers(3)]
+        texts.append("Robert " + "".join(w).title())
+    made = [(i, names.forms(t, None, "org" if t.split()[-1] in ("Inc", "Publ.", "GmbH") else "person")) for i, t in enumerate(texts)]
+    found = set(rows(names.candidates(spark.createDataFrame([(i, [names._encode(x) for x in f]) for i, f in made], "id bigint, forms array<string>"))))
+    want = {(i, j) for (i, f), (j, g) in itertools.combinations(made, 2) if names.verdict(f, g) > 0}
+    at = {t: i for i, t in enumerate(texts)}
+    assert {(at["Robert Kamol"], at["Robert Kmaol"]), (at["Bob Vendori"], at["Bob Vnedroi"]), (at["Amir Kamol"], at["Emir Kamol"]), (at["Ted Li"], at["Theodore Li"])} <= want
+    assert want <= found and len(found) < len(texts) * (len(texts) - 1) / 4
+
+
 # problem 3
 
 
