@@ -2,7 +2,9 @@
 
 Three stages. (1) Corpus vocabulary: the number of texts that hold each word, over all texts; words held by a share
 ``word_share`` of them or more are kept. There are at most (different words of a text, on average) / word_share such words
-whatever the size of the corpus, which bounds what is broadcast (as hashes, 8 bytes each). (2) Page furniture: page numbers are lines
+whatever the size of the corpus, which bounds what is broadcast (as hashes, 8 bytes each). Rarer words are looked up by a shuffled join
+with all the counts: of the words that scanned texts hold and the vocabulary doesn't know, what they are with a confusion undone, and what cut
+words are joined. A rare word counts as known if three texts hold it, but as the right form of another only if it is held by ``DOMINANCE`` times as many texts. (2) Page furniture: page numbers are lines
 that hold a number alone, in one of the usual forms, and follow one another as a sequence through the text; headers and footers
 are short lines at the page edges the page numbers and repetitions mark out, told by fuzzy repetition (characters that scanners
 confuse count as equal) or by being a title beside a page number. (3) Words: a word cut at a line end is joined with the next line of text, past furniture, if the mark is
@@ -40,6 +42,7 @@ TOKEN = re.compile(rf"[\w{re.escape('@|$€')}]+")
 ODD = re.compile(r"[A-Za-zÀ-ɏ][0159@86|$€][A-Za-zÀ-ɏ]")
 NUMERAL = r"[0-9lIOoSB|]{1,5}"
 ROMAN = re.compile(r"(?=[ivxlcdm1])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|[xX]?[x]{0,3}|lx{0,3})(?:ix|iv|v?[i1l]{0,3})\Z")
+DOMINANCE = 8  # well below it, forms a confusion apart are mostly two names
 PAGE_FORMS = tuple(
     re.compile(p, re.IGNORECASE)
     for p in (
@@ -261,6 +264,7 @@ class Page:
             found.append((a, b, m, n))
             asked += [m[1] + n[1], m[1], n[1]]
         known = self.knows(asked)
+        self.wholes = {w for _, _, m, n in found if not known[w := (m[1] + n[1]).lower()]}
         self.joins: dict[int, bool] = {}
         for a, b, m, n in found:
             joined, left, right = (known[x.lower()] or any(known_variant(x, self.knows)) if y else known[x.lower()] for x, y in ((m[1] + n[1], True), (m[1], False), (n[1], False)))
@@ -293,6 +297,7 @@ class Page:
         known = self.knows([t for x in tokens.values() for t in x])
         unknown = {t for x in tokens.values() for t in x if not known[t.lower()]}
         bad = misread(unknown, self.knows)
+        self.unknown = {t.lower() for t in unknown - bad if len(t) >= 3 and any(c.isalpha() for c in t) and "_" not in t}
         for a, x in tokens.items():
             if any(t in bad for t in x):
                 self.kinds[a].add("misread")
@@ -362,7 +367,23 @@ class Vocabulary:
         self.hashes = hashes
         self.known: set[int] | None = None
 
+    def with_more(self, keys: list[int] | None) -> "Vocabulary":
+        """The same with further words, by their hashes."""
+        if not keys:
+            return self
+        more = Vocabulary(np.array(keys, np.int64).view(np.uint64))
+        more.base = self
+        return more
+
+    base: "Vocabulary | None" = None
+
     def knows(self, words: list[str]) -> dict[str, bool]:
+        if self.base is None:
+            return self._knows(words)
+        known = self.base._knows(words)
+        return known | self._knows([w for w, x in known.items() if not x])
+
+    def _knows(self, words: list[str]) -> dict[str, bool]:
         """For each word, lower-cased, whether the vocabulary has it; what isn't all letters and digits it doesn't have."""
         if self.known is None:
             self.known, self.seen = set(self.hashes.tolist()), {}
@@ -403,16 +424,46 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([None], pa.int64()), pa.array([n], pa.int64())], names=["key", "n"])
 
 
-def vocabulary(df: DataFrame, text_col: str, word_share: float = 0.002) -> Vocabulary:
-    """The words held by a share of ``word_share`` of the texts or more, and by three at least."""
+def word_counts(df: DataFrame, text_col: str) -> DataFrame:
+    """(key, n): the number of texts that hold each word, and under null that of all texts."""
     from skein.plans.tables import written
 
-    counted = written(df.select(F.col(text_col).alias("text")).where("text is not null").mapInArrow(_count_words, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
+    return written(df.select(F.col(text_col).alias("text")).where("text is not null").mapInArrow(_count_words, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
+
+
+def vocabulary(counted: DataFrame, word_share: float = 0.002) -> Vocabulary:
+    """The words held by a share of ``word_share`` of the texts or more, and by three at least."""
     total = counted.where("key is null").select("n").first()
     rows = counted.where(F.col("key").isNotNull() & (F.col("n") >= max(3.0, word_share * (total[0] if total else 0)))).select("key").toArrow()
     return Vocabulary(np.asarray(rows.column("key").combine_chunks()).view(np.uint64))
 
 
+def hashed(words: list[str]) -> dict[str, int]:
+    """The words of letters and digits only with their hashes."""
+    plain = [w for w in dict.fromkeys(words) if w.isalnum()]
+    h = Words([" ".join(plain)]).h.view(np.int64).tolist() if plain else []
+    return dict(zip(plain, h, strict=True)) if len(h) == len(plain) else {}
+
+
+def asked(page: Page) -> set[tuple[int | None, int]]:
+    """(word, key): what the full counts should be asked for: the unknown words with their variants, and joined words alone."""
+    pairs = [(None, w) for w in page.wholes]
+    for w in page.unknown | page.wholes:
+        one = [v for v, _ in variants(w)]
+        two = [v for x, a in variants(w) for v, b in variants(x) if b > a] if not w.isalpha() and len(one) <= 12 else []
+        pairs += [(w, v) for v in one + two]
+    key = hashed([x for p in pairs for x in p if x])
+    return {(key.get(w), key[v]) for w, v in pairs if v in key}
+
+
+def rare_words(asks: DataFrame, counted: DataFrame) -> DataFrame:
+    """(id, keys): of the words that texts ask for (id, word, key), those that count as known in the text: of joined words and of variants of what
+    is no word those held by three texts, of other variants those held by ``DOMINANCE`` times as many texts as the word itself."""
+    n = counted.where("key is not null")
+    found = asks.distinct().join(n.where("n >= 3"), "key").join(n.select(F.col("key").alias("word"), F.col("n").alias("own")), "word", "left")
+    return found.where(F.col("word").isNull() | (F.col("n") >= DOMINANCE * F.coalesce("own", F.lit(1)))).groupBy("id").agg(F.collect_set("key").alias("keys"))
+
+
 LOOK = re.compile(rf"[^\W\d_][{SOFT}‐‑-]\s*\n|\n[ \t]*(?:\W{{0,2}}\s*(?:p|pa[gq]e|pag|pág|seite)?\.?\s*[0-9lIOS]{{1,4}}(?:\s*(?:of|/|von|de|sur)\s*[0-9lIOS]+)?\W{{0,2}}|[ivxlc]+)[ \t]*(?:\n|\Z)", re.IGNORECASE)
 
 
@@ -420,26 +471,58 @@ def could_be_scanned(text: str) -> bool:
     return LOOK.search("\n" + text) is not None or len(ODD.findall(text)) >= 2
 
 
-def _pages(texts: list[str], vocab: Vocabulary, least: int) -> Iterator[tuple[int, Page]]:
-    for i, t in enumerate(texts):
+def _shows(page: Page, least: int) -> bool:
+    return page.shows() >= least and sum(bool(k & {"broken_word", "misread", "page_number"}) for k in page.kinds) >= least
+
+
+def _pages(texts: list[str], more: list[list[int] | None], vocab: Vocabulary, least: int) -> Iterator[tuple[int, Page]]:
+    for i, (t, keys) in enumerate(zip(texts, more, strict=True)):
         if t is not None and could_be_scanned(t):
-            page = Page(t, vocab.knows)
-            if page.shows() >= least and sum(bool(k & {"broken_word", "misread", "page_number"}) for k in page.kinds) >= least:
+            page = Page(t, vocab.with_more(keys).knows)
+            if _shows(page, least):
                 yield i, page
 
 
+def _line_rows(ident: str, page: Page) -> Iterator[tuple]:
+    return ((ident, n, k) for n, kinds in enumerate(page.kinds, 1) for k in sorted(kinds))
+
+
+def _first_look(source: DataFrame, shared, least: int) -> DataFrame:
+    """(id, line_no, line_kind, word, key): the lines of scanned texts as the frequent words tell, and rows without line for what texts ask."""
+    from skein.plans.tables import written
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ident, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if could_be_scanned(t):
+                    page = Page(t, shared.value.knows)
+                    out += [(*r, None, None) for r in _line_rows(ident, page)] if _shows(page, least) else []
+                    out += [(ident, None, None, w, k) for w, k in asked(page)]
+            yield pa.record_batch([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["id", "line_no", "line_kind", "word", "key"])
+
+    return written(source.where("text is not null and id is not null").mapInArrow(run, "id string, line_no int, line_kind string, word bigint, key bigint"))
+
+
 def scan_lines(df: DataFrame, id_col: str, text_col: str, word_share: float = 0.002, least: int = 2) -> DataFrame:
-    """(id, line_no, line_kind): the lines of scanned texts that need repair, a row for each line and kind."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary(df, text_col, word_share))
+    """(id, line_no, line_kind): the lines of scanned texts that need repair, a row for each line and kind. Texts that rare words tell more of are
+    looked at twice."""
+    from skein.plans.tables import written
+
+    counted = word_counts(df, text_col)
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary(counted, word_share))
+    source = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text is not null and id is not null")
+    first = _first_look(source, shared, least)
+    rare = written(rare_words(first.where("key is not null").select("id", "word", "key"), counted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            out = [(ids[i], n, k) for i, page in _pages(batch.column(1).to_pylist(), shared.value, least) for n, kinds in enumerate(page.kinds, 1) for k in sorted(kinds)]
+            ids, texts, keys = (c.to_pylist() for c in batch.columns)
+            out = [r for i, page in _pages(texts, keys, shared.value, least) for r in _line_rows(ids[i], page)]
             yield pa.record_batch([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["id", "line_no", "line_kind"])
 
-    source = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text is not null and id is not null")
-    return source.mapInArrow(run, "id string, line_no int, line_kind string")
+    again = source.join(rare, "id").select("id", "text", "keys").mapInArrow(run, "id string, line_no int, line_kind string")
+    return first.where("key is null").select("id", "line_no", "line_kind").join(rare, "id", "left_anti").unionByName(again)
 
 
 def correct(word: str, knows) -> str:
@@ -490,14 +573,17 @@ def repaired(page: Page) -> str:
 
 def repair(df: DataFrame, id_col: str, text_col: str, word_share: float = 0.002, least: int = 2) -> DataFrame:
     """(id, text, repaired): every text, scanned ones as continuous paragraphs and others untouched."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary(df, text_col, word_share))
+    counted = word_counts(df, text_col)
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary(counted, word_share))
+    source = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    rare = rare_words(_first_look(source, shared, least).where("key is not null").select("id", "word", "key"), counted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             done = [False] * len(texts)
-            for i, page in _pages(list(texts), shared.value, least):
+            for i, page in _pages(list(texts), batch.column(2).to_pylist(), shared.value, least):
                 texts[i], done[i] = repaired(page), True
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(done)], names=["id", "text", "repaired"])
 
-    return df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id string, text string, repaired boolean")
+    return source.join(rare, "id", "left").select("id", "text", "keys").mapInArrow(run, "id string, text string, repaired boolean")

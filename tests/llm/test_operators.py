@@ -218,6 +218,15 @@ def test_scans(spark):
     assert scans.scan_lines(df.limit(0), "k", "body").count() == 0
 
 
+def test_scans_know_rare_words(spark):
+    docs = [(f"c{i}", BODY * 2 + "It is well known." + " Meet Kenkal and Varutol." * (i < 8) + " Dagu and Datu." * (i < 3)) for i in range(4600)]
+    page = "\n".join([scan(), "Here kcnkal came, and varu-", "tol said that fagu met datu."])
+    got = rows(scans.scan_lines(spark.createDataFrame([*docs, ("s", page)], "k string, body string"), "k", "body"))
+    assert got == sorted(rows(scans.scan_lines(spark.createDataFrame([*docs[:12], ("s", scan())], "k string, body string"), "k", "body")) + [("s", 13, "broken_word"), ("s", 13, "misread")])
+    fixed = {r["id"]: r["text"] for r in scans.repair(spark.createDataFrame([*docs, ("s", page), (None, None)], "k string, body string"), "k", "body").collect()}
+    assert fixed["s"].endswith("Here kenkal came, and varutol said that fagu met datu.") and len(fixed) == 4602 and fixed["c0"] == docs[0][1]
+
+
 def test_page_numbers():
     assert scans.page_number(" - l2 - ") == [12] and scans.page_number("xiv") == [14] and scans.page_number("Page 50 of 52") == [50] and scans.page_number("21.9") == [] and scans.page_number("word") == []
 
