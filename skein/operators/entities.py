@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from skein.functions.text import normal_name
+from skein.plans.tables import written
 
 from .components import connected_components
 
@@ -49,22 +50,31 @@ def names(df: DataFrame) -> DataFrame:
 def similar_names(df: DataFrame, threshold: float = 0.85, exact_ratio: bool = False) -> DataFrame:
     """(entity_type, name_a, name_b, similarity): pairs of different normal names of the same type alike by ``threshold`` or more, name_a < name_b.
 
-    No pair of names is compared that does not share a rare trigram. A name that is contained in another shares all its trigrams
-    with it; names of a matching ratio r over n characters share at least r n - 2 ((1 - r) n + 1) of them, as every stretch that
-    does not match breaks two. So each name is looked up under its rarest trigrams, as many as leave fewer than that unseen,
-    among the names that have them anywhere. Names of fewer than three characters are looked up whole.
+    No pair of names is compared that does not share a rare gram of one to three characters. Of two names the shorter is looked up, under as
+    many of its rarest grams as leave fewer unseen than it must share, among the names that have them anywhere. A name that is contained in
+    another shares all its grams with it. Of names of m <= n characters with a matching ratio of r, r (m + n) / 2 characters match, in at most
+    (1 - r) (m + n) + 1 stretches, each of which has q - 1 grams of q characters fewer than characters: the largest q is taken that
+    leaves any to share, one character if none else.
     """
     n = names(df)
-    pad = F.when(F.length("name") < 3, F.array("name")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 2, F.lit(1))), lambda i: F.substring(F.col("name"), i, F.lit(3)))))
-    grams = n.select("entity_type", "name", F.explode(pad).alias("gram"))
-    held = grams.groupBy("entity_type", "gram").agg(F.count("*").alias("n"))
+    length, t = F.length("name"), threshold - 1e-6
+    gram = lambda q: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - (q - 1)), lambda i: F.substring(F.col("name"), i, q)))
+    shared = lambda q: F.ceil(2 * length * (t / 2 - (q - 1) * (1 - t)) - (q - 1)) if t / 2 > (q - 1) * (1 - t) else F.lit(0)
+    fits = (lambda q: shared(q) > 0) if exact_ratio else lambda q: F.lit(True)
+    q = F.when((length >= 3) & fits(3), 3).when((length >= 2) & fits(2), 2).otherwise(1)
+    unseen = length - F.col("q") - F.when(F.col("q") == 3, shared(3)).when(F.col("q") == 2, shared(2)).otherwise(shared(1)) + 1 if exact_ratio else F.lit(0)
+    filed = written(n.select("entity_type", "name", F.explode(F.flatten(F.array(*(F.when(length >= k, gram(F.lit(k))).otherwise(F.array().cast("array<string>")) for k in (1, 2, 3))))).alias("gram")))
+    held = filed.groupBy("entity_type", "gram").agg(F.count("*").alias("n"))
+    own = filed.withColumn("q", q).where(F.length("gram") == F.col("q")).join(held, ["entity_type", "gram"])
     w = Window.partitionBy("entity_type", "name").orderBy("n", "gram")
-    size = F.count("*").over(Window.partitionBy("entity_type", "name"))
-    shared = F.floor(threshold * F.length("name") / (2 - threshold) - 2 * ((1 - threshold) * 2 * F.length("name") + 1)) if exact_ratio else size
-    rare = grams.join(held, ["entity_type", "gram"]).withColumn("r", F.row_number().over(w)).withColumn("size", size).withColumn("shared", shared).where(F.col("r") <= F.col("size") - F.greatest("shared", F.lit(1)) + 1)
+    rare = own.withColumn("r", F.row_number().over(w)).where(F.col("r") <= unseen + 1)
     a = rare.select("entity_type", "gram", F.col("name").alias("x"))
-    b = grams.select("entity_type", "gram", F.col("name").alias("y"))
-    pairs = a.join(b, ["entity_type", "gram"]).where("x <> y").select("entity_type", F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b")).distinct()
+    b = filed.select("entity_type", "gram", F.col("name").alias("y"))
+    m, n_ = F.length("x"), F.length("y")
+    near = (m < n_) | (m == n_) & (F.col("x") < F.col("y"))
+    if t > 0.8:
+        near &= n_ <= m * max((2 - t) / t if exact_ratio else 1, 0.2 / (t - 0.8))
+    pairs = a.join(b, ["entity_type", "gram"]).where(near).select("entity_type", F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b")).distinct()
     score = similarity("name_a", "name_b") if exact_ratio else plain_similarity(F.col("name_a"), F.col("name_b"))
     return pairs.withColumn("similarity", score).where(F.col("similarity") >= threshold)
 

@@ -1,7 +1,10 @@
+import itertools
 import json
+import random
 import sqlite3
 import tarfile
 import zipfile
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +192,20 @@ def test_models(spark):
     assert config.profile("fast").chunk_size == 800
     with pytest.raises(ValueError):
         config.Profile(chunk_size=100, chunk_overlap=100)
+
+
+def test_similar_names_against_all_pairs(spark):
+    rng = random.Random(7)
+    known = ["fi", "makozefi", "ksp", "sp", "msf", "sf", "fspb", "a", "ab", "abc", "ana", "anna", "abc def", "zenith", "zenlth", "banana banana", "banana bonana", "nananananana", "nanananana"]
+    known += ["".join(rng.choice("abno ") for _ in range(rng.randint(1, 16))) for _ in range(150)]
+    for word in ["levanzizu group holding", "brevuhabar publishing house", "kantolem works"]:
+        known += ["".join(c for c in word if rng.random() > 0.1) for _ in range(15)]
+    df = spark.createDataFrame([(i, n, "ORG") for i, n in enumerate(known)], "record_id int, name string, entity_type string")
+    normal = sorted(r["name"] for r in entities.names(df).collect())
+    for threshold, exact in ((0.85, False), (0.85, True), (0.8, True), (0.6, True), (0.75, False)):
+        def alike(x, y):
+            if x in y or y in x:
+                return round(0.8 + 0.2 * min(len(x), len(y)) / max(len(x), len(y)), 6)
+            return round(SequenceMatcher(None, x, y).ratio(), 6) if exact else 0
+        want = [(x, y) for x, y in itertools.combinations(normal, 2) if alike(x, y) >= threshold]
+        assert rows(entities.similar_names(df, threshold, exact).select("name_a", "name_b")) == want
