@@ -1,4 +1,4 @@
-"""Entity resolution on vertex tables (record_id, name, entity_type): similar names of the same type, clusters, canonical names, coreference."""
+"""Entity resolution on vertex tables (record_id, name, entity_type, mentions where they count): similar names of the same type, clusters, canonical names, coreference."""
 
 from __future__ import annotations
 
@@ -47,6 +47,15 @@ def names(df: DataFrame) -> DataFrame:
     return df.select(kind.alias("entity_type"), normal_name(F.col("name")).alias("name"), "record_id").where("name <> ''").groupBy("entity_type", "name").agg(F.min("record_id").alias("record_id"))
 
 
+def spellings(df: DataFrame) -> DataFrame:
+    """(entity_type, name, spelling): the normal names of each type with the normal forms of themselves and of the mentions of their records.
+    Blank mentions are none; records without a name are left out, as in ``names``."""
+    kind = F.lower(F.trim(F.coalesce("entity_type", F.lit("unknown"))))
+    said = F.explode(F.concat(F.array("name"), F.coalesce("mentions", F.array().cast("array<string>"))))
+    one = df.select(kind.alias("entity_type"), normal_name(F.col("name")).alias("normal"), said.alias("said"))
+    return one.select("entity_type", F.col("normal").alias("name"), normal_name(F.col("said")).alias("spelling")).where("name <> '' and spelling <> ''").distinct()
+
+
 def similar_names(df: DataFrame, threshold: float = 0.85, exact_ratio: bool = False) -> DataFrame:
     """(entity_type, name_a, name_b, similarity): pairs of different normal names of the same type alike by ``threshold`` or more, name_a < name_b.
 
@@ -56,7 +65,25 @@ def similar_names(df: DataFrame, threshold: float = 0.85, exact_ratio: bool = Fa
     (1 - r) (m + n) + 1 stretches, each of which has q - 1 grams of q characters fewer than characters: the largest q is taken that
     leaves any to share, one character if none else.
     """
-    n = names(df)
+    return _similar(names(df), threshold, exact_ratio)
+
+
+def similar_records(df: DataFrame, threshold: float = 0.85, exact_ratio: bool = True) -> DataFrame:
+    """(entity_type, name_a, name_b, similarity): as ``similar_names``, but the similarity is the greatest of any spelling, name or mention, of the one
+    and any of the other; a mention that two names share makes it 1. The rows grow with the square of the names that share one."""
+    s = written(spellings(df))
+    alike = _similar(s.select("entity_type", F.col("spelling").alias("name")).distinct(), threshold, exact_ratio)
+    x, y = F.col("name_a").alias("x"), F.col("name_b").alias("y")
+    same = s.select("entity_type", F.col("spelling").alias("x"), F.col("spelling").alias("y"), F.lit(1.0).alias("similarity")).distinct()
+    links = alike.select("entity_type", x, y, "similarity").unionByName(alike.select("entity_type", F.col("name_b").alias("x"), F.col("name_a").alias("y"), "similarity")).unionByName(same)
+    a = s.select("entity_type", F.col("spelling").alias("x"), F.col("name").alias("name_a"))
+    b = s.select("entity_type", F.col("spelling").alias("y"), F.col("name").alias("name_b"))
+    both = links.join(a, ["entity_type", "x"]).join(b, ["entity_type", "y"]).where("name_a < name_b")
+    return both.groupBy("entity_type", "name_a", "name_b").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def _similar(n: DataFrame, threshold: float, exact_ratio: bool) -> DataFrame:
+    """The similar pairs of distinct normal names (entity_type, name)."""
     length, t = F.length("name"), threshold - 1e-6
     gram = lambda q: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - (q - 1)), lambda i: F.substring(F.col("name"), i, q)))
     shared = lambda q: F.ceil(2 * length * (t / 2 - (q - 1) * (1 - t)) - (q - 1)) if t / 2 > (q - 1) * (1 - t) else F.lit(0)
@@ -75,23 +102,35 @@ def similar_names(df: DataFrame, threshold: float = 0.85, exact_ratio: bool = Fa
     if t > 0.8:
         near &= n_ <= m * max((2 - t) / t if exact_ratio else 1, 0.2 / (t - 0.8))
     pairs = a.join(b, ["entity_type", "gram"]).where(near).select("entity_type", F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b")).distinct()
+    if exact_ratio:  # what does not match is at least the edits between the names
+        x, y = F.col("name_a"), F.col("name_b")
+        pairs = pairs.where((F.levenshtein(x, y) <= (1 - t) * (F.length(x) + F.length(y))) | F.contains(x, y) | F.contains(y, x))
     score = similarity("name_a", "name_b") if exact_ratio else plain_similarity(F.col("name_a"), F.col("name_b"))
     return pairs.withColumn("similarity", score).where(F.col("similarity") >= threshold)
 
 
-def clusters(df: DataFrame, threshold: float = 0.85, exact_ratio: bool = False) -> DataFrame:
-    """(entity_type, name, canonical, members): every normal name with the canonical one of its cluster, the longest (ties: the smallest), and the cluster's size."""
+def clusters(df: DataFrame, threshold: float = 0.85, exact_ratio: bool = False, mentions: bool = False) -> DataFrame:
+    """(entity_type, name, canonical, members): every normal name with the canonical one of its cluster, the longest (ties: the smallest), and the cluster's size.
+
+    With ``mentions`` names are linked as in ``similar_records``: each to its spellings, and those among themselves, so that the links
+    don't grow with the square of the names that share a mention.
+    """
     key = lambda t, n: F.concat(t, F.lit("\x1f"), n)
-    links = similar_names(df, threshold, exact_ratio).select(key(F.col("entity_type"), F.col("name_a")).alias("src"), key(F.col("entity_type"), F.col("name_b")).alias("dst"))
+    said = (lambda t, n: key(t, F.concat(F.lit("\x1f"), n))) if mentions else key
+    s = written(spellings(df)) if mentions else None
+    alike = _similar(s.select("entity_type", F.col("spelling").alias("name")).distinct(), threshold, exact_ratio) if mentions else similar_names(df, threshold, exact_ratio)
+    links = alike.select(said(F.col("entity_type"), F.col("name_a")).alias("src"), said(F.col("entity_type"), F.col("name_b")).alias("dst"))
+    if mentions:
+        links = links.unionByName(s.select(key(F.col("entity_type"), F.col("name")).alias("src"), said(F.col("entity_type"), F.col("spelling")).alias("dst")))
     joined = connected_components(links)
     n = names(df).withColumn("node", key(F.col("entity_type"), F.col("name"))).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = n.groupBy("component").agg(F.min(F.struct((-F.length("name")).alias("l"), "name")).alias("c"), F.count("*").alias("members"))
     return n.join(best, "component").select("entity_type", "name", F.col("c.name").alias("canonical"), "members")
 
 
-def report(df: DataFrame, threshold: float = 0.85, exact_ratio: bool = False) -> DataFrame:
+def report(df: DataFrame, threshold: float = 0.85, exact_ratio: bool = False, mentions: bool = False) -> DataFrame:
     """(names, canonical_names, merged_groups): before and after merging."""
-    c = clusters(df, threshold, exact_ratio)
+    c = clusters(df, threshold, exact_ratio, mentions)
     return c.agg(F.count("*").alias("names"), F.countDistinct("entity_type", "canonical").alias("canonical_names"), F.countDistinct(F.when(F.col("members") > 1, F.struct("entity_type", "canonical"))).alias("merged_groups"))
 
 

@@ -367,6 +367,28 @@ def entity_renamed_edges(spark: SparkSession, sf: str) -> DataFrame:
     return entities.renamed_edges(_edges(spark, sf), entities.clusters(_entity_records(spark, sf))).groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
+def _spelled_records(spark: SparkSession, sf: str) -> DataFrame:
+    named = read(spark, sf, "kg_entities", "record_id", "name", "entity_type").withColumn("mentions", F.lit(None).cast("array<string>"))
+    return read(spark, sf, "entity_nodes", "record_id", "name", "entity_type", "mentions").unionByName(named)
+
+
+def entity_duplicates_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """Duplicates as the reference finds them: the best of all combinations of names and mentions, by the matching ratio."""
+    return entities.similar_records(_spelled_records(spark, sf))
+
+
+def entity_clusters_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    return entities.clusters(_spelled_records(spark, sf), exact_ratio=True, mentions=True)
+
+
+def entity_report_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    return entities.report(_spelled_records(spark, sf), exact_ratio=True, mentions=True)
+
+
+def entity_renamed_edges_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    return entities.renamed_edges(_edges(spark, sf), entity_clusters_mentions(spark, sf)).groupBy("source", "target").agg(F.count("*").alias("n"))
+
+
 def coreference(spark: SparkSession, sf: str) -> DataFrame:
     nodes = read(spark, sf, "entity_nodes", "doc_id", "name").where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_set("name")).alias("entities"))
     return entities.coreference(_store(spark, sf), nodes)

@@ -209,3 +209,24 @@ def test_similar_names_against_all_pairs(spark):
             return round(SequenceMatcher(None, x, y).ratio(), 6) if exact else 0
         want = [(x, y) for x, y in itertools.combinations(normal, 2) if alike(x, y) >= threshold]
         assert rows(entities.similar_names(df, threshold, exact).select("name_a", "name_b")) == want
+
+
+def test_mentions_count_as_spellings(spark):
+    data = [
+        (1, "Ada Lovelace", "Person", ["the Countess", "she"]), (2, "Countess", "person", None), (3, "A. King", "person", ["Ada Lovelase", " ", None]), (4, "Zed", "person", ["she"]),
+        (5, "Countess", "tool", []), (6, None, "person", ["Zed"]), (7, "Brevuhabar", "tool", ["x"]), (8, "Brevuhabra", "tool", None), (1, "Ada Lovelace", "Person", ["she"]),
+    ]
+    df = spark.createDataFrame(data, "record_id int, name string, entity_type string, mentions array<string>")
+    by = {}
+    for r in entities.spellings(df).collect():
+        by.setdefault((r[0], r[1]), set()).add(r[2])
+    sim = lambda x, y: 1.0 if x == y else round(0.8 + 0.2 * min(len(x), len(y)) / max(len(x), len(y)), 6) if x in y or y in x else round(SequenceMatcher(None, x, y).ratio(), 6)
+    best = [(a[0], a[1], b[1], max(sim(min(x, y), max(x, y)) for x in by[a] for y in by[b])) for a, b in itertools.combinations(sorted(by), 2) if a[0] == b[0]]
+    got = rows(entities.similar_records(df))
+    assert got == [x for x in best if x[3] >= 0.85]
+    assert [x[:3] for x in got] == [("person", "a king", "ada lovelace"), ("person", "ada lovelace", "countess"), ("person", "ada lovelace", "zed"), ("tool", "brevuhabar", "brevuhabra")]
+    assert rows(entities.clusters(df, exact_ratio=True, mentions=True)) == [
+        ("person", "a king", "ada lovelace", 4), ("person", "ada lovelace", "ada lovelace", 4), ("person", "countess", "ada lovelace", 4), ("person", "zed", "ada lovelace", 4),
+        ("tool", "brevuhabar", "brevuhabar", 2), ("tool", "brevuhabra", "brevuhabar", 2), ("tool", "countess", "countess", 1),
+    ]
+    assert rows(entities.report(df, exact_ratio=True, mentions=True)) == [(7, 3, 2)]
