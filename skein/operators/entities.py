@@ -184,3 +184,32 @@ def coreference(texts: DataFrame, entity_lists: DataFrame, memory: int = 5) -> D
 
     joined = texts.select("id", "content").join(entity_lists.select("id", "entities"), "id", "left")
     return joined.mapInArrow(run, f"id {dict(texts.dtypes)['id']}, content string")
+
+
+def resolved_triples(edges: DataFrame, known: DataFrame, memory: int = 5) -> DataFrame:
+    """(doc_id, edge_id, source, relation, target): the relationships of each document, in the order of edge_id, whose ends are both names of
+    ``known`` (name), as they are spelled there, pronouns replaced by the entity they mean.
+
+    The last ``memory`` ends of the relationships kept count, a target after its source. Null ends are unknown; edges without document are
+    one graph. A document's edges are resolved in one place.
+    """
+
+    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+        recent: list[str] = []
+        out = []
+        for r in pdf.sort_values(["edge_id", "source", "relation", "target"]).itertuples(index=False):
+            ends = []
+            for end, is_known in ((r.source, r.source_known), (r.target, r.target_known)):
+                e = resolve_pronoun(end.lower(), recent) if end.lower() in PRONOUNS else None
+                ends.append((e or end, is_known or e is not None))
+            if all(k for _, k in ends):
+                out.append((r.doc_id, r.edge_id, ends[0][0], r.relation, ends[1][0]))
+                recent = [ends[1][0], ends[0][0], *recent][:memory]
+        return pd.DataFrame(out, columns=["doc_id", "edge_id", "source", "relation", "target"])
+
+    n = known.select("name").where("name is not null").distinct()
+    e = edges.select("doc_id", "edge_id", "source", "relation", "target").where("source is not null and target is not null")
+    for end in ("source", "target"):
+        e = e.join(n.select(F.col("name").alias(end), F.lit(True).alias(f"{end}_known")), end, "left").withColumn(f"{end}_known", F.coalesce(f"{end}_known", F.lit(False)))
+    types = dict(edges.dtypes)
+    return e.groupBy("doc_id").applyInPandas(resolve, f"doc_id {types['doc_id']}, edge_id {types['edge_id']}, source string, relation string, target string")

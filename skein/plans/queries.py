@@ -394,6 +394,10 @@ def coreference(spark: SparkSession, sf: str) -> DataFrame:
     return entities.coreference(_store(spark, sf), nodes)
 
 
+def coreference_triples(spark: SparkSession, sf: str) -> DataFrame:
+    return entities.resolved_triples(read(spark, sf, "kg_relationships").distinct(), read(spark, sf, "kg_entities", "name"))
+
+
 def _catalog(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "collections")
 

@@ -230,3 +230,18 @@ def test_mentions_count_as_spellings(spark):
         ("tool", "brevuhabar", "brevuhabar", 2), ("tool", "brevuhabra", "brevuhabar", 2), ("tool", "countess", "countess", 1),
     ]
     assert rows(entities.report(df, exact_ratio=True, mentions=True)) == [(7, 3, 2)]
+
+
+def test_resolved_triples(spark):
+    data = [
+        (1, "Dr Ada", "knows", "Engine", "d"), (2, "He", "built", "it", "d"), (3, "Nobody", "saw", "Engine", "d"), (4, "they", "own", "Mill", "d"), (5, "she", "sees", "Engine", "d"),
+        (1, "it", "is", "Mill", "e"), (2, None, "is", "Mill", "e"), (3, "Mill", None, "Engine", "e"), (4, "its", "x", "Dr Ada", None), (5, "Mill", "x", "Mill", None),
+    ]
+    edges = spark.createDataFrame(data, "edge_id bigint, source string, relation string, target string, doc_id string")
+    known = spark.createDataFrame([("Dr Ada",), ("Engine",), ("Mill",), ("Mill",), (None,)], "name string")
+    got = {(r.doc_id, r.edge_id): (r.source, r.relation, r.target) for r in entities.resolved_triples(edges, known).collect()}
+    assert got == {
+        ("d", 1): ("Dr Ada", "knows", "Engine"), ("d", 2): ("Dr Ada", "built", "Engine"), ("d", 4): ("Engine", "own", "Mill"), ("d", 5): ("Mill", "sees", "Engine"),
+        ("e", 3): ("Mill", None, "Engine"), (None, 5): ("Mill", "x", "Mill"),
+    }
+    assert entities.resolved_triples(edges.limit(0), known).count() == 0
