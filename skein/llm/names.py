@@ -405,6 +405,8 @@ def stars(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
         now = written(now.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti"))
         if now.isEmpty():
             break
+    else:
+        raise RuntimeError(f"stars not settled after {max_rounds} rounds")
     alone = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct().join(placed, "id", "left_anti").withColumn("star", F.col("id"))
     return placed.unionByName(alone)
 
@@ -444,12 +446,17 @@ def same_entities(records: DataFrame, margin: float = 0.04) -> DataFrame:
     return all_.join(all_.groupBy("entity").agg(F.min("record_id").alias("entity_id")), "entity").select("record_id", "entity_id")
 
 
-def same_entity_pairs(records: DataFrame, expand_up_to: int = 200, **how) -> DataFrame:
+def same_entity_pairs(records: DataFrame, expand_up_to: int | None = 200, **how) -> DataFrame:
     """(record_id_a, record_id_b): all pairs of records of an entity, a < b. Of an entity of more than ``expand_up_to`` records each is
-    paired with the smallest only, so that rows grow in proportion to the records."""
+    paired with the smallest only, so that rows grow in proportion to the records; None expands all, large entities in parts of 200."""
     placed = written(same_entities(records, **how))
     size = placed.groupBy("entity_id").agg(F.count("*").alias("n")).where("n > 1")
     placed = placed.join(size, "entity_id")
+    if expand_up_to is None:
+        parts = F.ceil(F.col("n") / 200).cast("int")
+        a = placed.select("entity_id", F.col("record_id").alias("record_id_a"), F.pmod(F.xxhash64("record_id"), parts).cast("int").alias("part"))
+        b = placed.select("entity_id", F.col("record_id").alias("record_id_b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        return a.join(b, ["entity_id", "part"]).where("record_id_a < record_id_b").select("record_id_a", "record_id_b")
     small = placed.where(F.col("n") <= expand_up_to)
     a, b = small.select("entity_id", F.col("record_id").alias("record_id_a")), small.select("entity_id", F.col("record_id").alias("record_id_b"))
     large = placed.where((F.col("n") > expand_up_to) & (F.col("record_id") != F.col("entity_id")))

@@ -34,7 +34,7 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return same_entity_pairs(_records(spark, sf))
+    return same_entity_pairs(_records(spark, sf), expand_up_to=None)
 
 
 def p2_entities(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import leaks, mixing, names, near_copies, neighbours, scans, splitting
 from skein.llm import keyword_pages as kp
+from skein.llm import queries as llm
 from skein.llm.words import Words, slices
 
 
@@ -117,6 +118,15 @@ def test_same_entities(spark):
     assert names.same_entity_pairs(same, expand_up_to=10).count() == 29
 
 
+def test_all_pairs_of_a_large_entity(spark, tmp_path):
+    spark.range(1, 302).selectExpr("id AS record_id", "'Isabella Levanzizu' AS name", "'PERSON' AS entity_type").write.parquet(str(tmp_path / "kg_entities.parquet"))
+    spark.sql("SELECT 900L AS record_id, 'Bella Levanzizu' AS name, 'person' AS entity_type, array('she') AS mentions").write.parquet(str(tmp_path / "entity_nodes.parquet"))
+    got = rows(llm.p2_found(spark, str(tmp_path)))
+    assert got == list(itertools.combinations([*range(1, 302), 900], 2))
+    with pytest.raises(RuntimeError):
+        names.stars(spark.createDataFrame([(1, 2, 2.9), (2, 3, 2.9), (3, 4, 2.9), (4, 5, 2.9)], "a bigint, b bigint, score double"), max_rounds=1)
+
+
 def test_bands_follow_the_collision_curve():
     b = names.bands_for(0.5, 3, 0.98)
     assert 1 - (1 - 0.5**3) ** b >= 0.98 > 1 - (1 - 0.5**3) ** (b - 1)
