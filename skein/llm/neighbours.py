@@ -1,13 +1,14 @@
 """Problem 4: the most similar vectors for every vector.
 
 Index: p-stable hashing. A table has m Gaussian projections of the unit vector, cut into cells of width w; the m cells name a
-bucket. A wall of each projection lies at the mean of the vectors, so that buckets are even; the mean is taken over all of them. A
+bucket. A wall of each projection lies at the mean of the vectors, so that buckets are even; it is taken of a sample of about ``fit_rows``
+vectors, all of them are filed. A
 vector is filed in its own bucket and in the neighbouring buckets likeliest to hold its neighbours: moving projection i by one
 cell costs the squared distance to that wall, and sets of moves are visited in the order of their summed cost (query-directed
 multiprobe). As every vector is filed under all its probes, two vectors meet where any of their probes agree.
 
 How many projections, probes and tables there are follows from the collision curve (:func:`plan`): of all settings whose buckets
-hold at most an eighth of the vectors, and at most ``coarse_rows``, the one that ships a vector least often and finds a pair of
+hold about an eighth of the vectors, and at most about ``coarse_rows``, the one that ships a vector least often and finds a pair of
 similarity ``similarity`` with probability ``recall``. A bucket of more than ``fine_rows`` is visited in memory by tables of its
 own, planned by the same curve. Vectors that meet are compared as matrix products, and the candidates of all tables are merged
 and reranked by the exact cosine in double precision.
@@ -45,9 +46,12 @@ BLOCK = 2048
 
 def usable(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
     """(id, v): the vectors that take part."""
-    v = F.col(vector_col)
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return df.select(F.col(id_col).cast("string").alias("id"), v.cast("array<float>").alias("v")).where((F.size(v) == dim) & ~bad & F.exists(v, lambda x: x != 0) & F.col("id").isNotNull())
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return _sized(df, id_col, vector_col, dim).where(~bad & F.exists("v", lambda x: x != 0))
+
+
+def _sized(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
+    return df.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where((F.size("v") == dim) & F.col("id").isNotNull())
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -131,7 +135,7 @@ def plan(n: int, dim: int, rows: int, recall: float, similarity: float, work: fl
     with the fewest copies of a vector; with ``work`` the one with the least comparisons, a copy costing as much as that many."""
     best = None
     for probes in PROBES if dim > 1 else (1,):
-        m = max(0, math.ceil(math.log2(max(1.0, n * probes / rows))))
+        m = max(0, math.ceil(math.log2(max(1.0, n * probes / rows)) - 0.1))
         for m in ((m,) if not work else range(m, m + 8)):
             if m > dim or m == 0 and probes > 1 or probes > m + 1:
                 continue
@@ -159,17 +163,36 @@ class Index:
         return np.concatenate([t.buckets(x) for t in self.tables], 1)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], dim: int, size: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(outer bucket, key, vectors) of (bucket, k, v): of equal vectors of a batch and bucket one."""
+def _keys(x: np.ndarray) -> np.ndarray:
+    """A hash of each row; equal rows have equal ones."""
+    mult = np.random.default_rng(5).integers(1, 1 << 62, x.shape[1]).astype(np.uint64) | np.uint64(1)
+    return mix((np.ascontiguousarray(x, "<f4").view("<u4") * mult).sum(1))
+
+
+def _once(key: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """One row for each key, that of the smallest id."""
+    order = np.argsort(key, kind="stable")
+    begin = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1]))) if len(key) else order
+    out = order[begin]
+    size = np.diff(np.append(begin, len(key)))
+    for g in np.flatnonzero(size > 1).tolist():
+        same = order[begin[g] : begin[g] + size[g]]
+        names = ids.take(pa.array(same)).to_pylist()
+        out[g] = same[names.index(min(names))]
+    return out
+
+
+def _batches(batches: Iterator[pa.RecordBatch], dim: int, size: int = 8192) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
+    """(outer bucket, id, key, vectors) of the usable vectors of (bucket, id, v): of equal ones of a batch and bucket one."""
     for whole in batches:
         for at in range(0, whole.num_rows, size):
             batch = whole.slice(at, size)
-            outer, key = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            x = _blobs(batch.column(2), dim) if pa.types.is_binary(batch.column(2).type) else matrix(batch.column(2), dim)
-            order = np.lexsort((key, outer))
-            o, k = outer[order], key[order]
-            once = order[np.concatenate(([True], (o[1:] != o[:-1]) | (k[1:] != k[:-1])))] if len(order) else order
-            yield outer[once], key[once], x[once]
+            x = (_blobs(batch.column(2), dim) if pa.types.is_binary(batch.column(2).type) else matrix(batch.column(2), dim)) + np.float32(0)
+            good = np.flatnonzero(np.isfinite(x).all(1) & x.any(1))
+            outer, ids, x = np.asarray(batch.column(0))[good], batch.column(1).take(pa.array(good)), x[good]
+            key = _keys(x)
+            once = _once(mix(outer.view(np.uint64)) ^ key, ids)
+            yield outer[once], ids.take(pa.array(once)), key[once], x[once]
 
 
 def _sums(dim: int):
@@ -177,7 +200,7 @@ def _sums(dim: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
-        for outer, _, x in _batches(batches, dim):
+        for outer, _, _, x in _batches(batches, dim):
             u = unit(x)
             for b in np.unique(outer).tolist():
                 mine = u[outer == b]
@@ -189,15 +212,16 @@ def _sums(dim: int):
     return run, "bucket bigint, n bigint, total array<double>"
 
 
-def _indexes(rows: DataFrame, dim: int, **how) -> dict[int, Index]:
-    """An index for each bucket of ``rows`` (bucket, k, v), around the mean of its vectors. One row a bucket and task leaves the workers."""
+def _indexes(rows: DataFrame, dim: int, every: int, **how) -> dict[int, Index]:
+    """An index for each bucket of ``rows`` (bucket, id, v), around the mean of one in ``every`` vectors. One row a bucket and task leaves the workers."""
     run, schema = _sums(dim)
+    rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0) if every > 1 else rows
     n: dict[int, int] = {}
     total: dict[int, np.ndarray] = {}
     for b, c, s in rows.mapInArrow(run, schema).toLocalIterator():
-        n[b] = n.get(b, 0) + c
+        n[b] = n.get(b, 0) + c * every
         total[b] = total.get(b, 0) + np.array(s)
-    return {b: Index(dim, c, total[b] / c, max(1, min(how["coarse_rows"], c // 8)), how["recall"], how["similarity"], how["seed"]) for b, c in n.items() if c}
+    return {b: Index(dim, c, total[b] * every / c, max(1, min(how["coarse_rows"], c // 8)), how["recall"], how["similarity"], how["seed"]) for b, c in n.items() if c}
 
 
 def _hashed(outer: np.ndarray, x: np.ndarray, index: dict[int, Index]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -211,7 +235,7 @@ def _hashed(outer: np.ndarray, x: np.ndarray, index: dict[int, Index]) -> Iterat
 def _counts(dim: int, index: dict[int, Index]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, int] = {}
-        for outer, _, x in _batches(batches, dim):
+        for outer, _, _, x in _batches(batches, dim):
             for _, b in _hashed(outer, x, index):
                 for k, c in zip(*(a.tolist() for a in np.unique(b, return_counts=True)), strict=True):
                     held[k] = held.get(k, 0) + c
@@ -221,12 +245,12 @@ def _counts(dim: int, index: dict[int, Index]):
 
 
 def _file(dim: int, index: dict[int, Index], hot: dict[int, int], want_hot: bool, tiles_of: int | None = None):
-    """(bucket, part, k, v): vectors under their buckets, those of hot ones only if ``want_hot``; with ``tiles_of`` hot buckets are cut into
+    """(bucket, part, id, v): vectors under their buckets, those of hot ones only if ``want_hot``; with ``tiles_of`` hot buckets are cut into
     tiles of that many rows, and a vector goes to all pairs of tiles it belongs to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crowded = np.array(sorted(hot), np.int64)
-        for outer, key, x in _batches(batches, dim, 2048):
+        for outer, ids, key, x in _batches(batches, dim, 2048):
             rows, buckets = [], []
             for mine, b in _hashed(outer, x, index):
                 rows.append(np.repeat(mine, b.shape[1]))
@@ -248,9 +272,9 @@ def _file(dim: int, index: dict[int, Index], hot: dict[int, int], want_hot: bool
                 at, b, part = (np.concatenate(c) for c in zip(*more, strict=True))
             blobs = np.ascontiguousarray(x[at], "<f4")
             offsets = np.arange(0, (len(at) + 1) * dim * 4, dim * 4, dtype=np.int32)
-            yield pa.record_batch([pa.array(b), pa.array(part), pa.array(key[at]), pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(blobs)])], names=["bucket", "part", "k", "v"])
+            yield pa.record_batch([pa.array(b), pa.array(part), ids.take(pa.array(at)), pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(blobs)])], names=["bucket", "part", "id", "v"])
 
-    return run, "bucket bigint, part bigint, k bigint, v binary"
+    return run, "bucket bigint, part bigint, id string, v binary"
 
 
 def _near_in(x: np.ndarray, groups: Iterator[np.ndarray], k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
@@ -322,9 +346,9 @@ def _visit(dim: int, k: int, min_similarity: float | None, recall: float, simila
                 if len(g) > 1:
                     yield g
 
-    def of(key: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        key, once = np.unique(key, return_index=True)
-        exact = unit(x[once])
+    def of(ids: pa.Array, x: np.ndarray) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        once = _once(_keys(x), ids)
+        ids, exact = ids.take(pa.array(once)), unit(x[once])
         i, j = _near_in(exact.astype(np.float32), groups(exact.astype(np.float32)), k, floor)
         s = np.concatenate([np.zeros(0), *((exact[i[lo : lo + 65536]] * exact[j[lo : lo + 65536]]).sum(1) for lo in range(0, len(i), 65536))])
         s = np.round(s, 6)
@@ -335,45 +359,45 @@ def _visit(dim: int, k: int, min_similarity: float | None, recall: float, simila
             last = np.minimum(begin + k, np.append(begin[1:], len(i))) - 1
             ok = (s >= np.repeat(s[last], np.diff(np.append(begin, len(i))))) & (s >= (-1.5 if min_similarity is None else min_similarity))
             i, j, s = i[ok], j[ok], s[ok]
-        return key[i], key[j], s
+        return ids.take(pa.array(i)), ids.take(pa.array(j)), s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[pa.Array, np.ndarray]] = []
         here = None
 
         def emit() -> Iterator[pa.RecordBatch]:
             if held:
-                a, b, s = of(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+                a, b, s = of(pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held]))
                 held.clear()
                 for lo in range(0, len(a), 100_000):
-                    yield pa.record_batch([pa.array(c[lo : lo + 100_000]) for c in (a, b, s)], names=["a", "b", "similarity"])
+                    yield pa.record_batch([a[lo : lo + 100_000], b[lo : lo + 100_000], pa.array(s[lo : lo + 100_000])], names=["a", "b", "similarity"])
 
         for batch in batches:
             place = np.stack([np.asarray(batch.column("bucket")), np.asarray(batch.column("part"))], 1)
-            key, x = np.asarray(batch.column("k")), _blobs(batch.column("v"), dim)
+            ids, x = batch.column("id"), _blobs(batch.column("v"), dim)
             edge = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1).tolist(), len(place)]
             for lo, hi in itertools.pairwise(edge):
                 if hi > lo:
                     if (now := tuple(place[lo].tolist())) != here:
                         yield from emit()
                         here = now
-                    held.append((key[lo:hi].copy(), x[lo:hi].copy()))
+                    held.append((ids[lo:hi], x[lo:hi].copy()))
         yield from emit()
 
-    return run, "a bigint, b bigint, similarity double"
+    return run, "a string, b string, similarity double"
 
 
 def nearest(
     df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 10, min_similarity: float | None = None, recall: float = 0.9, similarity: float = 0.72,
-    coarse_rows: int = 128_000, fine_rows: int = 24_000, hot_rows: int = 256_000, levels: int = 3, seed: int = 11,
+    coarse_rows: int = 128_000, fine_rows: int = 24_000, hot_rows: int = 256_000, levels: int = 3, fit_rows: int = 20_000, seed: int = 11,
 ) -> DataFrame:
     """(id, neighbour, similarity, rank): for every usable vector its ``k`` most similar others of ``min_similarity`` or more, rank from 1."""
-    base = usable(df, id_col, vector_col, dim).select("id", F.xxhash64("v").alias("k"), "v")
-    rows = base.select(F.lit(0).cast("long").alias("bucket"), "k", "v")
+    rows = _sized(df, id_col, vector_col, dim).select(F.lit(0).cast("long").alias("bucket"), "id", "v")
+    every = max(1, df.count() // fit_rows)
     visit, found_schema = _visit(dim, k, min_similarity, 1 - (1 - recall) / 4, similarity, fine_rows, seed)
     sims = None
     for level in range(levels + 1):
-        index = _indexes(rows, dim, coarse_rows=coarse_rows, recall=recall, similarity=similarity, seed=seed + 100 * level)
+        index = _indexes(rows, dim, every if level == 0 else 1, coarse_rows=coarse_rows, recall=recall, similarity=similarity, seed=seed + 100 * level)
         run, schema = _counts(dim, index)
         # at most copies * n / hot_rows buckets are hot
         hot = {r["bucket"]: r["n"] for r in rows.mapInArrow(run, schema).groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > hot_rows).toLocalIterator()}
@@ -383,19 +407,17 @@ def nearest(
         if not hot or level == levels:
             break
         run, schema = _file(dim, index, hot, True)
-        rows = written(rows.mapInArrow(run, schema).select("bucket", "k", "v"))
+        rows = written(rows.mapInArrow(run, schema).select("bucket", "id", "v"))
     best = sims.repartition("a").dropDuplicates(["a", "b"]).withColumn("r", F.rank().over(Window.partitionBy("a").orderBy(F.desc("similarity")))).where(F.col("r") <= k).drop("r")
-    return _lists(base.select("id", "k"), best, k)
+    return _lists(usable(df, id_col, vector_col, dim).select("id", F.xxhash64("v").alias("k")), written(best), k)
 
 
 def _lists(ids: DataFrame, best: DataFrame, k: int) -> DataFrame:
-    """The k best of every id, from the best of each different vector. Of a vector stored many times only the k + 1
+    """The k best of every id, from the best of the smallest id of each set of equal vectors. Of a vector stored many times only the k + 1
     smallest ids can be anyone's neighbour, so only those are expanded."""
-    named = written(ids.groupBy("k").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    again = written(ids.join(named.where("n > 1").select("k", "rep"), "k").select("rep", "id"))
+    again = written(ids.join(ids.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where("n > 1").select("k", "rep"), "k").select("rep", "id"))
     first = again.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1).groupBy("rep").agg(F.collect_list("id").alias("ids"))
     order = [F.desc("similarity"), F.asc("neighbour")]
-    best = written(best.join(named.select(F.col("k").alias("b"), F.col("rep").alias("other")), "b").join(named.select(F.col("k").alias("a"), "rep"), "a").select(F.col("rep").alias("a"), F.col("other").alias("b"), "similarity"))
     near = best.join(first.withColumnRenamed("rep", "b"), "b", "left").select("a", F.explode(F.coalesce("ids", F.array("b"))).alias("neighbour"), "similarity")
     own = first.select(F.col("rep").alias("a"), F.explode("ids").alias("neighbour"), F.lit(1.0).alias("similarity"))
     listed = near.unionByName(own).withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(*order))).where(F.col("rank") <= k + 1)
