@@ -8,6 +8,9 @@ so joining on (block, its symbols) finds every such pair without comparing all p
 probability 1 - (1 - s^rows)^blocks, 0.9999 at s = 0.6 with the defaults. The join verifies the Hamming distance of the
 candidates (three bits of every symbol, packed into two longs) and an exact comparison of the shingle sets follows.
 
+A block that many rows share is cut into tiles. Classes need no more links than join their texts: first each row of a block is compared with one
+of it, and then what is still apart with the rest.
+
 Texts with the same shingle set, exact copies above all, are one *class* before any join: only one representative of each takes
 part, so a copy that makes up a third of all rows costs one row in the join.
 
@@ -129,31 +132,65 @@ def _distance(x: str, y: str) -> Column:
     return F.bit_count(folded.bitwiseAND(F.lit(_LOW)))
 
 
-def _classes_and_links(df: DataFrame, id_col: str, text_col: str, similarity: float, shingle: int, min_words: int, blocks: int, rows: int, max_distance: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(id, rep): the class of each text that takes part; (a, b, similarity): the links between representatives, a < b."""
+HOT = 2000  # rows of a block that are compared in one task
+
+
+def _fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, min_words: int, blocks: int, rows: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, rep): the class of each text that takes part; (id, f1, f2, keys) of the representatives; (id, shingles) of all texts."""
+    if blocks * rows > 2 * PER_LONG:
+        raise ValueError(f"fingerprints have {2 * PER_LONG} symbols at most")
     texts = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     run, schema = _fingerprint(shingle, min_words, blocks, rows, seed)
     prints = written(texts.mapInArrow(run, schema))
-    reps = prints.groupBy("d1", "d2").agg(F.min_by(F.struct("id", "f1", "f2", "keys"), "id").alias("rep"))
+    reps = written(prints.groupBy("d1", "d2").agg(F.min_by(F.struct("id", "f1", "f2", "keys"), "id").alias("rep")))
     classes = prints.select("id", "d1", "d2").join(reps.select("d1", "d2", F.col("rep.id").alias("rep")), ["d1", "d2"]).select("id", "rep").distinct()
-    rows_ = reps.select(F.col("rep.id").alias("id"), F.col("rep.f1").alias("f1"), F.col("rep.f2").alias("f2"), F.explode("rep.keys").alias("key"))
-    left, right = (rows_.select(F.col("key"), *(F.col(c).alias(c + s) for c in ("id", "f1", "f2"))) for s in ("_a", "_b"))
-    pairs = (
-        left.join(right, "key")
-        .where((F.col("id_a") < F.col("id_b")) & (_distance("f1_a", "f1_b") + _distance("f2_a", "f2_b") <= max_distance))
-        .select("id_a", "id_b")
-        .distinct()
-    )
     run, schema = _shingle_sets(shingle, min_words)
-    sets = texts.mapInArrow(run, schema)
-    links = (
+    return classes, reps.select("rep.*"), texts.mapInArrow(run, schema)
+
+
+def _blocks_of(reps: DataFrame) -> DataFrame:
+    return reps.withColumn("key", F.explode("keys")).drop("keys")
+
+
+def _met(left: DataFrame, right: DataFrame, differ: Column, max_distance: int) -> DataFrame:
+    """(id_a, id_b): pairs of rows (key, id, f1, f2) that share a block and are near by their fingerprints, smaller id first. A block of more than
+    ``HOT`` rows is cut into tiles of the left side, each of which meets the right side in a task of its own."""
+    hot = written(left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key", F.ceil(F.col("n") / HOT).cast("int").alias("tiles")))
+    tiles = F.coalesce("tiles", F.lit(1))
+    a = left.join(hot, "key", "left").select("key", F.pmod(F.xxhash64("id"), tiles).cast("int").alias("part"), *(F.col(c).alias(f"{c}_a") for c in left.columns if c != "key"))
+    b = right.join(hot, "key", "left").select("key", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("part"), *(F.col(c).alias(f"{c}_b") for c in right.columns if c != "key"))
+    near = a.join(b, ["key", "part"]).where(differ & (_distance("f1_a", "f1_b") + _distance("f2_a", "f2_b") <= max_distance))
+    return near.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, similarity): the pairs whose shingle sets are alike."""
+    return (
         pairs.join(sets.select(F.col("id").alias("id_a"), F.col("shingles").alias("x")), "id_a")
         .join(sets.select(F.col("id").alias("id_b"), F.col("shingles").alias("y")), "id_b")
         .select("id_a", "id_b", "x", "y")
         .mapInArrow(_exact, "a string, b string, similarity double")
         .where(F.col("similarity") >= similarity)
     )
-    return classes, links
+
+
+def _joined(reps: DataFrame, sets: DataFrame, similarity: float, max_distance: int) -> DataFrame:
+    """(node, component): the classes of representatives, without all their links.
+
+    First each row of a block is compared with the block's first one only, so a family of m reworkings costs m comparisons a block. What these links
+    have not joined with most of its block yet is then compared with all of the block that is in other components; no link between components is
+    left out.
+    """
+    rows_ = _blocks_of(reps)
+    first = rows_.groupBy("key").agg(F.min_by(F.struct("id", "f1", "f2"), "id").alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.id").alias("id_b"), F.col("c.f1").alias("f1_b"), F.col("c.f2").alias("f2_b"))
+    near = rows_.select("key", *(F.col(c).alias(f"{c}_a") for c in ("id", "f1", "f2"))).join(first, "key").where((F.col("id_a") != F.col("id_b")) & (_distance("f1_a", "f1_b") + _distance("f2_a", "f2_b") <= max_distance))
+    stars = written(_verified(near.select("id_b", "id_a").distinct().select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")), sets, similarity).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    part = connected_components(stars)
+    placed = _blocks_of(reps.join(part.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    most = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("key", "most")
+    open_ = written(placed.join(most, "key"))
+    rest = _met(open_.where("component <> most").drop("most"), open_.drop("most"), F.col("component_a") != F.col("component_b"), max_distance)
+    return connected_components(stars.unionByName(_verified(rest, sets, similarity).select(F.col("a").alias("src"), F.col("b").alias("dst"))))
 
 
 def near_copy_pairs(df: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, shingle: int = 5, min_words: int = 0, blocks: int = 20, rows: int = 2, max_distance: int = 26, seed: int = 7, expand_up_to: int = 200) -> DataFrame:
@@ -163,7 +200,9 @@ def near_copy_pairs(df: DataFrame, id_col: str, text_col: str, similarity: float
     ``expand_up_to`` members. A larger class is given by its representative: each member is paired with it, and only it with
     members of other classes, so rows grow in proportion to the copies and no link between different texts is lost.
     """
-    classes, links = _classes_and_links(df, id_col, text_col, similarity, shingle, min_words, blocks, rows, max_distance, seed)
+    classes, reps, sets = _fingerprints(df, id_col, text_col, shingle, min_words, blocks, rows, seed)
+    rows_ = _blocks_of(reps)
+    links = _verified(_met(rows_, rows_, F.col("id_a") < F.col("id_b"), max_distance), sets, similarity)
     sized = classes.groupBy("rep").agg(F.count("*").alias("n"))
     many = sized.where("n > 1")
     copies = classes.join(many, "rep")
@@ -183,19 +222,23 @@ def near_copy_pairs(df: DataFrame, id_col: str, text_col: str, similarity: float
     return across.unionByName(within).select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"))
 
 
-def near_copy_classes(df: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, shingle: int = 5, min_words: int = 0, blocks: int = 20, rows: int = 2, max_distance: int = 26, seed: int = 7) -> DataFrame:
+def near_copy_classes(df: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, shingle: int = 5, min_words: int = 0, blocks: int = 20, rows: int = 2, max_distance: int = 26, seed: int = 7, count_links: bool = True) -> DataFrame:
     """One row per text: (id, class_id, class_size, links). Texts chained by links are one class, named by its smallest id; ``links``
-    counts the different texts a text is linked with directly. Texts that take no part are classes of one."""
-    classes, links = _classes_and_links(df, id_col, text_col, similarity, shingle, min_words, blocks, rows, max_distance, seed)
-    classes, links = written(classes), written(links)
-    joined = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("links"))
+    counts the different texts a text is linked with directly. Texts that take no part are classes of one. Without ``count_links`` there is no
+    such column, and the links of a family, which grow with the square of its texts, are not all looked at."""
+    classes, reps, sets = _fingerprints(df, id_col, text_col, shingle, min_words, blocks, rows, seed)
+    classes = written(classes)
+    if count_links:
+        rows_ = _blocks_of(reps)
+        links = written(_verified(_met(rows_, rows_, F.col("id_a") < F.col("id_b"), max_distance), sets, similarity))
+        joined = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    else:
+        joined = _joined(reps, sets, similarity, max_distance)
     ids = df.select(F.col(id_col).cast("string").alias("id")).where("id is not null").distinct()
-    each = (
-        ids.join(classes, "id", "left")
-        .withColumn("rep", F.coalesce("rep", "id"))
-        .join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .join(degree.withColumnRenamed("a", "rep"), "rep", "left")
-        .select("id", F.coalesce("component", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    )
-    return each.join(each.groupBy("class_id").agg(F.count("*").alias("class_size")), "class_id").select("id", "class_id", "class_size", "links")
+    each = ids.join(classes, "id", "left").withColumn("rep", F.coalesce("rep", "id")).join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    each = each.select("id", "rep", F.coalesce("component", "rep").alias("class_id"))
+    out = each.join(each.groupBy("class_id").agg(F.count("*").alias("class_size")), "class_id")
+    if not count_links:
+        return out.select("id", "class_id", "class_size")
+    degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("links"))
+    return out.join(degree.withColumnRenamed("a", "rep"), "rep", "left").select("id", "class_id", "class_size", F.coalesce("links", F.lit(0)).cast("long").alias("links"))

@@ -8,7 +8,7 @@ cell costs the squared distance to that wall, and sets of moves are visited in t
 multiprobe). As every vector is filed under all its probes, two vectors meet where any of their probes agree.
 
 How many projections, probes and tables there are follows from the collision curve (:func:`plan`): of all settings whose buckets
-hold about an eighth of the vectors, and at most about ``coarse_rows``, the one that ships a vector least often and finds a pair of
+hold about an eighth of the vectors (1,500 at least, ``coarse_rows`` at most), the one that ships a vector least often and finds a pair of
 similarity ``similarity`` with probability ``recall``. A bucket of more than ``fine_rows`` is visited in memory by tables of its
 own, planned by the same curve. Vectors that meet are compared as matrix products, and the candidates of all tables are merged
 and reranked by the exact cosine in double precision.
@@ -221,7 +221,7 @@ def _indexes(rows: DataFrame, dim: int, every: int, **how) -> dict[int, Index]:
     for b, c, s in rows.mapInArrow(run, schema).toLocalIterator():
         n[b] = n.get(b, 0) + c * every
         total[b] = total.get(b, 0) + np.array(s)
-    return {b: Index(dim, c, total[b] * every / c, max(1, min(how["coarse_rows"], c // 8)), how["recall"], how["similarity"], how["seed"]) for b, c in n.items() if c}
+    return {b: Index(dim, c, total[b] * every / c, min(how["coarse_rows"], how["hot_rows"], max(1500, c // 8)), how["recall"], how["similarity"], how["seed"]) for b, c in n.items() if c}
 
 
 def _hashed(outer: np.ndarray, x: np.ndarray, index: dict[int, Index]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -397,7 +397,7 @@ def nearest(
     visit, found_schema = _visit(dim, k, min_similarity, 1 - (1 - recall) / 4, similarity, fine_rows, seed)
     sims = None
     for level in range(levels + 1):
-        index = _indexes(rows, dim, every if level == 0 else 1, coarse_rows=coarse_rows, recall=recall, similarity=similarity, seed=seed + 100 * level)
+        index = _indexes(rows, dim, every if level == 0 else 1, coarse_rows=coarse_rows, hot_rows=hot_rows, recall=recall, similarity=similarity, seed=seed + 100 * level)
         run, schema = _counts(dim, index)
         # at most copies * n / hot_rows buckets are hot
         hot = {r["bucket"]: r["n"] for r in rows.mapInArrow(run, schema).groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > hot_rows).toLocalIterator()}

@@ -24,7 +24,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return near_copy_classes(read(spark, sf, "store_documents", "doc_id", "content"), "doc_id", "content", **NEAR).withColumnRenamed("id", "doc_id")
+    return near_copy_classes(read(spark, sf, "store_documents", "doc_id", "content"), "doc_id", "content", **NEAR, count_links=False).withColumnRenamed("id", "doc_id")
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:

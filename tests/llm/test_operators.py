@@ -91,6 +91,40 @@ def test_near_copy_classes_and_large_groups(spark, copies):
     assert near_copies.near_copy_pairs(same, "doc", "body").count() == 30 * 29 // 2
 
 
+def test_families_cost_no_square_of_links(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    word = lambda: "w%d" % rng.integers(0, 100_000)
+    texts = []
+    for f in range(3):
+        base = [word() for _ in range(60)]
+        for j in range(150):
+            changed = list(base)
+            for p in rng.integers(0, 60, int(rng.integers(0, 6))):
+                changed[p] = word()
+            texts.append((f"{f}-{j:03}", " ".join(changed)))
+    bridge = texts[0][1].split()[:30] + texts[150][1].split()[:12]
+    texts += [("9", " ".join(bridge)), ("8", None)]
+    pairs = brute_pairs(texts, 3, 0.6, 20)
+    group = {i: {i} for i, _ in texts}
+    for a, b in pairs:
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for x in group[b]:
+                group[x] = group[a]
+    monkeypatch.setattr(near_copies, "HOT", 40)
+    seen = []
+    verify = near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda p, *a: seen.append(p.count()) or verify(p, *a))
+    df = spark.createDataFrame(texts, "doc string, body string")
+    got = {r["id"]: (r["class_id"], r["class_size"]) for r in near_copies.near_copy_classes(df, "doc", "body", 0.6, 3, 20, count_links=False).collect()}
+    assert got == {i: (min(g), len(g)) for i, g in group.items()}
+    assert sum(seen) < len(pairs) / 2 and len(pairs) > 10_000
+    assert rows(near_copies.near_copy_pairs(df, "doc", "body", 0.6, 3, 20)) == pairs
+    assert near_copies.near_copy_classes(df.limit(0), "doc", "body", count_links=False).count() == 0
+    with pytest.raises(ValueError):
+        near_copies.near_copy_pairs(df, "doc", "body", blocks=21)
+
+
 # problem 2
 
 
