@@ -6,25 +6,24 @@ phrases look ordinary. Only what is *supported* is kept for the second pass: pai
 more, and words held by ``word_share``. There are at most (pairs in a text, on average) / pair_share of them whatever the size
 of the corpus, which bounds what is broadcast.
 
-Pages: the words of a text are put down to links, to tags, to repeated collocations, to strings of keywords or to word salad, and
-a page whose sum is more than ``share`` of its words is found.
-
-* A sentence or line is a *repeated collocation* if ``unit_share`` of its letters or more are in pairs that occur ``repeats`` times or more in
-  the page although few texts of the corpus hold them.
-* *Strings of keywords* are eight or more items in a row of at most three words, made of words the corpus knows; records and
-  tables, whose items are names and numbers, are not.
-* *Salad* is a run of twenty words or more without punctuation whose mean pointwise mutual information of neighbours is low:
-  hardly any of its pairs is supported by other texts, which is never so in sentences, even unpunctuated ones.
-
-A cheap vectorised look rules out texts that can't reach the share; it only skips texts that have no links or tags to speak of, no
-repetition, no long runs and few short items. Null and blank texts and texts of fewer than ``min_words`` words are never found.
+Pages: the words of a text are put down to links, to tags, to word salad, to repeated collocations or to strings of keywords, and
+a page whose sum is more than ``share`` of its words is found. But for links and tags, which their form tells, mean pointwise mutual information (PMI) decides.
+
+* *Salad* is a run of ``run_words`` words or more without punctuation whose neighbours have a mean PMI below ``low_pmi`` in the corpus (pairs
+  that the page itself repeats count as 0); half of it if few words come again. In sentences, even unpunctuated ones, it is far higher.
+* A sentence or line is a *repeated collocation* if its mean PMI with the page is ``high_pmi`` or more: the PMI of a pair of neighbours
+  that occurs ``repeats`` times or more with the texts that hold it, the logarithm of texts over texts that hold it (0 below ``odd``).
+* *Strings of keywords* are ``run_items`` or more items in a row of at most three words, made of words the corpus knows, whose neighbours have a mean PMI
+  below ``list_pmi``; records and tables, whose items are names and numbers, are not.
+
+A cheap vectorised look rules out texts that can't reach the share. Null and blank texts and texts of fewer than ``min_words`` words are never found.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -96,8 +95,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Counts:
     """Supported words and pairs of a corpus of ``n`` texts, which hold ``held`` different words each, summed up."""
 
-    def __init__(self, n: int, held: int, words: dict[int, int], pair_keys: np.ndarray, pair_counts: np.ndarray):
-        self.n, self.held, self.words, self.pair_keys, self.pair_counts = n, held, words, pair_keys, pair_counts
+    def __init__(self, n: int, held: int, least: float, word_keys: np.ndarray, word_counts: np.ndarray, pair_keys: np.ndarray, pair_counts: np.ndarray):
+        self.n, self.held, self.least = n, held, least
+        self.word_keys, self.word_counts, self.pair_keys, self.pair_counts = word_keys, word_counts, pair_keys, pair_counts
 
     def support(self, keys: np.ndarray) -> np.ndarray:
         """How many texts hold each pair; 0 if it isn't supported."""
@@ -107,50 +107,114 @@ class Counts:
         return np.where(self.pair_keys[at] == keys, self.pair_counts[at], 0)
 
 
-def corpus_counts(df: DataFrame, text_col: str, pair_share: float, word_share: float) -> Counts:
-    texts = df.select(F.col(text_col).alias("text")).where("text is not null").distinct()
-    counted = texts.mapInArrow(_count, "kind tinyint, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    def pmi(self, h: np.ndarray, support: np.ndarray) -> np.ndarray:
+        """The pointwise mutual information of each word with the next; 0 where the pair is not supported."""
+        if not len(self.word_keys):
+            return np.zeros(len(support))
+        at = np.minimum(np.searchsorted(self.word_keys, h), len(self.word_keys) - 1)
+        df = np.maximum(np.where(self.word_keys[at] == h, self.word_counts[at], 3), 3).astype(float)
+        return np.where(support > 0, np.maximum(0, np.log(np.maximum(support, 1) * max(1, self.held) / (df[:-1] * df[1:]))), 0.0)
+
+    def rarity(self, support: np.ndarray) -> np.ndarray:
+        """The pointwise mutual information of a text with a pair it holds."""
+        return np.log(max(1, self.n) / np.maximum(support, self.least))
+
+    def knows(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.word_keys):
+            return np.zeros(len(h), bool)
+        return self.word_keys[np.minimum(np.searchsorted(self.word_keys, h), len(self.word_keys) - 1)] == h
+
+
+def corpus_counts(df: DataFrame, id_col: str, text_col: str, pair_share: float, word_share: float) -> Counts:
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    # exact copies are told by hashes; the texts themselves are shuffled only where there are too many copies to broadcast their ids
+    marked = texts.select("id", F.xxhash64("text").alias("x"), F.xxhash64(F.reverse("text")).alias("y"))
+    same = marked.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    again = written(marked.join(same, ["x", "y"]).where("id <> first").select("id"))
+    counted = texts.join(again, "id", "left_anti").select("text").mapInArrow(_count, "kind tinyint, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counted = written(counted)
     sums = dict(counted.where("kind = 2").select("key", "n").collect())
     total = sums.get(0, 0)
-    least = F.when(F.col("kind") == 0, max(3.0, word_share * total)).otherwise(max(4.0, pair_share * total))
-    rows = counted.where((F.col("kind") < 2) & (F.col("n") >= least)).toArrow()
+    bars = max(3.0, word_share * total), max(4.0, pair_share * total)
+    rows = counted.where((F.col("kind") < 2) & (F.col("n") >= F.when(F.col("kind") == 0, bars[0]).otherwise(bars[1]))).toArrow()
     kind, key, many = (np.asarray(rows.column(c).combine_chunks()) for c in ("kind", "key", "n"))
-    word, pair = kind == 0, kind == 1
-    order = np.argsort(key[pair].view(np.uint64))
-    return Counts(total, sums.get(1, 0), dict(zip(key[word].view(np.uint64).tolist(), many[word].tolist(), strict=True)), key[pair].view(np.uint64)[order], many[pair][order])
+    key = key.view(np.uint64)
+    order = np.argsort(key)
+    word, pair = order[kind[order] == 0], order[kind[order] == 1]
+    return Counts(total, sums.get(1, 0), bars[1], key[word], many[word], key[pair], many[pair])
+
+
+def _flags(points: np.ndarray, chars: str) -> np.ndarray:
+    return np.isin(points, [ord(c) for c in chars])
 
 
-def suspects(texts: list[str]) -> np.ndarray:
-    """Whether each text could be found at all, by a few passes over all of them."""
+@lru_cache(1)
+def _spaces() -> np.ndarray:
+    return np.array([i for i in range(0x3001) if chr(i).isspace()], np.uint32)
+
+
+def _ends(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Whether ``STOP`` and whether ``BREAK`` is found between each word and the next."""
+    points = words.raw
+    space = np.isin(points, _spaces())
+    place = np.zeros(len(points) + 1, np.int64)
+    place[words.start] += 1
+    np.subtract.at(place, words.end, 1)
+    inside = np.cumsum(place) > 0
+    stop, closing = _flags(points, ".?!。！？…"), _flags(points, "\"'”’»)")
+    other = np.maximum.accumulate(np.where(~closing, np.arange(len(points)), -1))
+    closed = stop | closing & (other >= 0) & stop[np.maximum(other, 0)]
+    after = np.concatenate((space[1:], [True])) | inside[1:]
+    ended = (points == 10) | closed & after
+    dash = (points == 45) & np.concatenate(([False], space[:-1])) & np.concatenate((space[1:], [False]))
+    broken = _flags(points, ",;:|/()[]{}•*·–—!?.\n") | dash
+
+    def between(mark: np.ndarray) -> np.ndarray:
+        n = np.concatenate(([0], np.cumsum(mark)))
+        return n[words.start[1:]] > n[words.end[:-1]]
+
+    return between(ended), between(broken)
+
+
+def suspects(texts: list[str], counts: Counts, share: float = 0.5, repeats: int = 4, odd: float = 3.9, high_pmi: float = 2.0, run_words: int = 20, run_items: int = 8, low_pmi: float = 1.0) -> np.ndarray:
+    """Whether :func:`parts` could put more than ``share`` of the words of each text down to stuffing, by a few passes over all of them.
+
+    Texts with signs of links or tags are looked at in any case. Of others the words of units that could be repeated collocations, of
+    long items of low information and of runs of short items are counted as there, without the conditions that only lower the counts.
+    """
     words = Words(texts)
-    n = np.bincount(words.doc, minlength=words.n).astype(np.float64) if len(words.doc) else np.zeros(words.n)
-    out = np.array([t.count("#") >= 4 or "://" in t or "www." in t or "/" in t for t in texts])
-    if not len(words.h):
+    out = np.array([any(x in t for x in ("://", "www.", "/", "](", "<a")) or "#" in t and TAG.search(t) is not None for t in texts], bool)
+    if len(words.h) < 2:
         return out
+    n = np.bincount(words.doc, minlength=words.n).astype(np.float64)
     h = masked(words)
-    g = mix(pairs(h) + words.doc[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, at, many = np.unique(g, return_inverse=True, return_counts=True)
-    again = (many[at] >= 4) & (words.doc[:-1] == words.doc[1:])
-    out |= np.bincount(words.doc[:-1], again, words.n) > 0.2 * n
-    mark = np.zeros(len(words.points) + 1, np.int64)
-    np.cumsum((words.points > 32) & ~_plain(words.points), out=mark[1:])
-    line = np.zeros(len(words.points) + 1, np.int64)
-    np.cumsum(words.points == 10, out=line[1:])
-    broken = (mark[words.start[1:]] > mark[words.end[:-1]]) | (line[words.start[1:]] > line[words.end[:-1]]) | (words.doc[1:] != words.doc[:-1])
-    run = np.concatenate(([0], np.cumsum(broken)))
-    length = np.bincount(run)[run]
-    out |= np.bincount(words.doc, length >= 20, words.n) > 0.2 * n
-    out |= np.bincount(words.doc, length <= 3, words.n) > 0.3 * n
-    return out
-
-
-def _plain(points: np.ndarray) -> np.ndarray:
-    """Characters that don't break a run of words: letters, digits, hyphens, apostrophes, percent signs."""
-    return (points >= 128) & (points < 0x2010) & (points != 0xB7) | (points > 0x2E7F) & ((points < 0x3000) | (points > 0x303F)) & (points < 0xFF00) | (points >= 48) & (points <= 57) | (points >= 97) & (points <= 122) | np.isin(points, [37, 39, 45, 95, 0x2019, 0x2010, 0x2011])
-
-
-def parts(text: str, counts: Counts, repeats: int = 4, unit_share: float = 0.4, run_words: int = 20, run_items: int = 8, known: float = 0.85, low_pmi: float = 1.0) -> tuple[int, dict[str, int]]:
+    g = pairs(h)
+    inner = words.doc[:-1] == words.doc[1:]
+    _, at, many = np.unique(mix(g + words.doc[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
+    again = (many[at] >= repeats) & inner
+    support = counts.support(g)
+    pmi = np.where(inner & ~again, counts.pmi(h, support), 0.0)
+    excess = np.zeros(len(h))
+    rare = np.where(again, counts.rarity(support), 0.0)
+    excess[:-1] = np.where(rare >= odd, rare, 0)
+    excess[1:] = np.maximum(excess[1:], excess[:-1])
+    ended, broken = _ends(words)
+    unit = np.concatenate(([0], np.cumsum(ended | ~inner)))
+    letters = words.end - words.start
+    repeated = (np.bincount(unit, excess * letters) >= high_pmi * np.bincount(unit, letters) - 1e-9)[unit]
+    item = np.concatenate(([0], np.cumsum(broken | ~inner)))
+    length = np.bincount(item)
+    within = item[:-1] == item[1:]
+    mean = np.bincount(item[:-1][within], pmi[within], minlength=len(length)) / np.maximum(length - 1, 1)
+    salad = ((length >= run_words) & (mean < low_pmi + 1e-9))[item]
+    first = np.concatenate(([True], item[1:] != item[:-1]))
+    short, doc = length <= 3, words.doc[first]
+    run = np.concatenate(([0], np.cumsum((short[1:] != short[:-1]) | (doc[1:] != doc[:-1]))))
+    listed = (short & (np.bincount(run)[run] >= run_items))[item]
+    return out | (np.bincount(words.doc, repeated | salad | listed, words.n) > share * n)
+
+
+def parts(text: str, counts: Counts, repeats: int = 4, odd: float = 3.9, high_pmi: float = 2.0, run_words: int = 20, run_items: int = 8, known: float = 0.85, low_pmi: float = 1.0, list_pmi: float = 2.0) -> tuple[int, dict[str, int]]:
     """The number of words of a text, and how many are put down to each kind of stuffing."""
     n = len(WORD.findall(text))
     found = dict.fromkeys(("link", "tag", "repeated", "keywords", "salad"), 0)
@@ -174,42 +238,45 @@ def parts(text: str, counts: Counts, repeats: int = 4, unit_share: float = 0.4,
     h = masked(words)
     g = pairs(h)
     support = counts.support(g)
-    starts, ends = words.start.tolist(), words.end.tolist()
-    gaps = [rest[ends[i] : starts[i + 1]] for i in range(k - 1)]
+    gaps = [rest[a:b] for a, b in zip(words.end[:-1].tolist(), words.start[1:].tolist(), strict=True)]
     kind = np.zeros(k, np.int8)
+    letters = words.end - words.start  # units are weighed by letters, as texts without spaces have few and long words
     u, at, many = np.unique(g, return_inverse=True, return_counts=True)
-    odd = (many[at] >= repeats) & (support <= 0.02 * counts.n) & ~((h[:-1] == NUMBER) & (h[1:] == NUMBER)) if k > 1 else np.zeros(0, bool)
-    repeated = np.zeros(k, bool)
-    repeated[:-1] |= odd
-    repeated[1:] |= odd
-    units = np.concatenate(([0], np.cumsum([bool(STOP.search(x)) for x in gaps]))).astype(np.int64)
-    letters = words.end - words.start  # shares of units are of letters, as texts without spaces have few and long words
-    kind[(np.bincount(units, repeated * letters) >= unit_share * np.bincount(units, letters))[units]] = 1
+    many = many[at] if k > 1 else np.zeros(0, np.int64)
+    number = h == NUMBER
+    pmi = np.zeros(k)  # of a word with the next in the corpus; 0 if the pair is not supported, or repeated as the corpus doesn't
+    excess = np.zeros(k)  # of a repeated pair with this page
+    if k > 1:
+        pmi[:-1] = np.where(many < repeats, counts.pmi(h, support), 0)
+        again = (many >= repeats) & ~(number[:-1] & number[1:])
+        excess[:-1] = np.where(again, counts.rarity(support), 0)
+    excess[excess < odd] = 0
+    excess[1:] = np.maximum(excess[1:], excess[:-1])
     items = np.concatenate(([0], np.cumsum([bool(BREAK.search(x)) for x in gaps]))).astype(np.int64)
     length = np.bincount(items)
-    number = h == NUMBER
-    common = np.array([x in counts.words for x in h.tolist()])
     begin = np.concatenate(([0], np.cumsum(length)))
+
+    def mean_pmi(lo: int, hi: int, told: np.ndarray | None = None) -> float:
+        x = pmi[lo : hi - 1] if told is None else pmi[lo : hi - 1][told[:-1] & told[1:]]
+        return float(x.mean()) if len(x) else 0.0
+
+    for i in np.flatnonzero(length >= run_words).tolist():
+        lo, hi = int(begin[i]), int(begin[i + 1])
+        variety = len(np.unique(h[lo:hi])) / (hi - lo)
+        if mean_pmi(lo, hi) < (low_pmi if variety <= 0.8 else low_pmi / 2):
+            kind[lo:hi] = 3
+    units = np.concatenate(([0], np.cumsum([bool(STOP.search(x)) for x in gaps]))).astype(np.int64)
+    mean_excess = np.bincount(units, excess * letters) / np.bincount(units, letters)
+    kind[(mean_excess >= high_pmi)[units] & (kind == 0)] = 1
+    common = counts.knows(h)
     short = np.concatenate(([False], length <= 3, [False]))
     edge = np.flatnonzero(short[1:] != short[:-1])
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
         if b - a >= run_items:
-            lo, hi = begin[a], begin[b]
+            lo, hi = int(begin[a]), int(begin[b])
             told = ~number[lo:hi]
-            if told.any() and common[lo:hi][told].mean() >= known and 4 * told.sum() >= hi - lo:
+            if told.any() and common[lo:hi][told].mean() >= known and 4 * told.sum() >= hi - lo and mean_pmi(lo, hi, told) < list_pmi:
                 kind[lo:hi][kind[lo:hi] == 0] = 2
-    pmi = np.zeros(max(0, k - 1))
-    if k > 1:
-        df = np.array([max(3, counts.words.get(x, 3)) for x in h.tolist()], float)
-        ok = support > 0
-        pmi[ok] = np.maximum(0, np.log(support[ok] * counts.held / (df[:-1][ok] * df[1:][ok])))
-    for i in np.flatnonzero(length >= run_words).tolist():
-        lo, hi = int(begin[i]), int(begin[i + 1])
-        variety = len(np.unique(h[lo:hi])) / (hi - lo)
-        within = pmi[lo : hi - 1]
-        within = np.where(many[at][lo : hi - 1] >= repeats, 0, within)
-        if within.mean() < (low_pmi if variety <= 0.8 else low_pmi / 2):
-            kind[lo:hi][kind[lo:hi] == 0] = 3
     for i, name in enumerate(("repeated", "keywords", "salad"), 1):
         found[name] = int((kind == i).sum())
     return n, found
@@ -218,7 +285,7 @@ def parts(text: str, counts: Counts, repeats: int = 4, unit_share: float = 0.4,
 def keyword_pages(df: DataFrame, id_col: str, text_col: str, share: float = 0.5, min_words: int = 10, pair_share: float = 0.002, word_share: float = 0.0005) -> DataFrame:
     """(doc_id, words, link, tag, repeated, keywords, salad): the pages found, with their words and how many are of each kind."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(corpus_counts(df, text_col, pair_share, word_share))
+    shared = spark.sparkContext.broadcast(corpus_counts(df, id_col, text_col, pair_share, word_share))
     kinds = ("link", "tag", "repeated", "keywords", "salad")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +294,7 @@ def keyword_pages(df: DataFrame, id_col: str, text_col: str, share: float = 0.5,
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[list] = []
             for lo, hi in slices(texts):
-                for i in np.flatnonzero(suspects(texts[lo:hi])).tolist():
+                for i in np.flatnonzero(suspects(texts[lo:hi], counts, share)).tolist():
                     n, found = parts(texts[lo + i], counts)
                     if n >= min_words and sum(found.values()) > share * n:
                         out.append([ids[lo + i], n, *(found[k] for k in kinds)])

@@ -1,6 +1,6 @@
 """Problem 7: mixing sources to target weights.
 
-Hierarchical budgeting over the tree mix > domain > language > source. A mix's budget is ``budget`` tokens or, by default, the
+Hierarchical budgeting over the tree mix > domain > language > source. Domains are a table (source, domain); a source that it lacks is a domain of its own. A mix's budget is ``budget`` tokens or, by default, the
 tokens its sources hold once. Weights are given for sources; a source's weight is spread over its languages as its tokens are, and
 a node weighs what its leaves weigh. A node can take what its leaves hold times max_repeats. Budgets go down the tree: each child gets
 its share by weight, no more than it can take, and what some cannot take goes to their siblings by weight; only what a whole
@@ -32,12 +32,6 @@ from pyspark.sql import functions as F
 
 from skein.plans.tables import written
 
-#: The domain of each source of the test tables; others are a domain of their own.
-DOMAINS = {
-    "web-crawl": "web", "press-archive": "press", "radio-scripts": "press", "product-manuals": "technical", "code-docs": "technical", "lab-reports": "technical",
-    "wiki-export": "reference", "glossaries": "reference", "course-notes": "reference", "meeting-transcripts": "office", "support-mail": "office", "slide-decks": "office", "field-diaries": "personal",
-}
-
 _encoders: dict[str, object] = {}
 
 
@@ -115,17 +109,21 @@ def plan_mix(leaves: pd.DataFrame, budget: float | None, levels: tuple[str, ...]
     return leaves.assign(budget=out)
 
 
-def _budgets(sized: DataFrame, targets: DataFrame, budget: float | None) -> DataFrame:
+def _budgets(sized: DataFrame, targets: DataFrame, domains: DataFrame | None, budget: float | None) -> DataFrame:
     """(mix_name, source, lang, target_weight, max_repeats, tokens, budget) of every leaf."""
     held = sized.groupBy("source", "lang").agg(F.sum("tokens").alias("tokens"))
     whole = held.groupBy("source").agg(F.sum("tokens").alias("whole"))
     named = targets.select("mix_name", canonical(F.col("source")).alias("source"), "target_weight", "max_repeats").where("mix_name is not null and source is not null")
     named = named.groupBy("mix_name", "source").agg(F.max("target_weight").alias("target_weight"), F.max_by("max_repeats", "target_weight").alias("max_repeats"))
     named = named.withColumn("target_weight", F.greatest(F.coalesce("target_weight", F.lit(0.0)), F.lit(0.0))).withColumn("max_repeats", F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)))
-    domain = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in DOMAINS.items() for x in kv]), F.col("source")), F.col("source"))
+    if domains is None:
+        named = named.withColumn("domain", F.col("source"))
+    else:
+        known = domains.select(canonical(F.col("source")).alias("source"), "domain").where("source is not null and domain is not null").groupBy("source").agg(F.min("domain").alias("domain"))
+        named = named.join(known, "source", "left").withColumn("domain", F.coalesce("domain", "source"))
     leaves = (
         named.join(held, "source", "left").join(whole, "source", "left")
-        .select("mix_name", domain.alias("domain"), F.coalesce("lang", F.lit("und")).alias("lang"), "source", "target_weight", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("target_weight") * F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("weight"))
+        .select("mix_name", "domain", F.coalesce("lang", F.lit("und")).alias("lang"), "source", "target_weight", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("target_weight") * F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("weight"))
     )
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -134,10 +132,10 @@ def _budgets(sized: DataFrame, targets: DataFrame, budget: float | None) -> Data
     return leaves.groupBy("mix_name").applyInPandas(each, "mix_name string, source string, lang string, target_weight double, max_repeats int, tokens bigint, budget double")
 
 
-def mix_records(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", budget: float | None = None, tokenizer_dir: str = "/opt/tokenizers", tokenizer: str = "byte_bpe_multi_50k.tiktoken", cells: int = 4096, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def mix_records(df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", domains: DataFrame | None = None, budget: float | None = None, tokenizer_dir: str = "/opt/tokenizers", tokenizer: str = "byte_bpe_multi_50k.tiktoken", cells: int = 4096, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """(mix_name, id, source, lang, tokens, uses): the records each mix uses and how often; and the budgets of its leaves."""
     sized = written(with_tokens(df, id_col, text_col, source_col, lang_col, tokenizer_dir, tokenizer))
-    budgets = written(_budgets(sized, targets, budget))
+    budgets = written(_budgets(sized, targets, domains, budget))
     epochs = F.when(F.col("tokens") > 0, F.least(F.floor(F.col("budget") / F.col("tokens") + 1e-9), F.col("max_repeats"))).otherwise(0).cast("int")
     leaf = budgets.select("mix_name", "source", "lang", epochs.alias("whole"), (F.col("budget") - epochs * F.col("tokens")).alias("rest")).where("whole > 0 or rest > 0")
     # targets are a few rows a mix, and there are as many leaves as languages of a source: planned by their size, not forced

@@ -16,6 +16,11 @@ from .neighbours import nearest
 from .scans import repair, scan_lines
 from .splitting import pieces, profiled
 
+# The domains of the sources of the test tables.
+DOMAINS = {
+    "web-crawl": "web", "press-archive": "press", "radio-scripts": "press", "product-manuals": "technical", "code-docs": "technical", "lab-reports": "technical",
+    "wiki-export": "reference", "glossaries": "reference", "course-notes": "reference", "meeting-transcripts": "office", "support-mail": "office", "slide-decks": "office", "field-diaries": "personal",
+}
 NEAR = {"similarity": 0.6, "shingle": 3, "min_words": 20}
 
 
@@ -76,14 +81,18 @@ def p6_clean(spark: SparkSession, sf: str) -> DataFrame:
     return without_leaks(read(spark, sf, "documents", "doc_id", "text"), read(spark, sf, "eval_items", "item_id", "text"))
 
 
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    domains = spark.createDataFrame(list(DOMAINS.items()), "source string, domain string")
+    return mix_records(read(spark, sf, "documents", "doc_id", "text", "source", "lang"), read(spark, sf, "mix_targets"), domains=domains)
+
+
 def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
     """The records each mix uses, with how often."""
-    selected, _ = mix_records(read(spark, sf, "documents", "doc_id", "text", "source", "lang"), read(spark, sf, "mix_targets"))
-    return selected.withColumnRenamed("id", "doc_id")
+    return _mixed(spark, sf)[0].withColumnRenamed("id", "doc_id")
 
 
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return mix_shares(*mix_records(read(spark, sf, "documents", "doc_id", "text", "source", "lang"), read(spark, sf, "mix_targets")))
+    return mix_shares(*_mixed(spark, sf))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -325,9 +325,40 @@ def test_mix(spark):
     assert mixing.mix_records(df.limit(0), t, **how)[0].count() == 0
 
 
+def test_mix_domains_share_shortages_first(spark):
+    docs = [(i, "word " * 10, s, "en") for i, s in enumerate(["a1"] * 2 + ["a2"] * 40 + ["b1"] * 40)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string, lang string")
+    t = spark.createDataFrame([("m", s, 1.0, 1) for s in ("a1", "a2", "b1")], "mix_name string, source string, target_weight double, max_repeats int")
+    total = 60 * 11.0
+    for domains, b1 in (([("A1", "a"), ("a2", "a"), ("b1", None), (None, "x")], 1 / 3), ([], 29 / 60)):
+        given = spark.createDataFrame(domains, "source string, domain string")
+        _, budgets = mixing.mix_records(df, t, domains=given, budget=total)
+        got = {r["source"]: (r["budget"], r["tokens"]) for r in budgets.collect()}
+        assert got["a1"][0] == got["a1"][1] and got["b1"][0] / total == pytest.approx((total * b1 if domains else (total - got["a1"][0]) / 2) / total)
+        assert sum(b for b, _ in got.values()) == pytest.approx(total)
+
+
 # problem 8
 
 
+def test_first_look_skips_only_what_parts_reject():
+    rng = np.random.default_rng(4)
+    nouns = ["kiln", "ferry", "mill", "deck", "harbour", "garden", "museum", "cellar", "42", "buy"]
+    texts = ["", "  ", "one", "kiln sale in. " * 3]
+    for i in range(400):
+        parts = []
+        for _ in range(int(rng.integers(1, 30))):
+            parts.append(" ".join(rng.choice(nouns, int(rng.integers(1, 26)))))
+        texts.append("".join(p + str(rng.choice([". ", ", ", "\n", " - ", ".", ') ', '." ', "; ", " ", "。"])) for p in parts))
+    half = [t for i, t in enumerate(texts) if i % 2]
+    word_keys, pair_keys = np.unique(kp.masked(Words([" ".join(nouns)]))), np.unique(kp.pairs(kp.masked(Words(half))))[::3]
+    counts = kp.Counts(len(half), 4000, 4.0, word_keys, np.full(len(word_keys), 50), pair_keys, np.full(len(pair_keys), 9))
+    looked = kp.suspects(texts, counts)
+    found = [sum(f.values()) > 0.5 * n > 0 for n, f in (kp.parts(t, counts) for t in texts)]
+    assert sum(found) > 30 and not looked.all() and all(x for x, f in zip(looked, found, strict=True) if f)
+
+
+
 def test_keyword_pages(spark):
     rng = np.random.default_rng(2)
     verbs, nouns = "opened measured repaired painted moved sold".split(), "harbour garden museum kiln ferry bridge cellar mill".split()
