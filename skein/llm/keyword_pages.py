@@ -141,7 +141,7 @@ def corpus_counts(df: DataFrame, id_col: str, text_col: str, pair_share: float,
     key = key.view(np.uint64)
     order = np.argsort(key)
     word, pair = order[kind[order] == 0], order[kind[order] == 1]
-    return Counts(total, sums.get(1, 0), bars[1], key[word], many[word], key[pair], many[pair])
+    return Counts(total, sums.get(1, 0), max(1.0, pair_share * total), key[word], many[word], key[pair], many[pair])
 
 
 def _flags(points: np.ndarray, chars: str) -> np.ndarray:
