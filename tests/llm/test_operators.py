@@ -185,6 +185,36 @@ def test_candidates_hold_all_pairs_the_verifier_accepts(spark):
     assert want <= found and len(found) < len(texts) * (len(texts) - 1) / 4
 
 
+def test_names_outside_the_lists_are_learned(spark):
+    rng = np.random.default_rng(12)
+    syllables = "ba be bi do du fa fe ga ge ho hu ka ke li lo ma me ni no pa pe ra re si so ta te va ve zu".split()
+    made = lambda n: "".join(rng.choice(syllables, n))
+    given = {made(4): made(2) for _ in range(12)}
+    lines = {made(4): made(1) + made(1)[0] for _ in range(5)}
+    data, truth, n = [], {}, 0
+
+    def slip(w):
+        i = int(rng.integers(1, len(w) - 1))
+        return w[:i] + w[i + 1] + w[i] + w[i + 2 :] if rng.random() < 0.3 and i + 1 < len(w) else w
+
+    for e in range(150):
+        surname, first = made(4), str(rng.choice(list(given)))
+        for form in (f"{first} {slip(surname)}", f"{given[first]} {surname}", f"{surname}, {first}", f"{surname} {first}"):
+            n += 1
+            data.append((n, form.title(), "PERSON", ["she"]))
+            truth.setdefault(("p", e), []).append(n)
+    for e in range(80):
+        core, line = made(4), str(rng.choice(list(lines)))
+        for form in (f"{core} {line} Inc", f"{core} {lines[line]}", f"{slip(core)} {line}"):
+            n += 1
+            data.append((n, form.title(), "ORG", None))
+            truth.setdefault(("o", e), []).append(n)
+    df = spark.createDataFrame(data, "record_id bigint, name string, entity_type string, mentions array<string>")
+    want = {p for g in truth.values() for p in itertools.combinations(sorted(g), 2)}
+    got = set(rows(names.same_entity_pairs(df, nicknames={}, business={}, modifiers={})))
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.97 * len(got)
+
+
 # problem 3
 
 
