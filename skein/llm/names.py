@@ -606,7 +606,7 @@ def candidates(signature: DataFrame, recall: float = 0.995, lex: Lexicon | None
     words = filed.groupBy("word", "mark").agg(F.max("asks").alias("asks"))
     banded = words.mapInArrow(_bands(recall), "word string, mark string, asks boolean, band int, key bigint").withColumn("meet", F.xxhash64("band", "key", "mark"))
     x, y = banded.where("asks").select("meet", F.col("word").alias("x"), "mark"), banded.select("meet", F.col("word").alias("y"))
-    met = in_tiles(x, y, "meet", "x").where((F.col("x") != F.col("y")) & (F.substring("x", 1, 1) == F.substring("y", 1, 1)) & (F.levenshtein("x", "y") <= 4)).select("x", "y", "mark").distinct()
+    met = in_tiles(x, y, "meet", "x").where((F.col("x") != F.col("y")) & (F.substring("x", 1, 1) == F.substring("y", 1, 1)) & (F.levenshtein("x", "y", 4) >= 0)).select("x", "y", "mark").distinct()
     near = written(met.mapInArrow(_near, "x string, y string, mark string"))
     beside = near.unionByName(words.where("asks").select(F.col("word").alias("x"), F.col("word").alias("y"), "mark"))
     asking = filed.where("asks").select(F.col("id").alias("a"), F.col("word").alias("x"), "mark").join(beside, ["x", "mark"]).select("a", F.concat_ws("\x1f", "y", "mark").alias("at"))

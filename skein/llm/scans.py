@@ -9,8 +9,8 @@ that hold a number alone, in one of the usual forms, and follow one another as a
 are short lines at the page edges the page numbers and repetitions mark out, told by fuzzy repetition (characters that scanners
 confuse count as equal) or by being a title beside a page number. (3) Words: a word cut at a line end is joined with the next line of text, past furniture, if the mark is
 a soft one or the vocabulary knows the joined word or doesn't know both halves; a hyphen between two known words whose joined form
-is unknown is part of the spelling and stays. A word is misread if the vocabulary doesn't know it but knows it with one or two
-confusions undone, or if a confused digit or sign stands between letters.
+is unknown is part of the spelling and stays. A word is misread if the vocabulary doesn't know it but knows it with one
+confusion undone, or two where digits or signs are among its letters, or if a confused digit or sign stands between letters.
 
 Only texts that show scanning in at least two places are treated; all others come out as they are and have no rows. Null texts
 stay null and blank ones blank. Lines are split at "\\n" and counted from 1.
@@ -18,6 +18,7 @@ stay null and blank ones blank. Lines are split at "\\n" and counted from 1.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -78,8 +79,8 @@ def _number(x: str) -> int | None:
 
 def page_number(line: str) -> list[int]:
     """The numbers a line may be, if it can be a page number alone."""
-    x = line.strip()
-    if not x or len(x) > 24:
+    x = " ".join(line.split())
+    if not x or len(x.strip("[](){}<>—–-·•*~ ")) > 30:  # two numbers of five digits and the longest words of a form have less
         return []
     out = []
     if (r := _roman(x)) is not None and (len(x) > 1 or x.lower() in "ivx"):
@@ -114,6 +115,57 @@ def _alike(a: str, b: str) -> bool:
     return row[-1] <= max(1, n // 8)
 
 
+class Titles:
+    """Folded lines, the first of each group, found again by their pieces.
+
+    A line of m characters is kept in one piece more than there may be edits; a line alike has one of the pieces, shifted by no more than the edits.
+    """
+
+    FEW = 24  # up to so many all are compared
+
+    def __init__(self) -> None:
+        self.keys: list[str] = []
+        self.pieces: dict[tuple[int, int, str], list[int]] = {}
+
+    @staticmethod
+    def cuts(m: int) -> Iterator[tuple[int, int, int]]:
+        edits = max(1, (m + 2) // 8)
+        for p in range(edits + 1):
+            yield p, m * p // (edits + 1), m * (p + 1) // (edits + 1)
+
+    def add(self, f: str) -> None:
+        for p, lo, hi in self.cuts(len(f)):
+            self.pieces.setdefault((len(f), p, f[lo:hi]), []).append(len(self.keys))
+        self.keys.append(f)
+
+    def first(self, f: str) -> int | None:
+        """The first line kept that is alike."""
+        if len(self.keys) <= self.FEW:
+            return next((g for g, k in enumerate(self.keys) if _alike(f, k)), None)
+        found = set()
+        for m in range(max(0, len(f) - 2), len(f) + 3):
+            edits = max(1, (m + 2) // 8)
+            for p, lo, hi in self.cuts(m):
+                for d in range(max(-edits, -lo), edits + 1):
+                    found.update(self.pieces.get((m, p, f[lo + d : hi + d]), ()))
+        return next((g for g in sorted(found) if _alike(f, self.keys[g])), None)
+
+
+def alike_groups(items: list[int], folded: list[str]) -> list[list[int]]:
+    """Items whose folded lines are alike the first of their group."""
+    groups: list[list[int]] = []
+    titles, place = Titles(), {}
+    for i, f in zip(items, folded, strict=True):
+        if f not in place:
+            place[f] = titles.first(f)
+            if place[f] is None:
+                place[f] = len(groups)
+                groups.append([])
+                titles.add(f)
+        groups[place[f]].append(i)
+    return groups
+
+
 class Page:
     """What each line of one text is."""
 
@@ -135,11 +187,14 @@ class Page:
         """Page numbers: the longest chains of lines whose numbers go up by one from page to page."""
         can = [(i, n) for i in self.full for n in page_number(self.lines[i])]
         best: dict[tuple[int, int], tuple[int, tuple | None]] = {}
-        for at, (i, n) in enumerate(can):
-            best[i, n] = (1, None)
-            for j, m in can[max(0, at - 12) : at]:
-                if j < i and n - m == 1 and best[j, m][0] + 1 > best[i, n][0]:
-                    best[i, n] = (best[j, m][0] + 1, (j, m))
+        longest: dict[int, tuple[int, int]] = {}  # by number: the longest chain that ends with it so far, and its line
+        for i, same in itertools.groupby(can, key=lambda x: x[0]):
+            now = {n: longest.get(n - 1, (0, -1)) for _, n in same}
+            for n, (length, j) in now.items():
+                best[i, n] = (length + 1, (j, n - 1) if length else None)
+            for n, (length, _) in now.items():
+                if length + 1 > longest.get(n, (0, -1))[0]:
+                    longest[n] = (length + 1, i)
         chosen: dict[int, int] = {}
         explicit = re.compile(r"\s*(?:\W*p[a@]?g?e?\W|seite|s\.|\[|\(|[—–-]|第)|\s{4,}\S", re.IGNORECASE)
         for key, (length, _) in sorted(best.items(), key=lambda x: -x[1][0]):
@@ -180,17 +235,7 @@ class Page:
 
     def _headers(self) -> None:
         able = [i for i in self.full if i not in self.numbers and self._title_like(i)]
-        groups: list[list[int]] = []
-        keys: list[str] = []
-        for i in able:
-            f = fold(self.lines[i])
-            for g, k in zip(groups, keys, strict=True):
-                if _alike(f, k):
-                    g.append(i)
-                    break
-            else:
-                groups.append([i])
-                keys.append(f)
+        groups = alike_groups(able, [fold(self.lines[i]) for i in able])
         edges = set(self.full[:1]) | set(self.full[-1:])
         order = {i: p for p, i in enumerate(self.full)}
         for i in self.numbers:
@@ -338,12 +383,11 @@ def places(word: str, knows) -> list[int]:
     hit = [at for v, at in one if known[v]]
     if hit:
         return hit[:1]
-    if len(one) <= 12:
-        two = [(v, a, b) for w, a in one for v, b in variants(w) if b > a]
-        known = knows([v for v, _, _ in two])
-        for v, a, b in two:
-            if known[v]:
-                return [a, b]
+    two = [(v, a, b) for w, a in one for v, b in variants(w) if b > a]
+    known = knows([v for v, _, _ in two])
+    for v, a, b in two:
+        if known[v]:
+            return [a, b]
     return [m.start() + 1 for m in ODD.finditer(word)] or ([0] if re.fullmatch(r"[0159@86$€|][a-zà-ÿ]{3,}", word) else [len(word) - 1] if re.fullmatch(r"\w*[a-zà-ÿ]{3,}[0159@86$€|]", word) and word[-1] in "@" else [])
 
 
@@ -450,7 +494,7 @@ def asked(page: Page) -> set[tuple[int | None, int]]:
     pairs = [(None, w) for w in page.wholes]
     for w in page.unknown | page.wholes:
         one = [v for v, _ in variants(w)]
-        two = [v for x, a in variants(w) for v, b in variants(x) if b > a] if not w.isalpha() and len(one) <= 12 else []
+        two = [v for x, a in variants(w) for v, b in variants(x) if b > a] if not w.isalpha() else []
         pairs += [(w, v) for v in one + two]
     key = hashed([x for p in pairs for x in p if x])
     return {(key.get(w), key[v]) for w, v in pairs if v in key}

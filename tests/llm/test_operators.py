@@ -305,6 +305,33 @@ def test_page_numbers():
     assert scans.page_number(" - l2 - ") == [12] and scans.page_number("xiv") == [14] and scans.page_number("Page 50 of 52") == [50] and scans.page_number("21.9") == [] and scans.page_number("word") == []
 
 
+def test_alike_lines_are_found_by_their_pieces():
+    rng = np.random.default_rng(6)
+    lines = []
+    for _ in range(150):
+        base = "".join(rng.choice(list("abc de"), int(rng.integers(3, 40))))
+        for _ in range(3):
+            x = list(base)
+            for _ in range(int(rng.integers(0, 5))):
+                at = int(rng.integers(0, len(x)))
+                x[at : at + int(rng.integers(0, 2))] = list(rng.choice(list("xyz"), int(rng.integers(0, 2))))
+            lines.append("".join(x) or "q")
+    rng.shuffle(lines)
+    slow: list[list[int]] = []
+    for i, f in enumerate(lines):
+        g = next((g for g in slow if scans._alike(f, lines[g[0]])), None)
+        slow.append([i]) if g is None else g.append(i)
+    assert scans.alike_groups(list(range(len(lines))), [str(x) for x in lines]) == slow and 100 < len(slow) < 400
+
+
+def test_page_numbers_chain_past_columns_of_numbers():
+    body = ["The committee reviewed the quarterly report and its findings in detail,"] * 3
+    column = [str(900 + 7 * i) for i in range(40)]
+    lines = [*body, "17", *body, *column, *body, "18", *body]
+    kinds = scans.Page("\n".join(lines), lambda ws: {w.lower(): True for w in ws}).kinds
+    assert [i for i, k in enumerate(kinds) if "page_number" in k] == [3, len(lines) - 4]
+
+
 # problem 6
 
 
