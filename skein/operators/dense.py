@@ -1,84 +1,94 @@
-"""Dense search: a stated set of query vectors against all rows.
+"""Dense search: a stated set of query vectors against all rows, as matrix products of blocks (see :mod:`.blocks`).
 
-Queries are (query_id, query_vec), corpora (id, vec). The query set is the small side; it is broadcast when its measured size
-allows and otherwise joined block by block of queries, never as one unbounded product.
+Queries are (query_id, query_vec), corpora (id, vec). Vectors are compared with those of their own length only. Null vectors and those with null or NaN
+elements take no part. ``where`` is a condition on the corpus that holds before the best are chosen.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.vectors import cosine, norm, squared_distance
+from skein.functions.vectors import norm
 
+from .blocks import BLOCK_BYTES, Found, best_columns, half_up, search
 from .ranking import top
 
-BLOCK_BYTES = 32 << 20  # of query vectors held by a task at a time
 
+def _by_length(column: pa.Array | pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The usable vectors of each length, as places and a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = np.asarray(column.value_lengths().fill_null(-1))
+    out = {}
+    for n in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == n)
+        x = np.asarray(column.take(pa.array(at)).flatten(), np.float64).reshape(-1, n)
+        good = np.isfinite(x).all(1)
+        out[n] = at[good], x[good]
+    return out
 
-def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.where(n > 0, n, 1)
+
+
+def _cosines(block: dict, batch: pa.RecordBatch, k: int) -> Iterator[Found]:
+    for n, (row, x) in _by_length(batch.column("vec")).items():
+        if n in block:
+            query, q = block[n]
+            s = half_up(_unit(x) @ q.T)
+            i, j = best_columns(s, k, 0)
+            yield query[j], row[i], s[i, j]
+
+
+def _distances(block: dict, batch: pa.RecordBatch, k: int) -> Iterator[Found]:
+    for n, (row, x) in _by_length(batch.column("vec")).items():
+        if n in block:
+            query, q = block[n]
+            sizes = (x * x).sum(1)[:, None] + (q * q).sum(1)
+            i, j = best_columns(2 * (x @ q.T) - sizes, k, 2e-6 + 1e-9 * float(sizes.max(initial=0)))
+            for lo in range(0, len(i), 100_000):  # the product only chooses; distances are summed exactly
+                a, b = i[lo : lo + 100_000], j[lo : lo + 100_000]
+                yield query[b], row[a], -half_up(((x[a] - q[b]) ** 2).sum(1))
+
+
+def _rows(queries: DataFrame, corpus: DataFrame, where: Column | None) -> tuple[DataFrame, DataFrame]:
+    kept = corpus if where is None else corpus.where(where)
+    vector = lambda c: F.col(c).cast("array<double>").alias(c)
+    return queries.where("query_vec is not null").select("query_id", vector("query_vec")), kept.where("vec is not null").select("id", vector("vec"))
+
+
+def _searched(queries: DataFrame, corpus: DataFrame, k: int, prepare: Callable, score: Callable, block_bytes: int) -> DataFrame:
+    return search(queries, corpus, k, 8 * F.size("query_vec") + 16, prepare, score, block_bytes)
+
+
+def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, where: Column | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, id, similarity, semantic_score, rank): the ``k`` rows most similar to each query; semantic_score is the distance 1 - similarity.
 
     A query of no length or null has no results; rows of no length have similarity 0; null rows take no part.
     """
-    q = queries.where(F.col("query_vec").isNotNull() & (norm(F.col("query_vec")) > 0))
-    joined = corpus.where("vec is not null").join(q, F.size("vec") == F.size("query_vec"))
-    if exclude_self:
-        joined = joined.where("id <> query_id")
-    sim = F.round(cosine(F.col("vec"), F.col("query_vec")), 6)
-    return top(joined.select("query_id", "id", sim.alias("similarity")), k, F.col("similarity")).select("query_id", "id", "similarity", F.round(1 - F.col("similarity"), 6).alias("semantic_score"), "rank")
+    q, c = _rows(queries, corpus, where)
+    q = q.where(norm(F.col("query_vec")) > 0)
+    found = _searched(q, c, k + exclude_self, lambda t: {n: (at, _unit(x)) for n, (at, x) in _by_length(t.column("query_vec")).items()}, _cosines, block_bytes)
+    found = found.where("id <> query_id") if exclude_self else found
+    return top(found.withColumnRenamed("value", "similarity"), k, F.col("similarity")).select("query_id", "id", "similarity", F.round(1 - F.col("similarity"), 6).alias("semantic_score"), "rank")
 
 
-def l2_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+def l2_topk(queries: DataFrame, corpus: DataFrame, k: int, where: Column | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, id, distance, raw_score, rank) by summed squared differences; raw_score is 100 / (1 + distance)."""
-    joined = corpus.where("vec is not null").join(queries.where("query_vec is not null"), F.size("vec") == F.size("query_vec"))
-    d = F.round(squared_distance(F.col("vec"), F.col("query_vec")), 6)
-    out = joined.select("query_id", "id", d.alias("distance"))
+    q, c = _rows(queries, corpus, where)
+    out = _searched(q, c, k, lambda t: _by_length(t.column("query_vec")), _distances, block_bytes).select("query_id", "id", (-F.col("value")).alias("distance"))
     return top(out, k, -F.col("distance")).select("query_id", "id", "distance", F.round(100 / (1 + F.col("distance")), 6).alias("raw_score"), "rank")
 
 
-def cosine_topk_blocks(queries: DataFrame, corpus: DataFrame, dim: int, k: int) -> DataFrame:
-    """As :func:`cosine_topk`, as a matrix product for each Arrow batch: for large query sets. Queries are collected a block of
-    ``BLOCK_BYTES`` at a time; each block is one pass over the corpus, of which only k rows a query leave a task."""
-    spark = corpus.sparkSession
-    rows = queries.where((F.size("query_vec") == dim) & (norm(F.col("query_vec")) > 0)).select("query_id", "query_vec")
-    size = max(1, BLOCK_BYTES // (8 * dim))
-    found = spark.createDataFrame([], "query_id bigint, id bigint, similarity double")
-    source = corpus.where(F.size("vec") == dim).select("id", "vec")
-
-    def passes(ids: list[int], vectors: list[list[float]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast((np.array(ids), np.array(vectors, float)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
-            q = q / np.linalg.norm(q, axis=1, keepdims=True)
-            for batch in batches:
-                x = np.asarray(batch.column(1).flatten(), float).reshape(-1, dim)
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                s = np.round(q @ (x / np.where(n > 0, n, 1)).T, 6)
-                each = np.asarray(batch.column(0))
-                m = min(k, s.shape[1])
-                cut = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
-                i, j = np.nonzero(s >= cut[:, None])
-                yield pa.record_batch([pa.array(names[i]), pa.array(each[j]), pa.array(s[i, j])], names=["query_id", "id", "similarity"])
-
-        return source.mapInArrow(run, "query_id bigint, id bigint, similarity double")
-
-    ids: list[int] = []
-    vectors: list[list[float]] = []
-    for i, v in rows.toLocalIterator():
-        ids.append(i)
-        vectors.append(v)
-        if len(ids) == size:
-            found = found.unionByName(passes(ids, vectors))
-            ids, vectors = [], []
-    if ids:
-        found = found.unionByName(passes(ids, vectors))
-    return top(found, k, F.col("similarity"))
+def cosine_topk_blocks(queries: DataFrame, corpus: DataFrame, dim: int, k: int, block_bytes: int = 4096) -> DataFrame:
+    """As :func:`cosine_topk` for vectors of ``dim`` numbers, in blocks of few queries: the way of query sets that fit no broadcast."""
+    return cosine_topk(queries.where(F.size("query_vec") == dim), corpus.where(F.size("vec") == dim), k, block_bytes=block_bytes).drop("semantic_score")
 
 
 def self_recall(queries: DataFrame, corpus: DataFrame) -> DataFrame:
