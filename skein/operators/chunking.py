@@ -5,6 +5,8 @@ Null contents give no chunks. Everything about one text happens within its row,
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,14 +21,8 @@ def _numbered(df: DataFrame, chunks: Column) -> DataFrame:
 def by_headers(df: DataFrame) -> DataFrame:
     """A chunk from each line that begins with "#", white space aside, up to the next; what comes before the first is one too.
     Chunks of nothing but white space are dropped. Lines keep their breaks."""
-    started = F.aggregate(
-        F.split("content", "\n"),
-        F.array().cast("array<string>"),
-        lambda acc, line: F.when((F.size(acc) == 0) | F.startswith(F.ltrim(line), F.lit("#")), F.concat(acc, F.array(line))).otherwise(
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit("\n"), line)))
-        ),
-    )
-    return _numbered(df, F.filter(started, lambda c: F.trim(F.regexp_replace(c, r"\s+", " ")) != ""))
+    pieces = F.split("content", r"(?U)\n(?=[^\S\n]*#)")
+    return _numbered(df, F.filter(pieces, lambda c: F.regexp_replace(c, r"(?U)\s+", "") != ""))
 
 
 def fixed(df: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -98,13 +94,14 @@ def units(df: DataFrame, separator: str) -> DataFrame:
     return _numbered(df, F.filter(F.transform(F.split("content", separator), lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")), lambda c: c != ""))
 
 
-def table_rows(df: DataFrame) -> DataFrame:
-    """Contents that are comma-separated tables: "header: value" pairs of each row joined with " | ", blank cells and blank rows left out.
+def csv_units(text: str) -> list[str]:
+    """"header: value" pairs of each row of a comma-separated table joined with " | ", blank cells and blank rows left out; cells may be quoted.
     Cells beyond the header have no name and are left out."""
-    lines = F.filter(F.split("content", "\r?\n"), lambda x: F.trim(x) != "")
-    header = F.split(lines[0], ",")
-    row = F.transform(
-        F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))),
-        lambda line: F.array_join(F.filter(F.zip_with(header, F.split(line, ","), lambda h, v: F.when(F.trim(v) != "", F.concat(F.trim(h), F.lit(": "), F.trim(v)))), lambda x: x.isNotNull()), " | "),
-    )
-    return _numbered(df, F.filter(row, lambda r: r != ""))
+    rows = [r for r in csv.reader(io.StringIO(text, newline="")) if any(c.strip() for c in r)]
+    named = (" | ".join(f"{h.strip()}: {v.strip()}" for h, v in zip(rows[0], r, strict=False) if v.strip()) for r in rows[1:])
+    return [x for x in named if x]
+
+
+def table_rows(df: DataFrame) -> DataFrame:
+    """:func:`csv_units` of every text."""
+    return _in_arrow(df, csv_units)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
 from difflib import SequenceMatcher
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -141,49 +140,57 @@ def renamed_edges(edges: DataFrame, cluster: DataFrame) -> DataFrame:
     return one.withColumn("_n", normal_name(F.col("target"))).join(c.withColumnRenamed("name", "_n"), "_n", "left").withColumn("target", F.coalesce("canonical", "_n")).drop("_n", "canonical")
 
 
-def resolve_pronoun(word: str, recent: list[str]) -> str | None:
-    """The entity a pronoun means: for he, him and his the latest with a title if any; for it and its the latest without; else the latest."""
-    if word in {"he", "him", "his"}:
-        found = [e for e in recent if any(t in e.lower() for t in TITLED)]
-    elif word in {"it", "its"}:
-        found = [e for e in recent if not any(t in e.lower() for t in ("mr", "mrs", "person"))]
-    else:
-        found = []
-    return (found or recent or [None])[0]
+#: Which of the entities mentioned before a pronoun may mean before others: those with a title, or those that are no person.
+PREFERENCE = dict.fromkeys(("he", "him", "his"), "titled") | dict.fromkeys(("it", "its"), "thing")
+
+
+def _held(e: Column, marks: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for m in marks:
+        out = out | F.contains(F.lower(e), F.lit(m))
+    return out
+
+
+def meant(word: Column, recent: Column) -> Column:
+    """The entity a pronoun means, of those mentioned before, the latest first: the first it prefers, or the first of all."""
+    first = lambda keep: F.try_element_at(F.filter(recent, keep), F.lit(1))
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in PREFERENCE.items() for x in kv]), word)
+    wanted = F.when(kind == "titled", first(lambda e: _held(e, TITLED))).when(kind == "thing", first(lambda e: ~_held(e, ("mr", "mrs", "person"))))
+    return F.coalesce(wanted, F.try_element_at(recent, F.lit(1)))
 
 
 def coreference(texts: DataFrame, entity_lists: DataFrame, memory: int = 5) -> DataFrame:
     """(id, content): texts in which each pronoun is followed by the entity it means in brackets. ``entity_lists`` is (id, entities array).
 
-    The last ``memory`` entities mentioned count. A word mentions the first entity that contains it or is contained in it, but isn't it.
-    Null texts stay null; texts without entities stay as they are but for white space, of which one blank remains.
-    """
+    The last ``memory`` entities mentioned count. A word mentions the first entity that contains it or is contained in it, but isn't it. Before anything is
+    mentioned a pronoun is a word like others. Null texts stay null; of white space one blank remains. A text id given twice counts once.
 
-    def one(text: str | None, entities: list[str] | None) -> str | None:
-        if text is None:
-            return None
-        recent: list[str] = []
-        out = []
-        for word in text.split():
-            bare = word.lower().strip(".,;:!?()[]{}\"'")
-            if bare in PRONOUNS and (e := resolve_pronoun(bare, recent)):
-                out.append(f"{word} [{e}]")
-                continue
-            for e in entities or []:
-                low = e.lower()
-                if bare and (bare in low or low in bare):
-                    if bare != low:
-                        recent = [e, *[x for x in recent if x != e]][:memory]
-                    break
-            out.append(word)
-        return " ".join(out)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([one(t, e) for t, e in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)], pa.string())], names=["id", "content"])
-
-    joined = texts.select("id", "content").join(entity_lists.select("id", "entities"), "id", "left")
-    return joined.mapInArrow(run, f"id {dict(texts.dtypes)['id']}, content string")
+    Words are rows: what each mentions is looked up in the list that rides along, the entities last mentioned up to each mention are built from the
+    mentions of a text alone, and a window hands them to the pronouns that follow.
+    """
+    source = texts.select("id", "content").dropDuplicates(["id"])
+    lists = entity_lists.select("id", "entities").dropDuplicates(["id"])
+    edge = r"[.,;:!?()\[\]{}\"']+"
+    spoken = F.filter(F.split("content", r"(?U)\s+"), lambda w: w != "")
+    words = source.where("content is not null").join(lists, "id", "left").select("id", "entities", F.posexplode(spoken).alias("pos", "word"))
+    bare = F.regexp_replace(F.lower("word"), f"^{edge}|{edge}$", "")
+    named = F.filter("entities", lambda e: (F.col("bare") != "") & (F.contains(F.lower(e), F.col("bare")) | F.contains(F.col("bare"), F.lower(e))))
+    words = words.withColumn("bare", bare).withColumn("entity", F.try_element_at(named, F.lit(1))).drop("entities")
+    words = words.withColumn("new", F.coalesce(F.lower("entity") != F.col("bare"), F.lit(False))).withColumn("pronoun", F.col("bare").isin(*sorted(PRONOUNS)))
+    words = written(words.withColumn("first", F.min(F.when(F.col("new"), F.col("pos"))).over(Window.partitionBy("id"))))
+    said = words.where(F.col("new") & (~F.col("pronoun") | (F.col("pos") == F.col("first")))).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "entity"))).alias("said"))
+    kind = "array<struct<pos: int, recent: array<string>>>"
+    after = F.aggregate(
+        "said",
+        F.array().cast(kind),
+        lambda seen, m: F.concat(seen, F.array(F.struct(m["pos"].alias("pos"), F.slice(F.concat(F.array(m["entity"]), F.array_remove(F.coalesce(F.try_element_at(seen, F.lit(-1))["recent"], F.array().cast("array<string>")), m["entity"])), 1, memory).alias("recent"))).cast(kind)),
+    )
+    states = said.select("id", F.explode(after).alias("s")).select("id", "s.pos", "s.recent")
+    before = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    told = words.join(states, ["id", "pos"], "left").withColumn("recent", F.last("recent", ignorenulls=True).over(before))
+    shown = F.when(F.col("pronoun") & F.col("recent").isNotNull(), F.concat("word", F.lit(" ["), meant(F.col("bare"), F.col("recent")), F.lit("]"))).otherwise(F.col("word"))
+    whole = told.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", shown.alias("shown")))), lambda x: x["shown"]), " ").alias("told"))
+    return source.join(whole, "id", "left").select("id", F.when(F.col("content").isNotNull(), F.coalesce("told", F.lit(""))).alias("content"))
 
 
 def resolved_triples(edges: DataFrame, known: DataFrame, memory: int = 5) -> DataFrame:
@@ -194,18 +201,23 @@ def resolved_triples(edges: DataFrame, known: DataFrame, memory: int = 5) -> Dat
     one graph. A document's edges are resolved in one place.
     """
 
+    likes = {"titled": lambda e: any(t in e.lower() for t in TITLED), "thing": lambda e: not any(t in e.lower() for t in ("mr", "mrs", "person"))}
+
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        recent: list[str] = []
-        out = []
+        ends: deque[str] = deque(maxlen=memory)  # of the relationships kept, the latest first
+        kept = []
         for r in pdf.sort_values(["edge_id", "source", "relation", "target"]).itertuples(index=False):
-            ends = []
-            for end, is_known in ((r.source, r.source_known), (r.target, r.target_known)):
-                e = resolve_pronoun(end.lower(), recent) if end.lower() in PRONOUNS else None
-                ends.append((e or end, is_known or e is not None))
-            if all(k for _, k in ends):
-                out.append((r.doc_id, r.edge_id, ends[0][0], r.relation, ends[1][0]))
-                recent = [ends[1][0], ends[0][0], *recent][:memory]
-        return pd.DataFrame(out, columns=["doc_id", "edge_id", "source", "relation", "target"])
+            stand = {}
+            for side in ("source", "target"):
+                said = getattr(r, side)
+                if said.lower() in PRONOUNS and ends:
+                    stand[side] = next(filter(likes.get(PREFERENCE.get(said.lower()), lambda _: True), ends), ends[0])
+                elif getattr(r, f"{side}_known"):
+                    stand[side] = said
+            if len(stand) == 2:
+                kept.append((r.doc_id, r.edge_id, stand["source"], r.relation, stand["target"]))
+                ends.extendleft((stand["source"], stand["target"]))
+        return pd.DataFrame(kept, columns=["doc_id", "edge_id", "source", "relation", "target"])
 
     n = known.select("name").where("name is not null").distinct()
     e = edges.select("doc_id", "edge_id", "source", "relation", "target").where("source is not null and target is not null")

@@ -57,9 +57,11 @@ def delete(df: DataFrame, gone: DataFrame, *on: str) -> DataFrame:
     return df.join(gone.select(*on).distinct(), list(on), "left_anti")
 
 
-def upsert(old: DataFrame, new: DataFrame, *on: str) -> DataFrame:
-    """``old`` with the rows of ``new`` in the place of those with the same key; of a key given twice in ``new`` any one row counts."""
-    last = new.dropDuplicates(list(on))
+def upsert(old: DataFrame, new: DataFrame, *on: str, order: Column | None = None) -> DataFrame:
+    """``old`` with the rows of ``new`` in the place of those with the same key. Of a key given twice in ``new`` the first by ``order`` counts, by default
+    the first of all its columns."""
+    by = [order] if order is not None else []
+    last = first_of_each(new, F.struct(*on), *by, *(F.to_json(F.struct(c)) for c in new.columns))
     return delete(old, last, *on).unionByName(last, allowMissingColumns=True)
 
 
@@ -77,10 +79,11 @@ def blended(parts: list[DataFrame], key: str, tie: str) -> DataFrame:
     return first_of_each(both, F.col(key), F.col("_part"), F.col(tie)).drop("_part")
 
 
-def reassembled(df: DataFrame, file_col: str, order_col: str, content: str = "content", most: int = 1000) -> DataFrame:
-    """(file, content): the first ``most`` parts of each file in order, joined with blank lines. Null contents are left out."""
+def reassembled(df: DataFrame, file_col: str, order_col: str, content: str = "content", most: int | None = 1000) -> DataFrame:
+    """(file, content): the first ``most`` parts of each file in order, all with None, joined with blank lines. Null contents are left out."""
     w = Window.partitionBy(file_col).orderBy(order_col)
-    kept = df.where(F.col(content).isNotNull()).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    kept = df.where(F.col(content).isNotNull()).withColumn("_n", F.row_number().over(w))
+    kept = kept if most is None else kept.where(F.col("_n") <= most)
     parts = F.array_sort(F.collect_list(F.struct("_n", content)))
     return kept.groupBy(file_col).agg(F.array_join(F.transform(parts, lambda p: p[content]), "\n\n").alias(content))
 

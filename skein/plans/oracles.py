@@ -74,7 +74,7 @@ KHOP = f"{BESIDE}, walk AS (SELECT seed, seed AS node, 0 AS depth FROM seeds UNI
 V = "vx AS (SELECT name, min((coalesce(entity_type, 'Unknown'), coalesce(description, ''))) AS v FROM kg_entities WHERE name IS NOT NULL GROUP BY name)"
 RECORDS = "r AS (SELECT record_id, name, entity_type FROM entity_nodes UNION ALL SELECT record_id, name, entity_type FROM kg_entities)"
 NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(name)), '^(the|a|an)\s+', ''), '\s+(inc|llc|ltd|corp|corporation|company)\.?$', ''), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g'))"
-NAMES = f"{RECORDS}, n AS (SELECT lower(trim(coalesce(entity_type, 'unknown'))) AS entity_type, {NORMAL} AS name, min(record_id) AS record_id FROM r GROUP BY 1, 2 HAVING {NORMAL.replace('name', 'any_value(name)') if False else '1 = 1'}), nn AS (SELECT * FROM n WHERE name <> '')"
+NAMES = f"{RECORDS}, n AS (SELECT lower(trim(coalesce(entity_type, 'unknown'))) AS entity_type, {NORMAL} AS name, min(record_id) AS record_id FROM r GROUP BY 1, 2), nn AS (SELECT * FROM n WHERE name <> '')"
 DUPLICATES = f"{NAMES}, dup AS (SELECT * FROM (SELECT a.entity_type, a.name AS name_a, b.name AS name_b, round(0.8::DOUBLE + 0.2::DOUBLE * least(length(a.name), length(b.name)) / greatest(length(a.name), length(b.name)), 6) AS similarity FROM nn a JOIN nn b ON a.entity_type = b.entity_type AND a.name < b.name AND (contains(a.name, b.name) OR contains(b.name, a.name))) WHERE similarity >= 0.85)"
 CLUSTERS = f"""{DUPLICATES}, links AS (SELECT entity_type, name_a AS x, name_b AS y FROM dup UNION ALL SELECT entity_type, name_b, name_a FROM dup),
 comp AS (SELECT entity_type, name AS start, name FROM nn UNION SELECT comp.entity_type, start, y FROM comp JOIN links ON links.entity_type = comp.entity_type AND links.x = comp.name),
@@ -87,7 +87,7 @@ PRICED = (
     f"priced AS (SELECT provider, model, coalesce(ri, {OTHERWISE[0]}::DOUBLE) AS input_rate, coalesce(ro, {OTHERWISE[1]}::DOUBLE) AS output_rate FROM fit WHERE k = 1)"
 )
 COSTS = f"{PRICED}, costs AS (SELECT calls.*, round(input_tokens / 1000 * input_rate + output_tokens / 1000 * output_rate, 6) AS cost_usd FROM calls JOIN priced USING (provider, model))"
-USAGE = "count(*) AS calls, coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens, coalesce(sum(input_tokens + output_tokens), 0)::BIGINT AS total_tokens, round(coalesce(sum(cost_usd), 0), 4) AS cost_usd"
+USAGE = "count(*) AS calls, coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens, coalesce(sum(input_tokens + output_tokens), 0)::BIGINT AS total_tokens, round(coalesce(sum(cost_usd), 0), 6) AS cost_usd"
 NODE = "coalesce(nullif(CASE WHEN regexp_matches(regexp_replace({0}, '[^a-zA-Z0-9_]', '_', 'g'), '^[0-9]') THEN 'n' ELSE '' END || regexp_replace({0}, '[^a-zA-Z0-9_]', '_', 'g'), ''), 'node')"
 NODES = f"{EDGES}, al AS (SELECT 0 AS o, name, coalesce(entity_type, '') AS entity_type FROM kg_entities WHERE name IS NOT NULL UNION ALL SELECT 1, source, '' FROM c UNION ALL SELECT 1, target, '' FROM c), nodes AS (SELECT node, x[1] AS o, x[2] AS name, x[3] AS entity_type FROM (SELECT {NODE.format('name')} AS node, min((o, name, entity_type)) AS x FROM al GROUP BY 1))"
 NODES = NODES.replace("x[1] AS o, x[2] AS name, x[3] AS entity_type", "x.o AS o, x.name AS name, x.entity_type AS entity_type").replace("min((o, name, entity_type)) AS x", "min({'o': o, 'name': name, 'entity_type': entity_type}) AS x")
@@ -132,7 +132,7 @@ ORACLES = {
     "usable_vectors": "SELECT coalesce(collection_name, 'none') AS collection_name, count(*) AS n FROM multimodal_documents WHERE len(embedding) = 96 GROUP BY 1",
     "metadata_filter": "WITH m AS (SELECT doc_id, CASE WHEN json_valid(metadata) THEN metadata END AS j FROM store_documents), p AS (SELECT doc_id, TRY_CAST(json_extract_string(j, '$.page') AS INT) AS page, json_extract_string(j, '$.source') AS source FROM m) SELECT * FROM p WHERE page BETWEEN 1 AND 20",
     "chunk_headers": r"""WITH l AS (SELECT doc_id AS id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS k FROM store_documents),
-        g AS (SELECT id, line, k, sum(CASE WHEN k = 1 OR starts_with(ltrim(line, ' '), '#') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY k) AS part FROM l),
+        g AS (SELECT id, line, k, sum(CASE WHEN k = 1 OR regexp_matches(line, '^[\s\p{Z}]*#') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY k) AS part FROM l),
         t AS (SELECT id, part, string_agg(line, chr(10) ORDER BY k) AS chunk FROM g GROUP BY id, part HAVING regexp_replace(string_agg(line, chr(10) ORDER BY k), '\s+', '', 'g') <> '')
         SELECT id, row_number() OVER (PARTITION BY id ORDER BY part)::INT AS chunk_no, md5(chunk) AS chunk_md5 FROM t""",
     "chunk_fixed": "WITH s AS (SELECT doc_id AS id, content, unnest(range(0, greatest(0, ceil((length(content) - 1000) / 800.0))::BIGINT + 1)) AS i FROM store_documents) SELECT id, (i + 1)::INT AS chunk_no, md5(substr(content, (i * 800 + 1)::BIGINT, 1000)) AS chunk_md5 FROM s WHERE substr(content, (i * 800 + 1)::BIGINT, 1000) <> ''",

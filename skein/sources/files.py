@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import csv
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -69,8 +70,8 @@ def parse_csv(data: bytes) -> tuple[str, list[tuple]]:
         return "", []
     head = rows[0]
     chunks = [(t, "csv_row", None, None) for r in rows[1:] if (t := " | ".join(f"{h}: {v}" for h, v in zip(head, r, strict=False) if v.strip()))]
-    shown = "\n".join(", ".join(r) for r in rows[:10])
-    return f"Columns: {', '.join(head)}\nTotal rows: {len(rows) - 1}\n\n{shown}", chunks
+    shown = "\n".join(f"Row {i}: {' | '.join(r)}" for i, r in enumerate(rows[:10], 1))
+    return f"Columns: {', '.join(head)}\nTotal rows: {len(rows) - 1}\n{shown}", chunks
 
 
 def _xml(z: zipfile.ZipFile, name: str) -> ET.Element:
@@ -81,6 +82,19 @@ def _texts(e: ET.Element, tag: str) -> str:
     return "".join(x.text or "" for x in e.iter() if x.tag.endswith("}" + tag))
 
 
+def _targets(z: zipfile.ZipFile, part: str) -> dict[str, str]:
+    """The parts that a part of an office file refers to, by relationship id and by kind."""
+    folder, _, name = part.rpartition("/")
+    if f"{folder}/_rels/{name}.rels" not in z.namelist():
+        return {}
+    out = {}
+    for e in _xml(z, f"{folder}/_rels/{name}.rels"):
+        target = e.attrib["Target"]
+        path = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"{folder}/{target}")
+        out[e.attrib["Id"]] = out[e.attrib.get("Type", "").rpartition("/")[2]] = path
+    return out
+
+
 def parse_docx(data: bytes) -> tuple[str, list[tuple]]:
     """A chunk for each paragraph that isn't blank, and for each table row, its cells joined with " | "."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -97,13 +111,12 @@ def parse_docx(data: bytes) -> tuple[str, list[tuple]]:
     return "\n".join(c[0] for c in chunks), chunks
 
 
-def parse_pptx(data: bytes) -> tuple[str, list[tuple]]:
-    """A chunk for each slide that has text, with its tables and speaker notes, "SLIDE n:" above each in the content."""
+def parse_pptx(data: bytes, slides: set[int] | None = None) -> tuple[str, list[tuple]]:
+    """A chunk for each slide that has text, with its tables and speaker notes, "SLIDE n:" above each in the content; of given ``slides`` only, if any."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = {int(m[1]): n for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n))}
-        notes = {int(m[1]): n for n in z.namelist() if (m := re.fullmatch(r"ppt/notesSlides/notesSlide(\d+)\.xml", n))}
         chunks = []
-        for number in sorted(names):
+        for number in sorted(names if slides is None else names.keys() & slides):
             root = _xml(z, names[number])
             lines = []
             for frame in root.iter():
@@ -112,7 +125,8 @@ def parse_pptx(data: bytes) -> tuple[str, list[tuple]]:
                 elif frame.tag.endswith("}tbl"):
                     rows = [" | ".join(_texts(c, "t").strip() for c in r if c.tag.endswith("}tc")) for r in frame if r.tag.endswith("}tr")]
                     lines += ["[Table]", *rows]
-            if number in notes and (t := _texts(_xml(z, notes[number]), "t").strip()):
+            notes = _targets(z, names[number]).get("notesSlide", f"ppt/notesSlides/notesSlide{number}.xml")
+            if notes in z.namelist() and (t := _texts(_xml(z, notes), "t").strip()):
                 lines.append(f"[Speaker Notes] {t}")
             if lines:
                 chunks.append(("\n".join(lines), "text", number, None))
@@ -123,11 +137,13 @@ def parse_xlsx(data: bytes, shown: int = 20) -> tuple[str, list[tuple]]:
     """A chunk for each row of each sheet with "[Sheet: s]" and its cells that aren't blank; the content lists the first rows of each."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared = [_texts(e, "t") for e in _xml(z, "xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in z.namelist() else []
-        titles = [e.attrib["name"] for e in _xml(z, "xl/workbook.xml").iter() if e.tag.endswith("}sheet")]
+        sheets = [e.attrib for e in _xml(z, "xl/workbook.xml").iter() if e.tag.endswith("}sheet")]
+        targets = _targets(z, "xl/workbook.xml")
         chunks, parts = [], []
-        for i, title in enumerate(titles, 1):
-            rows = []
-            for row in (e for e in _xml(z, f"xl/worksheets/sheet{i}.xml").iter() if e.tag.endswith("}row")):
+        for i, sheet in enumerate(sheets, 1):
+            title, rows = sheet["name"], []
+            name = targets.get(next((v for k, v in sheet.items() if k.endswith("}id")), None), f"xl/worksheets/sheet{i}.xml")
+            for row in (e for e in _xml(z, name).iter() if e.tag.endswith("}row")):
                 cells = []
                 for c in row:
                     v = next((x.text or "" for x in c if x.tag.endswith("}v")), "") or _texts(c, "t")
