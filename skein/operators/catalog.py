@@ -3,11 +3,13 @@ embedding_model, model_history, tags). Null arrays count as empty, null counts a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import slug
 
+from .store import upsert
+
 
 def tag(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), " ", "-")
@@ -76,6 +78,63 @@ def compatibility(catalog: DataFrame, model: str) -> DataFrame:
     return catalog.select("name", ((current == "") | (current == model)).alias("compatible"), (F.size(models) > 1).alias("mixed"), F.array_join(models, ",").alias("models"))
 
 
+def exists(catalog: DataFrame, name: str) -> bool:
+    return not load(catalog, name).isEmpty()
+
+
+def load(catalog: DataFrame, name: str) -> DataFrame:
+    """The row of a collection by its name or display name; none if it isn't there."""
+    return catalog.where(F.col("name") == F.lit(slug_of(name)))
+
+
+def save(catalog: DataFrame, rows: DataFrame) -> DataFrame:
+    """The catalog with rows in the place of those of the same name."""
+    return upsert(catalog, rows, "name")
+
+
+def delete(catalog: DataFrame, name: str) -> DataFrame:
+    """The catalog without a collection; as it is if it has none of the name."""
+    return catalog.where((F.col("name") != F.lit(slug_of(name))) | F.col("name").isNull())
+
+
+def listed(catalog: DataFrame) -> DataFrame:
+    """(position, name, display_name): the collections that have a name, in its order, from 1."""
+    kept = catalog.where(F.trim("name") != "")
+    return kept.select(F.row_number().over(Window.orderBy("name", "display_name")).alias("position"), "name", "display_name")
+
+
+def sources_of(catalog: DataFrame) -> DataFrame:
+    """(name, position, path): the recorded sources of each collection in order, once each: what a reindexing run reads again."""
+    one = catalog.select("name", F.posexplode("sources").alias("position", "s")).where("s.path is not null")
+    return one.groupBy("name", F.col("s.path").alias("path")).agg(F.min("position").alias("position")).select("name", "position", "path")
+
+
+def reindexed(catalog: DataFrame, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(catalog, sources): the catalog with the counts, sources and history of the named collections, or of all, taken back to nothing, and the sources (name, position, path)
+    to be recorded again with :func:`record_source` once their files are processed."""
+    mine = F.lit(True) if names is None else F.coalesce(F.col("name").isin([slug_of(n) for n in names]), F.lit(False))
+    types = dict(catalog.dtypes)
+    empty = {c: F.array().cast(types[c]) for c in ("sources", "model_history")} | {c: F.lit(0).cast(types[c]) for c in ("document_count", "chunk_count")}
+    return catalog.withColumns({c: F.when(mine, v).otherwise(F.col(c)) for c, v in empty.items()}), sources_of(catalog.where(mine))
+
+
+def usage_of(catalog: DataFrame, store: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(name, items, bytes, has_items, has_images, graph_edges): what each collection holds in a store (collection_name, content, image_path) and, with edges (collection_name), in its graph."""
+    images = F.max((F.trim("image_path") != "").cast("int"))
+    held = store.groupBy(F.col("collection_name").alias("name")).agg(F.count("*").alias("items"), F.sum(F.octet_length("content")).alias("bytes"), images.alias("images"))
+    out = catalog.select("name").join(held, "name", "left")
+    if edges is not None:
+        out = out.join(edges.groupBy(F.col("collection_name").alias("name")).agg(F.count("*").alias("edges")), "name", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return out.select("name", zero(F.col("items")).alias("items"), zero(F.col("bytes")).alias("bytes"), (zero(F.col("items")) > 0).alias("has_items"), (zero(F.col("images")) > 0).alias("has_images"), zero(F.col("edges") if edges is not None else F.lit(0)).alias("graph_edges"))
+
+
+def joined_graphs(graphs: DataFrame, separator: str = "\n\n---\n\n") -> DataFrame:
+    """(name, graph): the graph texts (name, position, graph) of each collection as one, blank ones left out."""
+    kept = graphs.where(F.trim("graph") != "")
+    return kept.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "graph"))), lambda x: x["graph"]), separator).alias("graph"))
+
+
 def stats(catalog: DataFrame, today: str) -> DataFrame:
     """(name, document_count, chunk_count, source_count, tag_count, model_changes, age_days, has_description)."""
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))

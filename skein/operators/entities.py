@@ -133,6 +133,12 @@ def report(df: DataFrame, threshold: float = 0.85, exact_ratio: bool = False, me
     return c.agg(F.count("*").alias("names"), F.countDistinct("entity_type", "canonical").alias("canonical_names"), F.countDistinct(F.when(F.col("members") > 1, F.struct("entity_type", "canonical"))).alias("merged_groups"))
 
 
+def merge_groups(df: DataFrame, threshold: float = 0.85, exact_ratio: bool = False, mentions: bool = False) -> DataFrame:
+    """(entity_type, canonical, names): the names of each cluster of several, in order, joined with "; "."""
+    c = clusters(df, threshold, exact_ratio, mentions).where("members > 1")
+    return c.groupBy("entity_type", "canonical").agg(F.array_join(F.array_sort(F.collect_set("name")), "; ").alias("names"))
+
+
 def renamed_edges(edges: DataFrame, cluster: DataFrame) -> DataFrame:
     """Edges with both ends by their canonical names; ends that no cluster knows keep their normal name."""
     c = cluster.groupBy("name").agg(F.min("canonical").alias("canonical"))

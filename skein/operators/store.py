@@ -93,3 +93,40 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     o, n = old.select("path", F.col("mtime").alias("before")), new.select("path", F.col("mtime").alias("after"))
     status = F.when(F.col("before").isNull(), "new").when(F.col("after").isNull(), "deleted").when(F.col("after") > F.col("before"), "modified").otherwise("unchanged")
     return o.where("before is not null").join(n.where("after is not null"), "path", "full").select("path", status.alias("status"))
+
+
+def clear(df: DataFrame) -> DataFrame:
+    """A store of the same columns without rows."""
+    return df.where(F.lit(False))
+
+
+def set_values(pairs: DataFrame, new: DataFrame) -> DataFrame:
+    """A table of settings (key, value) with others set in the place of those of the same key; null keys are left out."""
+    return upsert(pairs, new.where("key is not null"), "key")
+
+
+def get_value(pairs: DataFrame, key: str) -> str | None:
+    row = get(pairs, "key", key).select("value").first()
+    return None if row is None else row["value"]
+
+
+def transcripts(df: DataFrame, kind: str = "doc_type", content: str = "content") -> DataFrame:
+    """Rows of audio that has been transcribed, by their type; blank ones are none."""
+    return without_blank(df.where(F.lower(kind).isin("audio", "transcript")), content)
+
+
+def merged_stores(parts: list[DataFrame], id_col: str = "id") -> DataFrame:
+    """The rows of several stores with numbered ids as one store: the ids of each part begin after the greatest of the part before. Null ids stay null."""
+    both, offset = None, F.lit(0).cast("long")
+    for p in parts:
+        moved = p.join(p.sparkSession.range(1).select(F.lit(0).alias("_o")) if both is None else both.agg(F.coalesce(F.max(id_col), F.lit(-1)).alias("_m")).select((F.col("_m") + 1).alias("_o")), F.lit(True))
+        moved = moved.withColumn(id_col, F.col(id_col).cast("long") + F.col("_o")).drop("_o")
+        both = moved if both is None else both.unionByName(moved, allowMissingColumns=True)
+    return both
+
+
+def with_images(results: DataFrame, images: DataFrame, documents: int = 5, most: int = 3) -> DataFrame:
+    """(query_id, id, image_path): the first ``most`` images of the first ``documents`` results of each query, in their order; ``images`` is (id, image_path)."""
+    found = results.where(F.col("rank") <= documents).select("query_id", "rank", "id").join(images.where("trim(image_path) <> ''").select("id", "image_path").distinct(), "id")
+    w = Window.partitionBy("query_id").orderBy("rank", "image_path")
+    return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("query_id", "id", "image_path", "n")

@@ -18,21 +18,37 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or one of our own where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Where that is unset one of our own is made, if all
+    of Spark runs on this machine; on a cluster that is an error."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="skein-")
         spark.conf.set("spark.checkpoint.dir", given)
     return given
 
 
+_written: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once as a compressed table in the shared folder and read back.
 
     Unlike a cached or locally checkpointed frame this survives the loss of any executor, and unlike an RDD checkpoint
-    it stays columnar, so later readers prune columns.
+    it stays columnar, so later readers prune columns. :func:`forget` removes what was written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skein-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> int:
+    """Removes the tables this process has written to the shared folder, once their results have been taken; how many."""
+    jvm, n = spark._jvm, 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
