@@ -157,10 +157,12 @@ ORACLES = {
         UNION ALL SELECT id, line_no, 'relation', trim(regexp_extract(line, '^- (.+?) → (.+?) → (.+?)(?: \(([^)]*)\))?$', 1), ' '), trim(regexp_extract(line, '^- (.+?) → (.+?) → (.+?)(?: \(([^)]*)\))?$', 2), ' '), trim(regexp_extract(line, '^- (.+?) → (.+?) → (.+?)(?: \(([^)]*)\))?$', 3), ' ') FROM m WHERE section = 'r' AND regexp_matches(line, '^- (.+?) → (.+?) → (.+?)(?: \(([^)]*)\))?$')""",
     "graph_adjacency": f"WITH {EDGES}, a AS (SELECT source AS node, relation, target AS neighbour, context FROM c UNION SELECT target, 'inverse_' || coalesce(relation, ''), source, context FROM c) SELECT node, count(*) AS edges, count(DISTINCT neighbour) AS neighbours FROM a GROUP BY node",
     "graph_khop": f"WITH RECURSIVE {KHOP.format(hops=3)} SELECT seed, node, depth FROM reached",
-    "graph_described": f"WITH RECURSIVE {KHOP.format(hops=1)}, {V} SELECT seed, node, depth, coalesce(v[1], 'Unknown') AS entity_type, coalesce(v[2], '') AS description FROM reached LEFT JOIN vx ON vx.name = node",
+    "graph_described": f"WITH RECURSIVE {KHOP.format(hops=2)}, {V} SELECT seed, node, depth, coalesce(v[1], 'Unknown') AS entity_type, coalesce(v[2], '') AS description FROM reached LEFT JOIN vx ON vx.name = node",
     "graph_paths": f"""WITH {EDGES}, p AS (SELECT DISTINCT source, target FROM c WHERE edge_id % 100 = 0 AND source <> target), d AS (SELECT DISTINCT source AS x, coalesce(relation, '') AS r, target AS y FROM c WHERE source <> target)
         SELECT p.source, p.target, p.source || ' > ' || d.r || ' > ' || d.y AS path FROM p JOIN d ON d.x = p.source AND d.y = p.target
-        UNION ALL SELECT p.source, p.target, p.source || ' > ' || a.r || ' > ' || a.y || ' > ' || b.r || ' > ' || b.y FROM p JOIN d a ON a.x = p.source JOIN d b ON b.x = a.y AND b.y = p.target WHERE a.y <> p.target AND a.y <> p.source""",
+        UNION ALL SELECT p.source, p.target, p.source || ' > ' || a.r || ' > ' || a.y || ' > ' || b.r || ' > ' || b.y FROM p JOIN d a ON a.x = p.source JOIN d b ON b.x = a.y AND b.y = p.target WHERE a.y <> p.target AND a.y <> p.source
+        UNION ALL SELECT p.source, p.target, p.source || ' > ' || a.r || ' > ' || a.y || ' > ' || b.r || ' > ' || b.y || ' > ' || f.r || ' > ' || f.y FROM p JOIN d a ON a.x = p.source JOIN d b ON b.x = a.y JOIN d f ON f.x = b.y AND f.y = p.target
+        WHERE a.y NOT IN (p.target, p.source) AND b.y NOT IN (p.target, p.source, a.y)""",
     "graph_stats": "SELECT entities, relationships, round(relationships / greatest(entities, 1), 6) AS connected_ratio FROM (SELECT count(*) AS entities FROM kg_entities), (SELECT count(*) AS relationships FROM (SELECT DISTINCT * FROM kg_relationships))",
     "graph_types": "SELECT coalesce(entity_type, 'Unknown') AS entity_type, count(*) AS n FROM kg_entities GROUP BY 1",
     "graph_collapsed": f"WITH {EDGES} SELECT edge_id, source, relation, target, context FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY edge_id DESC) AS k FROM c) WHERE k = 1",
@@ -188,3 +190,76 @@ ORACLES = {
         l AS (SELECT *, lag(quality, 1) OVER w AS one, lag(quality, 2) OVER w AS two FROM t WINDOW w AS (PARTITION BY run_id ORDER BY iteration)) SELECT run_id, min(iteration)::INT AS stopped_at FROM l WHERE abs(quality - one) < 0.1 AND abs(one - two) < 0.1 AND quality > 0.7 AND iteration > 2 GROUP BY run_id""",
     "hashed_embeddings": f"WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), {WORD})) AS t FROM documents WHERE text IS NOT NULL) SELECT dim, count(DISTINCT id) AS n FROM (SELECT id, (('0x' || substr(md5(t), 1, 8))::BIGINT % 64)::INT AS dim FROM w) GROUP BY dim",
 }
+
+MEDIA = "mv AS (SELECT id, content, image_path, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM multimodal_documents WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0), mq AS (SELECT id AS query_id, vec AS qv FROM mv WHERE substr(id, 4)::BIGINT % 100 = 0 AND list_dot_product(vec, vec) > 0), ms AS (SELECT query_id, id, round(coalesce(list_dot_product(vec, qv) / nullif(sqrt(list_dot_product(vec, vec)) * sqrt(list_dot_product(qv, qv)), 0), 0), 6) AS similarity FROM mv JOIN mq ON len(vec) = len(qv))"
+BM25_5 = _top("keyword_score", 5, "(SELECT * FROM bm_s WHERE keyword_score > 0)", "query_id, id, keyword_score")
+NL2 = "chr(10) || chr(10)"
+BLANK = r"regexp_replace({0}, '[\s\p{{Z}}]+', '', 'g') <> ''"
+MULTI = "round(0.25::DOUBLE * ({fuzzy}) + 0.25::DOUBLE * ({cover}) + 0.35::DOUBLE * CASE WHEN semantic_score > 0 THEN 100 / (1 + 0.1::DOUBLE * semantic_score) ELSE 80.0::DOUBLE END + 0.15::DOUBLE * ({length}) + {bonus}, 6) AS composite_score".format(fuzzy=OVERLAP_SCORE, cover=_coverage(STOP_WORDS), length=LENGTH, bonus=BONUS)
+DENSE_ONLY = HYBRID[: HYBRID.index("hd AS (")] + f"hd AS ({_top('similarity', 100, 'hs', 'query_id, id, round(1 - similarity, 6) AS semantic_score')}), dr AS (SELECT hd.query_id, query_text, hd.id, content, semantic_score, rank FROM hd JOIN hq USING (query_id) JOIN docs USING (id))"
+# what a graph gives for a seed: the first nodes by hop, their kind, description and first neighbours
+GRAPH_TEXT = f"""{KHOP.format(hops=2)}, {V},
+gd AS (SELECT seed, node, depth, coalesce(v[1], 'Unknown') AS kind, coalesce(v[2], '') AS description FROM reached LEFT JOIN vx ON vx.name = node),
+ga AS (SELECT source AS node, coalesce(relation, '') AS relation, target AS neighbour FROM c UNION SELECT target, 'inverse_' || coalesce(relation, ''), source FROM c),
+gr AS (SELECT node, string_agg(neighbour || ' (' || relation || ')', ', ' ORDER BY k) AS names FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY relation, neighbour) AS k FROM ga) WHERE k <= 3 GROUP BY node),
+gk AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS k, lag(depth) OVER (PARTITION BY seed ORDER BY depth, node) AS before FROM gd QUALIFY row_number() OVER (PARTITION BY seed ORDER BY depth, node) <= 15),
+gl AS (SELECT seed, k, CASE WHEN before IS NULL THEN '**Hop ' || depth || ' Connections:**' || chr(10) WHEN before < depth THEN chr(10) || '**Hop ' || depth || ' Connections:**' || chr(10) ELSE '' END || '- **' || node || '** (' || kind || ')' || CASE WHEN description <> '' THEN chr(10) || '  - Description: ' || description ELSE '' END || CASE WHEN depth < 2 AND names IS NOT NULL THEN chr(10) || '  - Related: ' || names ELSE '' END AS line FROM gk LEFT JOIN gr USING (node)),
+gt AS (SELECT seed, chr(10) || '### Graph-Augmented Context' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY k) || chr(10) AS context FROM gl GROUP BY seed)"""
+PHRASES = "list_distinct(list_concat(regexp_extract_all({0}, '[A-Z][a-zA-Z]+(?: [A-Z][a-zA-Z]+){{1,3}}'), regexp_extract_all({0}, '\"([^\"]{{2,30}})\"', 1)))"
+
+ORACLES |= {
+    "dense_filtered": f"WITH {VECTORS}, s AS (SELECT query_id, v.id, round(coalesce(list_dot_product(vec, qv) / nullif(sqrt(list_dot_product(vec, vec)) * sqrt(list_dot_product(qv, qv)), 0), 0), 6) AS similarity FROM v JOIN (SELECT vec_id AS id FROM embeddings WHERE label < 5) USING (id), q WHERE v.id <> query_id) {_top('similarity', 10, 's', 'query_id, id, similarity, round(1 - similarity, 6) AS semantic_score')}",
+    "keyword_filtered": ORACLES["keyword_like"].replace("FROM docs JOIN q ON", "FROM docs JOIN (SELECT doc_id AS id FROM documents WHERE lower(doc_type) IN ('markdown', 'text')) USING (id) JOIN q ON"),
+    "multimodal_dense": f"WITH {MEDIA} {_top('similarity', 10, '(SELECT * FROM ms WHERE id <> query_id)', 'query_id, id, similarity')}",
+    "multimodal_images": f"WITH {MEDIA}, f AS ({_top('similarity', 5, 'ms', 'query_id, id')}), i AS (SELECT DISTINCT query_id, rank, id, m.image_path FROM f JOIN multimodal_documents m USING (id) WHERE trim(m.image_path) <> '') SELECT query_id, id, image_path, n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, image_path) AS n FROM i) WHERE n <= 3",
+    "hybrid_fused": f"WITH {HYBRID[: HYBRID.index('hr AS (')]} wd AS (SELECT DISTINCT query_id FROM hk) SELECT query_id, id, round(raw, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, id) AS rank FROM hf WHERE query_id IN (FROM wd) UNION ALL SELECT query_id, id, 1 - semantic_score, rank FROM hd WHERE query_id NOT IN (FROM wd)",
+    "dense_reranked": f"WITH {DENSE_ONLY}, s AS (SELECT query_id, id, {MULTI} FROM dr) {_top('composite_score', 10, 's', 'query_id, id, composite_score')}",
+    "reordered": f"WITH {COSINE}, f AS ({_top('similarity', 10, 's', 'query_id, id')}) {_top('composite_score', 5, '(SELECT query_id, id, (id % 7) * 100.0::DOUBLE AS composite_score FROM f)', 'query_id, id, composite_score')}",
+    "rerank_provider": f"""WITH {HYBRID}, w AS (SELECT query_id, id, list_distinct(regexp_extract_all(lower(query_text), {WORD})) AS a, list_distinct(regexp_extract_all(lower(content), {WORD})) AS b, trim(query_text) = '' AS blank FROM found),
+        s AS (SELECT query_id, id, CASE WHEN blank OR len(a) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / len(a) END AS score FROM w) {_top('score', 10, 's', 'query_id, id, round(100 * score, 6) AS composite_score')}""",
+    "without_blank": f"SELECT id FROM multimodal_documents WHERE {BLANK.format('content')}",
+    "point_get": "SELECT doc_id, md5(content) AS content_md5, doc_type FROM store_documents WHERE doc_id = 'doc-0000000007'",
+    "store_cleared": "SELECT 0::BIGINT AS n",
+    "store_transcripts": f"SELECT doc_id FROM store_documents WHERE lower(doc_type) IN ('audio', 'transcript') AND {BLANK.format('content')}",
+    "store_settings": "SELECT name AS key, CASE WHEN trim(embedding_model, ' ') <> '' THEN embedding_model ELSE 'none' END AS value FROM collections",
+    "stores_merged": "SELECT doc_id AS id, md5(text) AS content_md5 FROM documents UNION ALL SELECT vec_id + (SELECT max(doc_id) + 1 FROM documents), NULL FROM embeddings",
+    "context_simple": f"WITH {ITEMS}, {BM25}, t AS ({BM25_5}) SELECT query_id, string_agg(content, {NL2} ORDER BY rank) AS context FROM t JOIN docs USING (id) GROUP BY query_id",
+    "context_numbered": f"WITH {ITEMS}, {OVERLAP}, t AS ({_top('keyword_score', 5, '(SELECT * FROM ov_s WHERE keyword_score > 0)', 'query_id, id, keyword_score')}) SELECT query_id, substr('## Entities' || {NL2} || string_agg('[Source ' || rank || '] (score: ' || printf('%.1f', keyword_score * 100) || ')' || chr(10) || content, {NL2} ORDER BY rank), 1, 4000) AS context FROM t JOIN docs USING (id) GROUP BY query_id",
+    "context_metadata": f"WITH {ITEMS}, {BM25}, t AS ({BM25_5}) SELECT query_id, string_agg('[Document ' || rank || ']' || chr(10) || text || chr(10) || 'Metadata: ' || coalesce(source, '{{}}'), {NL2} ORDER BY rank) AS context FROM t JOIN documents ON doc_id = id GROUP BY query_id",
+    "context_references": f"WITH {ITEMS}, {BM25}, t AS ({BM25_5}) SELECT query_id, string_agg('[Ref ' || rank || ' (' || coalesce(file_path, 'unknown') || ')] ' || substr(replace(text, chr(10), ' '), 1, 800), chr(10) ORDER BY rank) AS context FROM t JOIN documents ON doc_id = id GROUP BY query_id",
+    "content_previews": "SELECT doc_id AS id, md5(CASE WHEN length(content) > 120 THEN substr(content, 1, 120) || '...' ELSE content END) AS preview_md5 FROM store_documents",
+    "graph_extraction_inputs": "SELECT doc_id AS id, md5(substr(text, 1, greatest(2000, 25000 // (SELECT count(*) FROM documents))::BIGINT)) AS content_md5 FROM documents",
+    "unified_contexts": f"""WITH RECURSIVE {HYBRID}, us AS (SELECT query_id, id, {MULTI} FROM found), ut AS ({_top('composite_score', 10, 'us', 'query_id, id, composite_score')}),
+        uc AS (SELECT query_id, substr('## Knowledge Graph' || {NL2} || string_agg('[Source ' || rank || '] (score: ' || printf('%.1f', composite_score) || ')' || chr(10) || content, {NL2} ORDER BY rank), 1, 12000) AS context FROM ut JOIN docs USING (id) GROUP BY query_id),
+        up AS (SELECT query_id, unnest({PHRASES.format('query_text')}) AS seed FROM hq), {GRAPH_TEXT.replace("SELECT DISTINCT source AS seed FROM e WHERE edge_id % 100 = 0 AND trim(source) <> ''", "SELECT DISTINCT seed FROM up")},
+        um AS (SELECT query_id, string_agg(context, '' ORDER BY seed) AS more FROM up JOIN gt USING (seed) GROUP BY query_id), ux AS (SELECT query_id, substr(context || coalesce(more, ''), 1, 12000) AS context FROM hq LEFT JOIN uc USING (query_id) LEFT JOIN um USING (query_id))
+        SELECT query_id, md5(context) AS context_md5, length(context) AS chars FROM ux""",
+    "blended_search": f"WITH {ITEMS.replace('docs AS (SELECT doc_id AS id, text AS content FROM documents WHERE text IS NOT NULL)', 'bl AS (SELECT content, doc_id AS id, 0 AS p FROM store_documents UNION ALL SELECT text, doc_id::VARCHAR, 1 FROM documents WHERE text IS NOT NULL), docs AS (SELECT id, content FROM bl QUALIFY row_number() OVER (PARTITION BY content ORDER BY p, id) = 1)')}, {BM25} {_top('keyword_score', 10, '(SELECT * FROM bm_s WHERE keyword_score > 0)', 'query_id, id, keyword_score')}",
+    "entity_groups": f"WITH RECURSIVE {CLUSTERS} SELECT entity_type, canonical, string_agg(DISTINCT name, '; ' ORDER BY name) AS names FROM clus WHERE members > 1 GROUP BY 1, 2",
+    "collection_listed": "SELECT row_number() OVER (ORDER BY name, display_name) AS position, name, display_name FROM collections WHERE trim(name, ' ') <> '' AND name <> 'field-notes'",
+    "collection_saved": "SELECT CASE WHEN length(name) % 4 = 0 THEN 'new' ELSE embedding_model END AS embedding_model, count(*) AS n FROM collections GROUP BY 1",
+    "collection_reindex": "WITH s AS (SELECT name, unnest(sources).path AS path, generate_subscripts(sources, 1) - 1 AS k FROM collections) SELECT name, min(k)::INT AS position, path, 0::BIGINT AS \"left\" FROM s WHERE path IS NOT NULL GROUP BY name, path",
+    "collection_usage": "WITH h AS (SELECT collection_name AS name, count(*) AS items, sum(strlen(content)) AS bytes, bool_or(trim(image_path, ' ') <> '') AS images FROM store_documents GROUP BY 1), g AS (SELECT collection_name AS name, count(*) AS n FROM (SELECT DISTINCT * FROM kg_relationships) JOIN store_documents USING (doc_id) GROUP BY 1) SELECT c.name, coalesce(items, 0) AS items, coalesce(bytes, 0)::BIGINT AS bytes, coalesce(items, 0) > 0 AS has_items, coalesce(images, false) AS has_images, coalesce(n, 0) AS graph_edges FROM collections c LEFT JOIN h USING (name) LEFT JOIN g USING (name)",
+    "collection_graphs": f"SELECT collection_name AS name, md5(string_agg(text, {NL2} || '---' || {NL2} ORDER BY doc_id)) AS graph_md5 FROM documents WHERE contains(text, '## Entities') AND collection_name IS NOT NULL GROUP BY 1",
+    "collection_search_tags": "SELECT name FROM collections WHERE list_has_any(tags, ['monthly', 'quiet']) AND contains(lower(embedding_model), 'mini')",
+    "collection_tags": "SELECT name, array_to_string(list_filter(list_concat(t, list_filter(['field-notes', 'draft'], lambda x: NOT list_contains(t, x))), lambda x: x <> 'draft'), ',') AS tags FROM (SELECT name, list_filter(coalesce(tags, []), lambda x, i: list_position(coalesce(tags, []), x) = i) AS t FROM collections)",
+    "answers_in_texts": r"""SELECT count(*) AS texts, count(*) FILTER (regexp_matches(text, '(?s)FINAL\((\"[^\"]+\"|''[^'']+'')\)')) AS answers, count(*) FILTER (regexp_matches(text, 'FINAL_VAR\(\s*[A-Za-z_][A-Za-z0-9_]*\s*\)')) AS variables, count(*) FILTER (regexp_matches(text, '\d{1,3}\s*/\s*100') OR regexp_matches(text, '(?i)score[:\s]+\d{1,3}')) AS scores FROM documents WHERE text IS NOT NULL""",
+    "graph_context": f"WITH RECURSIVE {GRAPH_TEXT} SELECT seed, context FROM gt",
+    "graph_augment": f"""WITH RECURSIVE tx AS (SELECT record_id AS id, 'Tell me of "' || name || '".' AS t FROM kg_entities WHERE record_id % 100 = 0 AND name IS NOT NULL), up AS (SELECT DISTINCT id, unnest({PHRASES.format('t')}) AS seed FROM tx), {GRAPH_TEXT.replace("SELECT DISTINCT source AS seed FROM e WHERE edge_id % 100 = 0 AND trim(source) <> ''", "SELECT DISTINCT seed FROM up")} SELECT id, seed, context FROM up JOIN gt USING (seed)""",
+    "coreference": r"""WITH RECURSIVE en AS (SELECT doc_id AS id, list_sort(list_distinct(list(name))) AS es FROM entity_nodes WHERE doc_id IS NOT NULL AND name IS NOT NULL GROUP BY 1),
+        ws AS (SELECT doc_id AS id, coalesce(es, []) AS es, list_filter(regexp_split_to_array(content, '[\s\p{Z}]+'), lambda w: w <> '') AS w FROM store_documents LEFT JOIN en ON en.id = doc_id),
+        tk AS (SELECT id, es, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM ws),
+        tb AS (SELECT id, es, pos, word, regexp_replace(regexp_replace(lower(word), '^[.,;:!?()\[\]{}\"'']+', ''), '[.,;:!?()\[\]{}\"'']+$', '') AS bare FROM tk),
+        tc AS (SELECT id, pos, word, bare, list_contains(['he', 'she', 'it', 'they', 'him', 'her', 'them', 'his', 'their', 'its'], bare) AS pro, list_filter(es, lambda e: bare <> '' AND (contains(lower(e), bare) OR contains(bare, lower(e))))[1] AS ent FROM tb),
+        ty AS (SELECT *, ent IS NOT NULL AND lower(ent) <> bare AS fresh FROM tc),
+        st AS (SELECT id, 0::BIGINT AS pos, [[]::VARCHAR[]] AS r, ''::VARCHAR AS shown FROM ws UNION ALL
+            SELECT ty.id, ty.pos, [CASE WHEN pro AND len(st.r[1]) > 0 THEN st.r[1] WHEN fresh THEN list_concat([ent], list_filter(st.r[1], lambda x: x <> ent))[1:5] ELSE st.r[1] END],
+                CASE WHEN pro AND len(st.r[1]) > 0 THEN word || ' [' || coalesce(CASE WHEN bare IN ('he', 'him', 'his') THEN list_filter(st.r[1], lambda e: regexp_matches(lower(e), 'mr|mrs|dr|prof'))[1] WHEN bare IN ('it', 'its') THEN list_filter(st.r[1], lambda e: NOT regexp_matches(lower(e), 'mr|mrs|person'))[1] END, st.r[1][1]) || ']' ELSE word END
+            FROM st JOIN ty ON ty.id = st.id AND ty.pos = st.pos + 1),
+        al AS (SELECT id, string_agg(shown, ' ' ORDER BY pos) FILTER (pos > 0) AS content FROM st GROUP BY id) SELECT id, coalesce(content, '') AS content FROM al""",
+    "chunk_transcript": r"""WITH RECURSIVE w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(content, '[\s\p{Z}]+'), lambda x: x <> '') AS ws FROM store_documents),
+        t AS (SELECT id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+        s AS (SELECT id, word, pos, 1 AS chunk_no, length(word) AS held FROM t WHERE pos = 1 UNION ALL
+            SELECT t.id, t.word, t.pos, CASE WHEN s.held >= 500 THEN s.chunk_no + 1 ELSE s.chunk_no END, CASE WHEN s.held >= 500 THEN length(t.word) ELSE s.held + 1 + length(t.word) END FROM s JOIN t ON t.id = s.id AND t.pos = s.pos + 1)
+        SELECT id, chunk_no, md5(string_agg(word, ' ' ORDER BY pos)) AS chunk_md5 FROM s GROUP BY id, chunk_no""",
+}

@@ -14,6 +14,7 @@ from skein.operators import catalog, chunking, context, dense, entities, graph,
 from skein.plans.providers import OverlapReranker, hashed_embedding
 
 from . import answer
+from .config import Profile
 from .tables import read
 
 
@@ -297,13 +298,13 @@ def graph_khop(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graph_described(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.described(graph.expand(_seeds(spark, sf), _edges(spark, sf), 1), _vertices(spark, sf))
+    return graph.described(graph.expand(_seeds(spark, sf), _edges(spark, sf), 2), _vertices(spark, sf))
 
 
 def graph_paths(spark: SparkSession, sf: str) -> DataFrame:
     e = _edges(spark, sf)
     pairs = e.where("edge_id % 100 = 0").select("source", "target").where("trim(source) <> '' and trim(target) <> ''")
-    return graph.simple_paths(pairs, e, 2).select("source", "target", F.array_join("path", " > ").alias("path"))
+    return graph.simple_paths(pairs, e, 3).select("source", "target", F.array_join("path", " > ").alias("path"))
 
 
 def graph_context(spark: SparkSession, sf: str) -> DataFrame:
@@ -470,5 +471,173 @@ def hashed_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("id", F.posexplode("v").alias("dim", "x")).where("x > 0").groupBy("dim").agg(F.count("*").alias("n"))
 
 
+def dense_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """The search with a condition on the corpus that holds before the best are chosen."""
+    labelled = read(spark, sf, "embeddings", "vec_id", "embedding", "label").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    return dense.cosine_topk(_vector_queries(spark, sf), labelled, 10, exclude_self=True, where=F.col("label") < 5)
+
+
+def keyword_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents", "doc_id", "text", "doc_type").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "doc_type")
+    return keyword.like_filter(_items(spark, sf), docs, 50, where=F.lower("doc_type").isin("markdown", "text"))
+
+
+def _media(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "multimodal_documents", "id", "content", "embedding", "image_path").select("id", "content", F.col("embedding").alias("vec"), "image_path")
+
+
+def _media_queries(spark: SparkSession, sf: str) -> DataFrame:
+    asked = _media(spark, sf).where("cast(substring(id, 4) as bigint) % 100 = 0")
+    return asked.select(F.col("id").alias("query_id"), F.col("content").alias("query_text"), F.col("vec").alias("query_vec"))
+
+
+def multimodal_dense(spark: SparkSession, sf: str) -> DataFrame:
+    return dense.cosine_topk(_media_queries(spark, sf), _media(spark, sf), 10, exclude_self=True).select("query_id", "id", "similarity", "rank")
+
+
+def multimodal_images(spark: SparkSession, sf: str) -> DataFrame:
+    """The images of the items most similar to each query item."""
+    return store.with_images(dense.cosine_topk(_media_queries(spark, sf), _media(spark, sf), 5), _media(spark, sf))
+
+
+def hybrid_fused(spark: SparkSession, sf: str) -> DataFrame:
+    return answer.fused(_hybrid_queries(spark, sf), _hybrid_corpus(spark, sf))
+
+
+def dense_reranked(spark: SparkSession, sf: str) -> DataFrame:
+    return answer.dense_reranked(_hybrid_queries(spark, sf), _hybrid_corpus(spark, sf), 10, 100).select("query_id", "id", "composite_score", "rank")
+
+
+def reordered(spark: SparkSession, sf: str) -> DataFrame:
+    """The dense list in the order of scores that a model gives, here the lengths of the ids."""
+    found = dense.cosine_topk(_vector_queries(spark, sf), _vectors(spark, sf), 10)
+    return ranking.reorder(found, found.select("query_id", "id", (F.col("id") % 7).cast("double").alias("rerank_score")), 5).select("query_id", "id", "composite_score", "rank")
+
+
+def without_blank(spark: SparkSession, sf: str) -> DataFrame:
+    kept = store.without_blank(read(spark, sf, "multimodal_documents", "id", "content"))
+    return kept.select("id")
+
+
+def point_get(spark: SparkSession, sf: str) -> DataFrame:
+    return store.get(read(spark, sf, "store_documents"), "doc_id", "doc-0000000007").select("doc_id", F.md5("content").alias("content_md5"), "doc_type")
+
+
+def store_cleared(spark: SparkSession, sf: str) -> DataFrame:
+    return store.clear(read(spark, sf, "store_documents", "doc_id", "content")).agg(F.count("*").alias("n"))
+
+
+def store_transcripts(spark: SparkSession, sf: str) -> DataFrame:
+    return store.transcripts(read(spark, sf, "store_documents", "doc_id", "doc_type", "content")).select("doc_id")
+
+
+def store_settings(spark: SparkSession, sf: str) -> DataFrame:
+    """Models of collections as settings, those with a model of their own set again."""
+    c = read(spark, sf, "collections", "name", "embedding_model")
+    old = c.select(F.col("name").alias("key"), F.lit("none").alias("value"))
+    return store.set_values(old, c.where("trim(embedding_model) <> ''").select(F.col("name").alias("key"), F.col("embedding_model").alias("value")))
+
+
+def stores_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus and the vectors' table as one store, ids of the second after those of the first."""
+    a = read(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), F.md5("text").alias("content_md5"))
+    b = read(spark, sf, "embeddings", "vec_id").select(F.col("vec_id").alias("id"), F.lit(None).cast("string").alias("content_md5"))
+    return store.merged_stores([a, b])
+
+
+def context_simple(spark: SparkSession, sf: str) -> DataFrame:
+    return context.simple(keyword.bm25_topk(_items(spark, sf), _docs(spark, sf), 5).join(_docs(spark, sf), "id"))
+
+
+def context_numbered(spark: SparkSession, sf: str) -> DataFrame:
+    """With the head of a knowledge graph before it, within a budget."""
+    found = keyword.overlap_topk(_items(spark, sf), _docs(spark, sf), 5).join(_docs(spark, sf), "id").withColumn("composite_score", F.col("keyword_score") * 100)
+    return context.with_graph(context.numbered(found), "## Entities", 4000)
+
+
+def context_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents", "doc_id", "text", "source").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("metadata"))
+    return context.with_metadata(keyword.bm25_topk(_items(spark, sf), _docs(spark, sf), 5).join(docs, "id"))
+
+
+def context_references(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents", "doc_id", "text", "file_path").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("file_path").alias("source"))
+    return context.references(keyword.bm25_topk(_items(spark, sf), _docs(spark, sf), 5).join(docs, "id"))
+
+
+def content_previews(spark: SparkSession, sf: str) -> DataFrame:
+    return _store(spark, sf).select("id", F.md5(context.preview(F.col("content"), 120)).alias("preview_md5"))
+
+
+def graph_extraction_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    return context.extraction_inputs(_docs(spark, sf), 25_000).select("id", F.md5("content").alias("content_md5"))
+
+
+def unified_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """All that a model is given for each question: hybrid search, reranking, sources, graph context of the names in the question."""
+    p = Profile(graph_augmented=True, multi_query=False)
+    texts, _ = answer.contexts(_hybrid_queries(spark, sf), _hybrid_corpus(spark, sf), p, 12_000, graph_text="## Knowledge Graph", vertices=_vertices(spark, sf), edges=_edges(spark, sf))
+    return texts.select("query_id", F.md5("context").alias("context_md5"), F.length("context").alias("chars"))
+
+
+def multi_query_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences of each question as its sub-queries; vectors by hashing."""
+    docs = _docs(spark, sf).where("content is not null").withColumn("vec", hashed_embedding(F.col("content")))
+    q = _items(spark, sf).withColumn("query_vec", hashed_embedding(F.col("query_text")))
+    subs = q.select("query_id", F.posexplode(F.split("query_text", r"\. ")).alias("position", "text"))
+    return answer.in_parts(q, subs, docs, Profile(multi_query=True), hashed_embedding).select("query_id", "id", "composite_score", "rank")
+
+
+def blended_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A search of the store and the corpus as one collection, the store winning where both have a content."""
+    a = read(spark, sf, "store_documents", "doc_id", "content").select(F.col("doc_id").alias("id"), "content")
+    b = read(spark, sf, "documents", "doc_id", "text").where("text is not null").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"))
+    return keyword.bm25_topk(_items(spark, sf), answer.blended_corpus([a, b]), 10)
+
+
+def entity_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return entities.merge_groups(_entity_records(spark, sf))
+
+
+def collection_listed(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.listed(catalog.delete(_catalog(spark, sf), "Field Notes"))
+
+
+def collection_saved(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalog with every fourth collection saved again under the model "new"."""
+    c = _catalog(spark, sf)
+    changed = c.where(F.pmod(F.length("name"), F.lit(4)) == 0).withColumn("embedding_model", F.lit("new"))
+    return catalog.save(c, changed).groupBy("embedding_model").agg(F.count("*").alias("n"))
+
+
+def collection_reindex(spark: SparkSession, sf: str) -> DataFrame:
+    """The sources to be read again when all collections are built anew."""
+    emptied, sources = catalog.reindexed(_catalog(spark, sf))
+    left = emptied.agg(F.sum(F.coalesce("document_count", F.lit(0)) + F.coalesce(F.size("sources"), F.lit(0))).alias("left"))
+    return sources.join(left, F.lit(True))
+
+
+def collection_usage(spark: SparkSession, sf: str) -> DataFrame:
+    held = read(spark, sf, "store_documents", "doc_id", "collection_name", "content", "image_path")
+    edges = _edges(spark, sf).join(held.select("doc_id", "collection_name"), "doc_id")
+    return catalog.usage_of(_catalog(spark, sf), held, edges)
+
+
+def collection_graphs(spark: SparkSession, sf: str) -> DataFrame:
+    """The graph texts of the corpus joined for each collection."""
+    d = read(spark, sf, "documents", "doc_id", "collection_name", "text").where("text like '%## Entities%' and collection_name is not null")
+    return catalog.joined_graphs(d.select(F.col("collection_name").alias("name"), F.col("doc_id").alias("position"), F.col("text").alias("graph"))).select("name", F.md5("graph").alias("graph_md5"))
+
+
+def collection_search_tags(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.search(_catalog(spark, sf), tags=["Monthly", "quiet"], model="mini").select("name")
+
+
+def answers_in_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """What the corpus holds of answers and grades, as a model's responses are read."""
+    c = F.col("content")
+    return _docs(spark, sf).where("content is not null").agg(F.count("*").alias("texts"), F.count(T.final_answer(c)).alias("answers"), F.count(T.final_variable(c)).alias("variables"), F.count(T.report_score(c)).alias("scores"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k != "queries"}
