@@ -109,16 +109,37 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     words = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
-    return {
-        "p1_found": f"""WITH w AS (SELECT doc_id, {words.format('content')} AS ws FROM store_documents),
+    pairs = f"""w AS (SELECT doc_id, {words.format('content')} AS ws FROM store_documents),
             g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 20)),
             n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-            b AS (SELECT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2)
-            SELECT doc_id_a, doc_id_b FROM b JOIN n p ON p.doc_id = doc_id_a JOIN n q ON q.doc_id = doc_id_b WHERE c::DOUBLE / (p.n + q.n - c) >= 0.6""",
-        "p6_found": f"""WITH i AS (SELECT item_id, {words.format('text')} AS ws FROM eval_items WHERE text IS NOT NULL), k AS (SELECT *, least(12, len(ws)) AS k FROM i WHERE len(ws) > 0),
+            b AS (SELECT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+            pairs AS (SELECT doc_id_a, doc_id_b FROM b JOIN n p ON p.doc_id = doc_id_a JOIN n q ON q.doc_id = doc_id_b WHERE c::DOUBLE / (p.n + q.n - c) >= 0.6)"""
+    # words of documents with their places; runs are told by the words, as in p6_found
+    runs = f"""i AS (SELECT item_id, {words.format('text')} AS ws FROM eval_items WHERE text IS NOT NULL), k AS (SELECT *, least(12, len(ws)) AS k FROM i WHERE len(ws) > 0),
             ig AS (SELECT DISTINCT item_id, k, array_to_string(ws[j:j + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS j FROM k)),
-            d AS (SELECT doc_id, {words.format('text')} AS ws FROM documents WHERE text IS NOT NULL), dk AS (SELECT doc_id, ws, k FROM d, (SELECT DISTINCT k FROM k) WHERE len(ws) >= k),
-            dg AS (SELECT DISTINCT doc_id, k, array_to_string(ws[j:j + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS j FROM dk))
-            SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (k, s)""",
+            d AS (SELECT doc_id, {words.format('text')} AS ws, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}]+') AS gs FROM documents WHERE text IS NOT NULL),
+            pl AS (SELECT doc_id, j, sum(length(gs[j]) + coalesce(length(ws[j - 1]), 0)) OVER (PARTITION BY doc_id ORDER BY j) AS b, b + length(ws[j]) AS e FROM (SELECT doc_id, ws, gs, unnest(range(1, len(ws) + 1)) AS j FROM d)),
+            dk AS (SELECT doc_id, ws, k FROM d, (SELECT DISTINCT k FROM k) WHERE len(ws) >= k),
+            dg AS (SELECT doc_id, k, j, array_to_string(ws[j:j + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS j FROM dk)),
+            r AS (SELECT dg.doc_id, item_id, x.b, y.e FROM dg JOIN ig USING (k, s) JOIN pl x ON x.doc_id = dg.doc_id AND x.j = dg.j JOIN pl y ON y.doc_id = dg.doc_id AND y.j = dg.j + k - 1)"""
+
+    def stretches(keys: str) -> str:
+        w = f"OVER (PARTITION BY {keys} ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND {{0}})"
+        return f"(SELECT {keys}, min(b) AS b, max(e) AS e FROM (SELECT *, sum(CASE WHEN m IS NULL OR b > m THEN 1 ELSE 0 END) {w.format('CURRENT ROW')} AS part FROM (SELECT {keys}, b, e, max(e) {w.format('1 PRECEDING')} AS m FROM r)) GROUP BY {keys}, part)"
+
+    return {
+        "p1_found": f"WITH {pairs} SELECT doc_id_a, doc_id_b FROM pairs",
+        "p1_classes": f"""WITH RECURSIVE {pairs}, links AS (SELECT doc_id_a AS x, doc_id_b AS y FROM pairs UNION ALL SELECT doc_id_b, doc_id_a FROM pairs),
+            reach AS (SELECT doc_id, doc_id AS node FROM store_documents UNION SELECT doc_id, y FROM reach JOIN links ON x = node), low AS (SELECT doc_id, min(node) AS class_id FROM reach GROUP BY doc_id)
+            SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM low""",
+        "p4_found": """WITH v AS (SELECT id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM multimodal_documents WHERE len(embedding) = 96 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+            u AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM v WHERE list_dot_product(v, v) > 0),
+            s AS (SELECT a.id AS x, b.id AS y, round(list_dot_product(a.v, b.v), 6) AS s FROM u a JOIN u b ON a.id <> b.id),
+            t AS (SELECT x, y FROM s WHERE s >= 0.7 QUALIFY row_number() OVER (PARTITION BY x ORDER BY s DESC, y) <= 10) SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM t""",
+        "p6_found": f"WITH {runs} SELECT DISTINCT doc_id, item_id FROM r",
+        "p6_spans": f"WITH {runs} SELECT doc_id, item_id, b::INT AS begin, e::INT AS \"end\" FROM {stretches('doc_id, item_id')}",
+        "p6_clean": f"""WITH {runs}, z AS {stretches('doc_id')}, c AS (SELECT doc_id, b, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) AS before FROM z),
+            o AS (SELECT doc_id, string_agg(substr(text, (before + 1)::BIGINT, (b - before)::BIGINT), '' ORDER BY b) || substr(any_value(text), (max(e) + 1)::BIGINT) AS kept, sum(e - b)::BIGINT AS gone FROM c JOIN documents USING (doc_id) GROUP BY doc_id)
+            SELECT doc_id, coalesce(kept, text) AS text, coalesce(gone, 0) AS removed_chars FROM documents LEFT JOIN o USING (doc_id) WHERE text IS NULL OR coalesce(gone, 0) = 0 OR gone < 0.5 * length(text)""",
         "p3_found": "SELECT d.doc_id FROM store_documents d JOIN profiles p ON p.name = d.profile_name WHERE length(d.content) > p.chunk_size AND p.chunk_overlap < p.chunk_size",
     }
