@@ -61,6 +61,11 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return lists.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
+def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten most similar of every usable vector, however unlike; tables are planned for pairs of 0.6."""
+    return nearest(read(spark, sf, "multimodal_documents", "id", "embedding"), "id", "embedding", 96, 10, similarity=0.6)
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return scan_lines(read(spark, sf, "store_documents", "doc_id", "content"), "doc_id", "content").withColumnRenamed("id", "doc_id")
 
@@ -123,6 +128,10 @@ def oracle_sql() -> dict[str, str]:
             dg AS (SELECT doc_id, k, j, array_to_string(ws[j:j + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS j FROM dk)),
             r AS (SELECT dg.doc_id, item_id, x.b, y.e FROM dg JOIN ig USING (k, s) JOIN pl x ON x.doc_id = dg.doc_id AND x.j = dg.j JOIN pl y ON y.doc_id = dg.doc_id AND y.j = dg.j + k - 1)"""
 
+    sims = """WITH v AS (SELECT id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM multimodal_documents WHERE len(embedding) = 96 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+            u AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM v WHERE list_dot_product(v, v) > 0),
+            s AS (SELECT a.id AS x, b.id AS y, round(list_dot_product(a.v, b.v), 6) AS s FROM u a JOIN u b ON a.id <> b.id)"""
+
     def stretches(keys: str) -> str:
         w = f"OVER (PARTITION BY {keys} ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND {{0}})"
         return f"(SELECT {keys}, min(b) AS b, max(e) AS e FROM (SELECT *, sum(CASE WHEN m IS NULL OR b > m THEN 1 ELSE 0 END) {w.format('CURRENT ROW')} AS part FROM (SELECT {keys}, b, e, max(e) {w.format('1 PRECEDING')} AS m FROM r)) GROUP BY {keys}, part)"
@@ -132,9 +141,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_classes": f"""WITH RECURSIVE {pairs}, links AS (SELECT doc_id_a AS x, doc_id_b AS y FROM pairs UNION ALL SELECT doc_id_b, doc_id_a FROM pairs),
             reach AS (SELECT doc_id, doc_id AS node FROM store_documents UNION SELECT doc_id, y FROM reach JOIN links ON x = node), low AS (SELECT doc_id, min(node) AS class_id FROM reach GROUP BY doc_id)
             SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM low""",
-        "p4_found": """WITH v AS (SELECT id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM multimodal_documents WHERE len(embedding) = 96 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-            u AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM v WHERE list_dot_product(v, v) > 0),
-            s AS (SELECT a.id AS x, b.id AS y, round(list_dot_product(a.v, b.v), 6) AS s FROM u a JOIN u b ON a.id <> b.id),
+        "p4_neighbours": f"""{sims} SELECT x AS id, y AS neighbour, s AS similarity, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS rank FROM s QUALIFY rank <= 10""",
+        "p4_found": f"""{sims},
             t AS (SELECT x, y FROM s WHERE s >= 0.7 QUALIFY row_number() OVER (PARTITION BY x ORDER BY s DESC, y) <= 10) SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM t""",
         "p6_found": f"WITH {runs} SELECT DISTINCT doc_id, item_id FROM r",
         "p6_spans": f"WITH {runs} SELECT doc_id, item_id, b::INT AS begin, e::INT AS \"end\" FROM {stretches('doc_id, item_id')}",
