@@ -78,5 +78,5 @@ def with_graph(context: DataFrame, graph_text: str, budget: int) -> DataFrame:
 
 def extraction_inputs(docs: DataFrame, budget: int) -> DataFrame:
     """(id, content): each text cut to its share of 25,000 characters or the budget if less, though never below 2,000."""
-    n = docs.count()
-    return docs.select("id", F.substring("content", 1, max(2000, min(budget, 25_000) // max(n, 1))).alias("content"))
+    share = docs.agg(F.greatest(F.lit(2000), F.floor(F.lit(min(budget, 25_000)) / F.greatest(F.count("*"), F.lit(1)))).cast("int").alias("_share"))
+    return docs.join(share, F.lit(True)).select("id", F.substring(F.col("content"), F.lit(1), F.col("_share")).alias("content"))

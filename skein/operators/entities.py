@@ -14,6 +14,7 @@ from skein.functions.text import normal_name
 from skein.plans.tables import written
 
 from .components import connected_components
+from .skew import in_tiles
 
 # Words resolved to an entity mentioned before, and marks of people's names.
 PRONOUNS = {"he", "she", "it", "they", "him", "her", "them", "his", "their", "its"}
@@ -100,7 +101,7 @@ def _similar(n: DataFrame, threshold: float, exact_ratio: bool) -> DataFrame:
     near = (m < n_) | (m == n_) & (F.col("x") < F.col("y"))
     if t > 0.8:
         near &= n_ <= m * max((2 - t) / t if exact_ratio else 1, 0.2 / (t - 0.8))
-    pairs = a.join(b, ["entity_type", "gram"]).where(near).select("entity_type", F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b")).distinct()
+    pairs = in_tiles(b, a, ["entity_type", "gram"], "y").where(near).select("entity_type", F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b")).distinct()
     if exact_ratio:  # what does not match is at least the edits between the names
         x, y = F.col("name_a"), F.col("name_b")
         pairs = pairs.where((F.levenshtein(x, y) <= (1 - t) * (F.length(x) + F.length(y))) | F.contains(x, y) | F.contains(y, x))

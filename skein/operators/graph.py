@@ -1,7 +1,7 @@
 """Knowledge graphs as tables: vertices (name, entity_type, description) and edges (source, relation, target, context).
 
 Edges with a null or blank end are ignored throughout. Expansion and paths are unrolled joins on nodes, one a hop; frontiers are
-distinct, so a hub is joined once for each seed that reaches it and not once for each way there.
+distinct, so a hub is joined once for each seed that reaches it and not once for each way there, and its edges are spread over tiles.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from skein.functions.text import named_phrases
 from skein.plans.tables import written
 
+from .skew import hot_keys, in_tiles
+
 # Node colours by type in exports.
 MERMAID = {"Person": "#e1f5fe", "Organisation": "#fff3e0", "Organization": "#fff3e0", "Concept": "#f3e5f5", "Technology": "#e8f5e9", "Location": "#ffebee", "Event": "#fffde7", "Metric": "#fce4ec"}
 DOT = {"Person": "lightblue1", "Organisation": "lightgoldenrod1", "Organization": "lightgoldenrod1", "Concept": "plum1", "Technology": "palegreen1", "Location": "lightpink1", "Event": "lightyellow1", "Metric": "lightcoral"}
@@ -50,10 +52,11 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """(seed, node, depth): the nodes within ``hops`` of each seed (seed), either way along edges, with the hop of their first visit; the seeds themselves excluded."""
     e = clean(edges).select("source", "target")
     beside = written(e.select(F.col("source").alias("node"), F.col("target").alias("next")).unionByName(e.select(F.col("target").alias("node"), F.col("source").alias("next"))).where("node <> next").distinct())
+    hubs = hot_keys(beside, "node")
     front = seeds.where("seed is not null").select("seed", F.col("seed").alias("node")).distinct()
     seen = front.withColumn("depth", F.lit(0))
     for depth in range(1, hops + 1):
-        front = written(front.join(beside, "node").select("seed", F.col("next").alias("node")).distinct().join(seen.select("seed", "node"), ["seed", "node"], "left_anti"))
+        front = written(in_tiles(beside, front, ["node"], "next", hubs).select("seed", F.col("next").alias("node")).distinct().join(seen.select("seed", "node"), ["seed", "node"], "left_anti"))
         seen = seen.unionByName(front.withColumn("depth", F.lit(depth)))
     return seen.where("depth > 0")
 

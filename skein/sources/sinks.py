@@ -32,9 +32,10 @@ def upsert_store(path: str, new: DataFrame, *on: str) -> None:
 
 def write_vectors(df: DataFrame, path: str, vector: str, dim: int) -> tuple[int, int]:
     """Appends the rows whose vector has ``dim`` numbers; (written, refused)."""
-    good = of_dimension(df, vector, dim)
+    once = written(df)
+    good = of_dimension(once, vector, dim)
     good.write.mode("append").parquet(path)
-    n, all_ = good.count(), df.count()
+    n, all_ = good.count(), once.count()
     return n, all_ - n
 
 

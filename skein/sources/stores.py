@@ -6,6 +6,7 @@ import json
 import sqlite3
 import tarfile
 from collections.abc import Iterator
+from contextlib import closing
 from pathlib import Path
 
 import numpy as np
@@ -29,10 +30,11 @@ def read_sqlite(spark: SparkSession, paths: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-                    rows = db.execute("SELECT d.doc_id, d.content, d.content_hash, d.doc_type, d.metadata, d.image_path, e.embedding FROM documents d LEFT JOIN embeddings e ON e.doc_id = d.doc_id").fetchall()
-                vectors = [None if r[6] is None else np.frombuffer(r[6], "<f4").tolist() for r in rows]
-                yield pa.record_batch([*(pa.array([r[i] for r in rows], pa.string()) for i in range(6)), pa.array(vectors, pa.list_(pa.float32()))], names=["doc_id", "content", "content_hash", "doc_type", "metadata", "image_path", "embedding"])
+                with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+                    found = db.execute("SELECT d.doc_id, d.content, d.content_hash, d.doc_type, d.metadata, d.image_path, e.embedding FROM documents d LEFT JOIN embeddings e ON e.doc_id = d.doc_id")
+                    while rows := found.fetchmany(1000):
+                        vectors = [None if r[6] is None else np.frombuffer(r[6], "<f4").tolist() for r in rows]
+                        yield pa.record_batch([*(pa.array([r[i] for r in rows], pa.string()) for i in range(6)), pa.array(vectors, pa.list_(pa.float32()))], names=["doc_id", "content", "content_hash", "doc_type", "metadata", "image_path", "embedding"])
 
     return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths))).mapInArrow(run, STORE)
 
