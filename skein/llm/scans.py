@@ -21,6 +21,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,16 @@ CONFUSIONS = (
 )
 SIGNS = "0159@86|$€"
 SOFT = "\xad¬"
+MARKS = SOFT + "‐‑-"
 BROKEN = re.compile(rf"([^\W\d_][\w@]*)([{SOFT}‐‑-])\s*\Z")
+
+
+def broken(line: str) -> re.Match | None:
+    """The word that a line ends inside of, and the mark it is cut with."""
+    x = line.rstrip()
+    return BROKEN.search(x) if x and x[-1] in MARKS else None
+
+
 HEAD_OF_NEXT = re.compile(r"\s*([\w@]+)")
 TOKEN = re.compile(rf"[\w{re.escape('@|$€')}]+")
 ODD = re.compile(r"[A-Za-zÀ-ɏ][0159@86|$€][A-Za-zÀ-ɏ]")
@@ -231,7 +241,7 @@ class Page:
     def _title_like(self, i: int) -> bool:
         x = self.lines[i].strip()
         words = x.split()
-        return 1 <= len(words) <= 9 and len(x) <= max(0.8 * self.width, 30) and not SENTENCE_END.search(x) and not BROKEN.search(x) and any(c.isalpha() for c in x) and (x[0].isupper() or not x[0].isalpha())
+        return 1 <= len(words) <= 9 and len(x) <= max(0.8 * self.width, 30) and not SENTENCE_END.search(x) and not broken(x) and any(c.isalpha() for c in x) and (x[0].isupper() or not x[0].isalpha())
 
     def _headers(self) -> None:
         able = [i for i in self.full if i not in self.numbers and self._title_like(i)]
@@ -303,7 +313,7 @@ class Page:
         body = self.body()
         asked, found = [], []
         for a, b in zip(body, body[1:], strict=False):
-            m, n = BROKEN.search(self.lines[a]), HEAD_OF_NEXT.match(self.lines[b])
+            m, n = broken(self.lines[a]), HEAD_OF_NEXT.match(self.lines[b])
             if not m or not n or n[1][0].isupper() or n[1].isdigit():
                 continue
             found.append((a, b, m, n))
@@ -332,7 +342,7 @@ class Page:
         tokens: dict[int, list[str]] = {}
         for a in body:
             line = self.lines[a]
-            if m := BROKEN.search(line):
+            if m := broken(line):
                 line = line[: m.start()] + " " + ("" if "broken_word" in self.kinds[a] else m[1])
             tokens[a] = [t for t in TOKEN.findall(line)]
         after = {a: body[i + 1] for i, a in enumerate(body[:-1])}
@@ -348,7 +358,7 @@ class Page:
                 self.kinds[a].add("misread")
         for a in body:  # a broken word is judged as a whole, and each line by what its half shows
             if "broken_word" in self.kinds[a]:
-                m, n = BROKEN.search(self.lines[a]), HEAD_OF_NEXT.match(self.lines[after[a]])
+                m, n = broken(self.lines[a]), HEAD_OF_NEXT.match(self.lines[after[a]])
                 whole = m[1] + n[1]
                 if self.knows([whole])[whole.lower()]:
                     continue
@@ -361,14 +371,20 @@ class Page:
         return sum(len(k) for k in self.kinds)
 
 
-def variants(word: str) -> Iterator[tuple[str, int]]:
-    """The word with one confusion undone, and where."""
-    low = word.lower()
+@lru_cache(50_000)
+def _variants(low: str) -> tuple[tuple[str, int], ...]:
+    out = []
     for printed, meant in CONFUSIONS:
         at = low.find(printed)
         while at >= 0:
-            yield low[:at] + meant + low[at + len(printed) :], at
+            out.append((low[:at] + meant + low[at + len(printed) :], at))
             at = low.find(printed, at + 1)
+    return tuple(out)
+
+
+def variants(word: str) -> tuple[tuple[str, int], ...]:
+    """The word with one confusion undone, and where."""
+    return _variants(word.lower())
 
 
 def known_variant(word: str, knows) -> Iterator[bool]:
@@ -508,11 +524,12 @@ def rare_words(asks: DataFrame, counted: DataFrame) -> DataFrame:
     return found.where(F.col("word").isNull() | (F.col("n") >= DOMINANCE * F.coalesce("own", F.lit(1)))).groupBy("id").agg(F.collect_set("key").alias("keys"))
 
 
-LOOK = re.compile(rf"[^\W\d_][{SOFT}‐‑-]\s*\n|\n[ \t]*(?:\W{{0,2}}\s*(?:p|pa[gq]e|pag|pág|seite)?\.?\s*[0-9lIOS]{{1,4}}(?:\s*(?:of|/|von|de|sur)\s*[0-9lIOS]+)?\W{{0,2}}|[ivxlc]+)[ \t]*(?:\n|\Z)", re.IGNORECASE)
+CUT = re.compile(rf"(?<=[^\W\d_])[{SOFT}‐‑-]\s*\n")
+LONE = re.compile(r"\n[ \t]*(?:\W{0,2}\s*(?:p|pa[gq]e|pag|pág|seite)?\.?\s*[0-9lIOS]{1,4}(?:\s*(?:of|/|von|de|sur)\s*[0-9lIOS]+)?\W{0,2}|[ivxlc]+)[ \t]*(?:\n|\Z)", re.IGNORECASE)
 
 
 def could_be_scanned(text: str) -> bool:
-    return LOOK.search("\n" + text) is not None or len(ODD.findall(text)) >= 2
+    return CUT.search(text) is not None or LONE.search("\n" + text) is not None or len(ODD.findall(text)) >= 2
 
 
 def _shows(page: Page, least: int) -> bool:
@@ -597,7 +614,7 @@ def repaired(page: Page) -> str:
             furniture = any(page.kinds[j] & {"header", "page_number"} for j in gap)
             blank = any(not page.lines[j].strip() for j in gap)
             ended = blank and not (furniture and not SENTENCE_END.search(page.lines[previous].rstrip()) and not joined) and not joined
-        m = BROKEN.search(line)
+        m = broken(line)
         keep = line
         joins = page.joins.get(i, False)
         if joins and m:
@@ -607,7 +624,7 @@ def repaired(page: Page) -> str:
         elif joined:
             out[-1] += keep
         else:
-            out[-1] += ("" if BROKEN.search(out[-1]) else " ") + keep
+            out[-1] += ("" if broken(out[-1]) else " ") + keep
         joined, previous = joins, i
     knows = page.knows
     fix = {t: correct(t, knows) for p in out for t in TOKEN.findall(p)}
