@@ -42,6 +42,7 @@ from .words import mix
 WIDTH = 6.0  # of a cell, in standard deviations of a projection of a random unit vector
 PROBES = (1, 2, 3, 4, 6, 8)
 BLOCK = 2048
+BELOW = np.tri(BLOCK, dtype=bool)
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
@@ -302,7 +303,7 @@ def _near_in(x: np.ndarray, groups: Iterator[np.ndarray], k: int, floor: float)
         for lo, co in ((a, b) for a in range(0, len(g), BLOCK) for b in range(a, len(g), BLOCK)):
             dots = y[lo : lo + BLOCK] @ y[co : co + BLOCK].T
             if lo == co:
-                dots[np.tril_indices(len(dots))] = -2
+                np.copyto(dots, -2, where=BELOW[: len(dots), : len(dots)])
             rows, columns = g[lo : lo + BLOCK], g[co : co + BLOCK]
             either = dots >= min(float(least[rows].min()), float(least[columns].min()))
             if np.count_nonzero(either) > 16 * (len(rows) + len(columns)):  # many pass: raise the bars by the k best of this block
@@ -312,8 +313,9 @@ def _near_in(x: np.ndarray, groups: Iterator[np.ndarray], k: int, floor: float)
                         bar = (bar[:, -k] if axis else bar[-k]) - 4e-6
                         least[who] = np.maximum(least[who], bar)
                 either = (dots >= least[rows][:, None]) | (dots >= least[columns][None, :])
-            i, j = np.nonzero(either)
-            s = dots[i, j]
+            flat = np.flatnonzero(either.ravel())
+            i, j = flat // dots.shape[1], flat % dots.shape[1]
+            s = dots.ravel()[flat]
             forth, back = s >= least[rows[i]], s >= least[columns[j]]
             found.append((np.concatenate([rows[i[forth]], columns[j[back]]]), np.concatenate([columns[j[forth]], rows[i[back]]]), np.concatenate([s[forth], s[back]])))
             held += len(found[-1][0])
