@@ -5,9 +5,9 @@ generation; of an organisation core name, line of business and legal form. Parsi
 "Last, First", swapped parts, nicknames, initials, joined words, abbreviations, transliterated letters, acronyms aside. Records with the
 same forms are one *signature*, so a name that a third of all rows bear is compared once.
 
-Candidates: all pairs the verifier can accept. The different surnames and core names are first compared among themselves: two within
-the edits the verifier allows share what is left of them when as many letters are left out. Then forms with
-the same or near words meet under the generation and every initial their given names may go by.
+Candidates: MinHash banding over the padded q-grams of the different surnames and core names. As many bands are taken for a word as the collision
+curve asks for to find the lowest similarity that the verifier accepts at its length. Only words filed under a common mark meet: a generation and an
+initial the given names may go by. Forms with the same or near words and a mark in common are candidates.
 Candidates are verified by the Monge-Elkan similarity of their parts (inner similarity: 1 - Damerau-Levenshtein distance / length),
 under rules for what may not differ: generation, middle initials, line of business, legal form. An edge is strong if all parts
 agree, weak if a part is missing or an initial.
@@ -17,6 +17,9 @@ are most similar to; rounds go on until all are placed. Stars joined by strong e
 record with weak edges only joins the one star they lead to; if they lead to several and none is better by ``margin``, it stays
 alone.
 
+What the records show is learned first (:func:`learned`): which words are given names, which are no core names, and which words stand for which, as
+short forms come with their names under the same surnames. The lists of this module are defaults beside that and may be emptied.
+
 Types are folded; records of other kinds than people and organisations take no part, those without type if their name shows none.
 Null and blank names count by their mentions; a record without any usable form is alone. Empty tables give an empty result.
 """
