@@ -56,6 +56,17 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return p3_pieces(spark, sf).where("piece_no = 2").select("doc_id").distinct()
 
 
+def p3_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, text_md5, fits, overlaps): every item put together again from its pieces, and whether all are within the size and repeat the overlap."""
+    items = profiled(read(spark, sf, "store_documents", "doc_id", "content", "profile_name"), read(spark, sf, "profiles"))
+    sizes = items.select("doc_id", "chunk_size", "chunk_overlap")
+    cut = p3_pieces(spark, sf).join(sizes, "doc_id")
+    text = F.when(F.col("piece_no") == 1, F.col("piece")).otherwise(F.expr("substring(piece, chunk_overlap + 1)"))
+    gathered = cut.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", text.alias("text"), "begin", "end"))).alias("p"), F.max(F.length("piece") - F.col("chunk_size")).alias("over"), F.first("chunk_overlap").alias("o"))
+    apart = F.zip_with(F.slice("p", 2, 1 << 30), F.slice("p", 1, F.size("p") - 1), lambda b, a: a["end"] - b["begin"] == F.col("o"))
+    return gathered.select("doc_id", F.md5(F.array_join(F.transform("p", lambda x: x["text"]), "")).alias("text_md5"), (F.col("over") <= 0).alias("fits"), F.when(F.size("p") > 1, F.forall(apart, lambda x: x)).otherwise(True).alias("overlaps"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     lists = nearest(read(spark, sf, "multimodal_documents", "id", "embedding"), "id", "embedding", 96, 10, 0.7)
     return lists.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
@@ -149,5 +160,6 @@ def oracle_sql() -> dict[str, str]:
         "p6_clean": f"""WITH {runs}, z AS {stretches('doc_id')}, c AS (SELECT doc_id, b, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) AS before FROM z),
             o AS (SELECT doc_id, string_agg(substr(text, (before + 1)::BIGINT, (b - before)::BIGINT), '' ORDER BY b) || substr(any_value(text), (max(e) + 1)::BIGINT) AS kept, sum(e - b)::BIGINT AS gone FROM c JOIN documents USING (doc_id) GROUP BY doc_id)
             SELECT doc_id, coalesce(kept, text) AS text, coalesce(gone, 0) AS removed_chars FROM documents LEFT JOIN o USING (doc_id) WHERE text IS NULL OR coalesce(gone, 0) = 0 OR gone < 0.5 * length(text)""",
+        "p3_rebuilt": "SELECT doc_id, md5(content) AS text_md5, true AS fits, true AS overlaps FROM store_documents d JOIN profiles p ON p.name = d.profile_name WHERE content IS NOT NULL AND chunk_size > 0 AND chunk_overlap BETWEEN 0 AND chunk_size - 1",
         "p3_found": "SELECT d.doc_id FROM store_documents d JOIN profiles p ON p.name = d.profile_name WHERE length(d.content) > p.chunk_size AND p.chunk_overlap < p.chunk_size",
     }
