@@ -117,11 +117,10 @@ def transcripts(df: DataFrame, kind: str = "doc_type", content: str = "content")
 
 def merged_stores(parts: list[DataFrame], id_col: str = "id") -> DataFrame:
     """The rows of several stores with numbered ids as one store: the ids of each part begin after the greatest of the part before. Null ids stay null."""
-    both, offset = None, F.lit(0).cast("long")
-    for p in parts:
-        moved = p.join(p.sparkSession.range(1).select(F.lit(0).alias("_o")) if both is None else both.agg(F.coalesce(F.max(id_col), F.lit(-1)).alias("_m")).select((F.col("_m") + 1).alias("_o")), F.lit(True))
-        moved = moved.withColumn(id_col, F.col(id_col).cast("long") + F.col("_o")).drop("_o")
-        both = moved if both is None else both.unionByName(moved, allowMissingColumns=True)
+    both = parts[0].withColumn(id_col, F.col(id_col).cast("long"))
+    for p in parts[1:]:
+        offset = both.agg((F.coalesce(F.max(id_col), F.lit(-1)) + 1).alias("_o"))  # one row
+        both = both.unionByName(p.join(offset, F.lit(True)).withColumn(id_col, F.col(id_col).cast("long") + F.col("_o")).drop("_o"), allowMissingColumns=True)
     return both
 
 
