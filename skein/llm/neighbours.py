@@ -214,14 +214,16 @@ def _sums(dim: int):
 
 
 def _indexes(rows: DataFrame, dim: int, every: int, **how) -> dict[int, Index]:
-    """An index for each bucket of ``rows`` (bucket, id, v), around the mean of one in ``every`` vectors. One row a bucket and task leaves the workers."""
+    """An index for each bucket of ``rows`` (bucket, id, v), around the mean of one in ``every`` vectors. One row a bucket and task leaves the workers,
+    and one a bucket and dimension goes to the driver, of as many buckets as are hot."""
     run, schema = _sums(dim)
     rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0) if every > 1 else rows
+    summed = rows.mapInArrow(run, schema).select("bucket", "n", F.posexplode("total").alias("at", "x")).groupBy("bucket", "at").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     n: dict[int, int] = {}
     total: dict[int, np.ndarray] = {}
-    for b, c, s in rows.mapInArrow(run, schema).toLocalIterator():
-        n[b] = n.get(b, 0) + c * every
-        total[b] = total.get(b, 0) + np.array(s)
+    for b, at, c, x in summed.collect():
+        n[b] = c * every
+        total.setdefault(b, np.zeros(dim))[at] = x
     return {b: Index(dim, c, total[b] * every / c, min(how["coarse_rows"], how["hot_rows"], max(1500, c // 8)), how["recall"], how["similarity"], how["seed"]) for b, c in n.items() if c}
 
 
@@ -402,7 +404,7 @@ def nearest(
         index = _indexes(rows, dim, every if level == 0 else 1, coarse_rows=coarse_rows, hot_rows=hot_rows, recall=recall, similarity=similarity, seed=seed + 100 * level)
         run, schema = _counts(dim, index)
         # at most copies * n / hot_rows buckets are hot
-        hot = {r["bucket"]: r["n"] for r in rows.mapInArrow(run, schema).groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > hot_rows).toLocalIterator()}
+        hot = {r["bucket"]: r["n"] for r in rows.mapInArrow(run, schema).groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > hot_rows).collect()}
         run, schema = _file(dim, index, hot, False, hot_rows // 2 if level == levels else None)
         met = rows.mapInArrow(run, schema).repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(visit, found_schema)
         sims = met if sims is None else sims.unionByName(met)

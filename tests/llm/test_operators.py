@@ -263,6 +263,22 @@ def test_nearest_against_brute_force(spark):
     assert neighbours.nearest(df.limit(0), "k", "e", 16, 3).count() == 0
 
 
+def test_crowded_buckets_are_split_by_tables_of_their_own(spark):
+    rng = np.random.default_rng(7)
+    far = rng.normal(size=(400, 24))
+    crowd = rng.normal(size=24) * 3 + rng.normal(size=(80, 24)).repeat(20, 0) * 0.05 + rng.normal(size=(1600, 24)) * 0.004
+    x = np.concatenate([far, crowd]).astype(np.float32)
+    df = spark.createDataFrame([(f"v{i:04}", v.tolist()) for i, v in enumerate(x)], "k string, e array<float>")
+    m = x.astype(np.float64)
+    m /= np.sqrt((m * m).sum(1, keepdims=True))
+    s = np.round(m @ m.T, 6)
+    np.fill_diagonal(s, -2)
+    true = {(f"v{i:04}", f"v{j:04}") for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), -s[i]))[:5] if s[i, j] >= 0.7}
+    for levels in (3, 0):  # without levels all crowded buckets are cut into tiles, which is exact within them
+        got = {(r["id"], r["neighbour"]) for r in neighbours.nearest(df, "k", "e", 24, 5, 0.7, coarse_rows=300, hot_rows=300, levels=levels).collect()}
+        assert len(got & true) >= 0.9 * len(true)
+
+
 def test_many_equal_vectors(spark):
     df = spark.createDataFrame([(f"{i:03}", [1.0, 2.0]) for i in range(40)], "k string, e array<float>")
     got = neighbours.nearest(df, "k", "e", 2, 3).collect()
