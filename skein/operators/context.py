@@ -5,6 +5,10 @@ The results of a query are the bounded output of a search, so gathering them int
 
 from __future__ import annotations
 
+import difflib
+import itertools
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,3 +84,16 @@ def extraction_inputs(docs: DataFrame, budget: int) -> DataFrame:
     """(id, content): each text cut to its share of 25,000 characters or the budget if less, though never below 2,000."""
     share = docs.agg(F.greatest(F.lit(2000), F.floor(F.lit(min(budget, 25_000)) / F.greatest(F.count("*"), F.lit(1)))).cast("int").alias("_share"))
     return docs.join(share, F.lit(True)).select("id", F.substring(F.col("content"), F.lit(1), F.col("_share")).alias("content"))
+
+
+def compared(one: DataFrame, two: DataFrame, most: int = 100) -> DataFrame:
+    """(query_id, changed, diff): the answers (query_id, answer) of two runs line by line, as a unified difference of at most ``most`` lines; an answer that one
+    run lacks is empty there, a null one too."""
+
+    def lines(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(["\n".join(itertools.islice(difflib.unified_diff(x.splitlines(), y.splitlines(), "one", "two", lineterm=""), most)) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    diff = F.pandas_udf(lines, "string")
+    both = one.select("query_id", F.col("answer").alias("_a")).join(two.select("query_id", F.col("answer").alias("_b")), "query_id", "full")
+    both = both.select("query_id", F.coalesce("_a", F.lit("")).alias("_a"), F.coalesce("_b", F.lit("")).alias("_b"))
+    return both.select("query_id", (F.col("_a") != F.col("_b")).alias("changed"), diff("_a", "_b").alias("diff"))

@@ -11,11 +11,14 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.text import WORD
 
+from .tables import written
+
 
 class Embedder(Protocol):
     dim: int
@@ -27,6 +30,10 @@ class Reranker(Protocol):
     def rerank(self, query: str, documents: list[str]) -> list[tuple[int, float]]: ...
 
 
+class Transcriber(Protocol):
+    def transcribe(self, paths: list[str]) -> list[str | None]: ...
+
+
 class LanguageModel(Protocol):
     def complete(self, prompt: str) -> str: ...
 
@@ -75,6 +82,45 @@ def embedded(df: DataFrame, make: Callable[[], Embedder], text: str = "content",
     return df.withColumn(into, run(F.col(text)))
 
 
+def transcribed(files: DataFrame, make: Callable[[], Transcriber], cache: str | None = None, batch: int = 16) -> DataFrame:
+    """(path, key, transcript) of files (path, mtime, length), by a model that each Python worker builds once. The key is of path, time and length, so a file
+    that changes is taken anew. With ``cache``, a folder that all executors see, what it has is not transcribed again and what is new is added to it;
+    failed files, whose transcript is null, are not kept there and are tried again."""
+    spark = files.sparkSession
+    key = F.substring(F.sha2(F.concat_ws(":", "path", F.col("mtime").cast("string"), F.col("length").cast("string")), 256), 1, 16)
+    asked = files.where("path is not null").select("path", key.alias("key")).dropDuplicates(["key"])
+    have = None
+    if cache is not None:
+        try:
+            have = spark.read.schema("path string, key string, transcript string").parquet(cache)
+        except AnalysisException:  # the first run finds none
+            have = None
+    todo = asked if have is None else asked.join(have.select("key"), "key", "left_anti").select("path", "key")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for part in parts:
+            said: list = []
+            for lo in range(0, len(part), batch):
+                said += model.transcribe(part["path"].iloc[lo : lo + batch].tolist())
+            yield part.assign(transcript=pd.Series(said, index=part.index, dtype=object))
+
+    new = written(todo.mapInPandas(run, "path string, key string, transcript string"))
+    if cache is None:
+        return new
+    known = new if have is None else new.unionByName(have.join(asked.select("key"), "key", "left_semi").select("path", "key", "transcript"))
+    out = written(known)
+    new.where("transcript is not null").write.mode("append").parquet(cache)
+    return out
+
+
+def progress(spark: SparkSession) -> list[tuple[int, int, int]]:
+    """(stage, tasks done, tasks) of the stages that run now, for those who show how far a job is."""
+    tracker = spark.sparkContext.statusTracker()
+    found = [(i, tracker.getStageInfo(i)) for i in tracker.getActiveStageIds()]
+    return sorted((i, s.numCompletedTasks, s.numTasks) for i, s in found if s is not None)
+
+
 class OverlapReranker:
     """Scores documents by the share of the query's words they have."""
 

@@ -234,3 +234,27 @@ def test_partial_ratio_is_the_best_window(spark):
     df = spark.createDataFrame([("kiln sale", "the kiln sals is"), ("abc", "abc")], "a string, b string")
     got = [r[0] for r in df.select(rerank.partial_ratio("a", "b")).collect()]
     assert got[1] == 100 and 80 < got[0] < 100 and list(itertools.pairwise(got))
+
+
+def test_transcripts_are_kept(spark, tmp_path):
+    class Upper:
+        def transcribe(self, paths):
+            with open(paths[0].rsplit("/", 1)[0] + "/log", "a") as log:
+                log.write("".join(p[-1] for p in paths))
+            return [None if p.endswith("z") else p[-1].upper() for p in paths]
+
+    df = spark.createDataFrame([(f"{tmp_path}/{c}", 1.0, 5) for c in "abz"] + [(None, 1.0, 1)], "path string, mtime double, length int").coalesce(1)
+    first = providers.transcribed(df, Upper, str(tmp_path / "cache"))
+    assert sorted(str(r["transcript"]) for r in first.collect()) == ["A", "B", "None"]
+    again = providers.transcribed(df.withColumn("mtime", F.when(F.col("path").endswith("b"), 2.0).otherwise(F.col("mtime"))), Upper, str(tmp_path / "cache"))
+    assert sorted(str(r["transcript"]) for r in again.collect()) == ["A", "B", "None"]
+    assert sorted((tmp_path / "log").read_text()) == list("abbzz") and providers.transcribed(df.limit(0), Upper).count() == 0
+    assert providers.progress(spark) == []
+
+
+def test_runs_compared(spark):
+    a = spark.createDataFrame([(1, "x\ny"), (2, "same"), (3, None)], "query_id int, answer string")
+    b = spark.createDataFrame([(1, "x\nz"), (2, "same"), (4, "new")], "query_id int, answer string")
+    got = {r["query_id"]: (r["changed"], r["diff"]) for r in context.compared(a, b).collect()}
+    assert got[1] == (True, "--- one\n+++ two\n@@ -1,2 +1,2 @@\n x\n-y\n+z") and got[2] == (False, "") and got[3] == (False, "") and got[4][1].endswith("+new")
+    assert context.compared(a, b, 2).where("query_id = 1").first()["diff"].count("\n") == 1
