@@ -82,7 +82,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, size: Column, prepare:
             best.add(query.astype(np.int64), ids[row], value)
 
     total = queries.agg(F.count("*").alias("n"), F.sum(size).alias("b")).first()
-    blocks = max(1, -(-int(total["b"] or 0) // block_bytes))
+    blocks = max(1, min(total["n"], -(-int(total["b"] or 0) // block_bytes)))
     if blocks == 1:
         shared = corpus.sparkSession.sparkContext.broadcast(queries.toArrow())
 

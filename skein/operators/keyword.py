@@ -23,6 +23,7 @@ from .ranking import top
 
 WORDS = re.compile(r"\w+")
 ROWS = 256  # contents scored at a time
+LONG = 100  # terms of more characters are looked for one by one: an automaton walks as many steps back at each place of a text that repeats itself
 
 
 class Incidence:
@@ -55,10 +56,14 @@ class Incidence:
         except ImportError:
             return lambda text: {i: 1.0 for t, i in self.place.items() if t in text}
         a = ahocorasick.Automaton()
+        long = {t: i for t, i in self.place.items() if len(t) > LONG}
         for t, i in self.place.items():
-            a.add_word(t, i)
+            if len(t) <= LONG:
+                a.add_word(t, i)
+        if not len(a):
+            return lambda text: {i: 1.0 for t, i in long.items() if t in text}
         a.make_automaton()
-        return lambda text: dict.fromkeys({i for _, i in a.iter(text)}, 1.0)
+        return lambda text: dict.fromkeys({i for _, i in a.iter(text)} | {i for t, i in long.items() if t in text}, 1.0)
 
 
 def _contents(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
