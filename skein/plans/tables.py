@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     of Spark runs on this machine; on a cluster that is an error."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="skein-")
         spark.conf.set("spark.checkpoint.dir", given)
