@@ -14,6 +14,7 @@ from skein.functions.text import normal_name
 from skein.plans.tables import written
 
 from .components import connected_components
+from .likeness import likely_pairs
 from .skew import in_tiles
 
 # Words resolved to an entity mentioned before, and marks of people's names.
@@ -59,11 +60,8 @@ def spellings(df: DataFrame) -> DataFrame:
 def similar_names(df: DataFrame, threshold: float = 0.85, exact_ratio: bool = False) -> DataFrame:
     """(entity_type, name_a, name_b, similarity): pairs of different normal names of the same type alike by ``threshold`` or more, name_a < name_b.
 
-    No pair of names is compared that does not share a rare gram of one to three characters. Of two names the shorter is looked up, under as
-    many of its rarest grams as leave fewer unseen than it must share, among the names that have them anywhere. A name that is contained in
-    another shares all its grams with it. Of names of m <= n characters with a matching ratio of r, r (m + n) / 2 characters match, in at most
-    (1 - r) (m + n) + 1 stretches, each of which has q - 1 grams of q characters fewer than characters: the largest q is taken that
-    leaves any to share, one character if none else.
+    A name that is contained in another shares all its grams with it, so it is looked up under its rarest gram of three characters, or as many as it has.
+    Names alike by their matching ratio are found by :mod:`.likeness`.
     """
     return _similar(names(df), threshold, exact_ratio)
 
@@ -84,31 +82,34 @@ def similar_records(df: DataFrame, threshold: float = 0.85, exact_ratio: bool =
 
 def _similar(n: DataFrame, threshold: float, exact_ratio: bool) -> DataFrame:
     """The similar pairs of distinct normal names (entity_type, name)."""
-    length, t = F.length("name"), threshold - 1e-6
-    gram = lambda q: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - (q - 1)), lambda i: F.substring(F.col("name"), i, q)))
-    shared = lambda q: F.ceil(2 * length * (t / 2 - (q - 1) * (1 - t)) - (q - 1)) if t / 2 > (q - 1) * (1 - t) else F.lit(0)
-    fits = (lambda q: shared(q) > 0) if exact_ratio else lambda q: F.lit(True)
-    q = F.when((length >= 3) & fits(3), 3).when((length >= 2) & fits(2), 2).otherwise(1)
-    unseen = length - F.col("q") - F.when(F.col("q") == 3, shared(3)).when(F.col("q") == 2, shared(2)).otherwise(shared(1)) + 1 if exact_ratio else F.lit(0)
-    filed = written(n.select("entity_type", "name", F.explode(F.flatten(F.array(*(F.when(length >= k, gram(F.lit(k))).otherwise(F.array().cast("array<string>")) for k in (1, 2, 3))))).alias("gram")))
-    held = filed.groupBy("entity_type", "gram").agg(F.count("*").alias("n"))
-    own = filed.withColumn("q", q).where(F.length("gram") == F.col("q")).join(held, ["entity_type", "gram"])
-    w = Window.partitionBy("entity_type", "name").orderBy("n", "gram")
-    rare = own.withColumn("r", F.row_number().over(w)).where(F.col("r") <= unseen + 1)
-    a = rare.select("entity_type", "gram", F.col("name").alias("x"))
-    b = filed.select("entity_type", "gram", F.col("name").alias("y"))
-    m, n_ = F.length("x"), F.length("y")
-    near = (m < n_) | (m == n_) & (F.col("x") < F.col("y"))
-    if t > 0.8:
-        near &= n_ <= m * max((2 - t) / t if exact_ratio else 1, 0.2 / (t - 0.8))
-    pairs = in_tiles(b, a, ["entity_type", "gram"], "y").where(near).select("entity_type", F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b")).distinct()
+    n, t = written(n.select("entity_type", "name")), threshold - 1e-6
+    pairs = _contained(n, t)
     if exact_ratio:  # what does not match is at least the edits between the names
         x, y = F.col("name_a"), F.col("name_b")
-        pairs = pairs.where((F.levenshtein(x, y) <= (1 - t) * (F.length(x) + F.length(y))) | F.contains(x, y) | F.contains(y, x))
+        pairs = pairs.unionByName(likely_pairs(n, t).where(F.levenshtein(x, y) <= (1 - t) * (F.length(x) + F.length(y))))
     score = similarity("name_a", "name_b") if exact_ratio else plain_similarity(F.col("name_a"), F.col("name_b"))
     return pairs.withColumn("similarity", score).where(F.col("similarity") >= threshold)
 
 
+def _contained(n: DataFrame, t: float) -> DataFrame:
+    """(entity_type, name_a, name_b): the pairs of which one contains the other and that may be alike by ``t``, each once."""
+    length, wide = F.length("name"), 0.2 / (t - 0.8) if t > 0.8 else None
+    gram = lambda q: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - (q - 1)), lambda i: F.substring(F.col("name"), i, q)))
+    # grams of one or two characters only serve names as short
+    fits = lambda k: (length >= k) if k == 3 or wide is None else (length >= k) & (length <= k * max(1, wide))
+    filed = written(n.select("entity_type", "name", F.explode(F.flatten(F.array(*(F.when(fits(k), gram(F.lit(k))).otherwise(F.array().cast("array<string>")) for k in (1, 2, 3))))).alias("gram")))
+    held = filed.groupBy("entity_type", "gram").agg(F.count("*").alias("n"))
+    own = filed.where(F.length("gram") == F.least(length, F.lit(3))).join(held, ["entity_type", "gram"])
+    rare = own.groupBy("entity_type", "name").agg(F.min(F.struct("n", "gram")).alias("rarest"))
+    a = rare.select("entity_type", F.col("rarest.gram").alias("gram"), F.col("name").alias("x"))
+    b = filed.select("entity_type", "gram", F.col("name").alias("y"))
+    m, n_ = F.length("x"), F.length("y")
+    near = (m < n_) & F.contains("y", "x")
+    if wide is not None:
+        near &= n_ <= m * max(1, wide)
+    return in_tiles(b, a, ["entity_type", "gram"], "y").where(near).select("entity_type", F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b"))
+
+
 def clusters(df: DataFrame, threshold: float = 0.85, exact_ratio: bool = False, mentions: bool = False) -> DataFrame:
     """(entity_type, name, canonical, members): every normal name with the canonical one of its cluster, the longest (ties: the smallest), and the cluster's size.
 

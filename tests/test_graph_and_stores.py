@@ -211,6 +211,24 @@ def test_similar_names_against_all_pairs(spark):
         assert rows(entities.similar_names(df, threshold, exact).select("name_a", "name_b")) == want
 
 
+def test_ratio_in_tiles_and_without_lookups_under_many_grams(spark, monkeypatch):
+    rng = random.Random(11)
+    base = ["".join(rng.choice("aeioubdgklmnrst ") for _ in range(rng.randint(8, 24))) for _ in range(90)]
+    typed = lambda w: "".join(rng.choice("aeiné") if rng.random() < 0.06 else c for c in w if rng.random() > 0.04)
+    data = [(i, typed(w), kind) for i, (w, kind) in enumerate((w, kind) for w in base for kind in ("person", "person", "person", "tool"))]
+    df = spark.createDataFrame(data, "record_id int, name string, entity_type string")
+    normal = [tuple(r) for r in entities.names(df).select("entity_type", "name").collect()]
+    looked = []
+    join = entities.in_tiles
+    monkeypatch.setattr(entities, "in_tiles", lambda left, right, on, mark: looked.append(right.count()) or join(left, right, on, mark))
+    for rows_ in (10, 70, 100_000):
+        monkeypatch.setattr("skein.operators.likeness.ROWS", rows_)
+        want = [(k, x, y) for (k, x), (l, y) in itertools.combinations(sorted(normal), 2) if k == l and x not in y and y not in x and round(SequenceMatcher(None, x, y).ratio(), 6) >= 0.85]
+        got = [x for x in rows(entities.similar_names(df, exact_ratio=True).select("entity_type", "name_a", "name_b")) if x[1] not in x[2] and x[2] not in x[1]]
+        assert want and got == want
+    assert max(looked) <= len(normal)
+
+
 def test_mentions_count_as_spellings(spark):
     data = [
         (1, "Ada Lovelace", "Person", ["the Countess", "she"]), (2, "Countess", "person", None), (3, "A. King", "person", ["Ada Lovelase", " ", None]), (4, "Zed", "person", ["she"]),
