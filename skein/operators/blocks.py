@@ -37,10 +37,14 @@ def best_columns(score: np.ndarray, k: int, slack: float = 1e-6) -> tuple[np.nda
 class Best:
     """The ``k`` best rows of each query so far: greater values first, then smaller ids."""
 
-    def __init__(self, k: int):
+    def __init__(self, k: int, queries: int):
         self.k, self.parts, self.held, self.bar = k, [], 0, 0
+        self.least = np.full(queries, -np.inf)  # of the k-th of each query so far: what is less can't be among the best
 
     def add(self, query: np.ndarray, ids: np.ndarray, value: np.ndarray) -> None:
+        good = value >= self.least[query]
+        if not good.all():
+            query, ids, value = query[good], ids[good], value[good]
         if len(query):
             self.parts.append((query, ids, value))
             self.held += len(query)
@@ -52,7 +56,9 @@ class Best:
         order = np.lexsort((ids, -value, query))
         query = query[order]
         begin = np.maximum.accumulate(np.where(np.diff(query, prepend=-1) != 0, np.arange(len(query)), 0))
-        keep = order[np.arange(len(query)) - begin < self.k]
+        place = np.arange(len(query)) - begin
+        self.least[query[place == self.k - 1]] = value[order[place == self.k - 1]]
+        keep = order[place < self.k]
         self.parts = [(np.concatenate([p[0] for p in self.parts])[keep], ids[keep], value[keep])]
         self.held = self.bar = len(keep)
 
@@ -88,7 +94,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, size: Column, prepare:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = shared.value
-            block, best, kind = prepare(table), Best(k), None
+            block, best, kind = prepare(table), Best(k, table.num_rows), None
             for batch in batches:
                 kind = batch.schema.field("id").type
                 visit(best, block, batch)
@@ -102,7 +108,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, size: Column, prepare:
     right = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
 
     def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        best, names = Best(k), asked.column("query_id").combine_chunks() if asked.num_rows else pa.array([], asked.schema.field("query_id").type)
+        best, names = Best(k, asked.num_rows), asked.column("query_id").combine_chunks() if asked.num_rows else pa.array([], asked.schema.field("query_id").type)
         if asked.num_rows and rows.num_rows:
             block = prepare(asked)
             for batch in rows.to_batches(max_chunksize=10_000):

@@ -18,6 +18,8 @@ from skein.functions.vectors import norm
 from .blocks import BLOCK_BYTES, Found, best_columns, half_up, search
 from .ranking import top
 
+CELLS = 1 << 20  # of a product that are held at a time
+
 
 def _by_length(column: pa.Array | pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """The usable vectors of each length, as places and a matrix."""
@@ -41,9 +43,11 @@ def _cosines(block: dict, batch: pa.RecordBatch, k: int) -> Iterator[Found]:
     for n, (row, x) in _by_length(batch.column("vec")).items():
         if n in block:
             query, q = block[n]
-            s = half_up(_unit(x) @ q.T)
-            i, j = best_columns(s, k, 0)
-            yield query[j], row[i], s[i, j]
+            unit, step = _unit(x), max(1, CELLS // len(x)) if len(x) else 1
+            for lo in range(0, len(q), step):
+                s = half_up(unit @ q[lo : lo + step].T)
+                i, j = best_columns(s, k, 0)
+                yield query[j + lo], row[i], s[i, j]
 
 
 def _distances(block: dict, batch: pa.RecordBatch, k: int) -> Iterator[Found]:

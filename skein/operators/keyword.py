@@ -23,6 +23,7 @@ from .ranking import top
 
 WORDS = re.compile(r"\w+")
 ROWS = 256  # contents scored at a time
+PIECE = 1 << 20  # common terms of contents and queries that are summed at a time, unless one content has more
 LONG = 100  # terms of more characters are looked for one by one: an automaton walks as many steps back at each place of a text that repeats itself
 
 
@@ -45,9 +46,20 @@ class Incidence:
         term = np.array([t for r in rows for t in r], np.int64)
         worth = np.array([x for r in rows for x in r.values()], np.float64)
         many = self.begin[term + 1] - self.begin[term]
+        ends = np.concatenate(([0], np.cumsum(np.bincount(row, many, len(rows)).astype(np.int64))))
+        first = np.concatenate(([0], np.cumsum([len(r) for r in rows], dtype=np.int64)))
+        out, lo = np.zeros((len(rows), self.n)), 0
+        while lo < len(rows):  # by whole contents, so that what belongs to a sum is added up in one order
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + PIECE, "right")) - 1)
+            part = slice(first[lo], first[hi])
+            out[lo:hi] = self._sum(row[part] - lo, term[part], worth[part], many[part], hi - lo)
+            lo = hi
+        return out
+
+    def _sum(self, row: np.ndarray, term: np.ndarray, worth: np.ndarray, many: np.ndarray, rows: int) -> np.ndarray:
         at = np.repeat(self.begin[term] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum())) if len(term) else np.zeros(0, np.int64)
         cell = np.repeat(row, many) * self.n + self.query[at]
-        return np.bincount(cell, np.repeat(worth, many) * self.weight[at], len(rows) * self.n).reshape(len(rows), self.n)
+        return np.bincount(cell, np.repeat(worth, many) * self.weight[at], rows * self.n).reshape(rows, self.n)
 
     def automaton(self):
         """A function from a text to the terms it contains anywhere."""

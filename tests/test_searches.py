@@ -258,3 +258,40 @@ def test_runs_compared(spark):
     got = {r["query_id"]: (r["changed"], r["diff"]) for r in context.compared(a, b).collect()}
     assert got[1] == (True, "--- one\n+++ two\n@@ -1,2 +1,2 @@\n x\n-y\n+z") and got[2] == (False, "") and got[3] == (False, "") and got[4][1].endswith("+new")
     assert context.compared(a, b, 2).where("query_id = 1").first()["diff"].count("\n") == 1
+
+
+def test_many_queries_at_once_take_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from skein.operators import blocks, dense, keyword
+
+    rng = np.random.default_rng(5)
+    lists = [[f"w{i}" for i in rng.choice(60, 30, replace=False)] for _ in range(3000)]
+    inc = keyword.Incidence(lists, [rng.random(30).tolist() for _ in lists])
+    some = [{int(t): float(x) for t, x in zip(rng.choice(60, 40, replace=False), rng.random(40), strict=True)} for _ in range(120)]
+    tracemalloc.start()
+    got = inc.sums([*some, {}])
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    weight = np.zeros((len(inc.place), inc.n))
+    np.add.at(weight, (np.repeat(np.arange(len(inc.place)), np.diff(inc.begin)), inc.query), inc.weight)
+    worth = np.array([[r.get(t, 0.0) for t in range(len(inc.place))] for r in [*some, {}]])
+    assert np.allclose(got, worth @ weight) and not got[-1].any()
+
+    q, x, k = rng.normal(size=(4000, 8)), rng.normal(size=(5000, 8)), 3
+    batch = pa.record_batch({"id": np.arange(5000), "vec": pa.array(x.tolist())})
+    tracemalloc.reset_peak()
+    before, best = tracemalloc.get_traced_memory()[0], blocks.Best(k, len(q)) if blocks.Best.__init__.__code__.co_argcount > 2 else blocks.Best(k)
+    for part in (batch.slice(0, 4000), batch.slice(4000)):
+        for query, row, value in dense._cosines({8: (np.arange(4000), dense._unit(q))}, part, k):
+            best.add(query, np.asarray(part.column("id"))[row], value)
+    assert tracemalloc.get_traced_memory()[1] - before < 150e6
+    tracemalloc.stop()
+    best.prune()
+    s = blocks.half_up(dense._unit(x) @ dense._unit(q).T)
+    for j in range(0, 4000, 97):
+        want = sorted(range(5000), key=lambda i: (-s[i, j], i))[:k]
+        mine = best.parts[0][0] == j
+        assert best.parts[0][1][mine].tolist() == want
