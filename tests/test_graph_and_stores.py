@@ -250,6 +250,26 @@ def test_mentions_count_as_spellings(spark):
     assert rows(entities.report(df, exact_ratio=True, mentions=True)) == [(7, 3, 2)]
 
 
+@pytest.fixture
+def spelled(spark, monkeypatch):
+    """Records with mentions, and what is looked up under grams, to be told by the number of rows."""
+    rng = random.Random(3)
+    names = ["".join(rng.choice("aeioubdgklmnrst ") for _ in range(rng.randint(12, 22))) for _ in range(40)]
+    typed = lambda w: "".join(c for c in w if rng.random() > 0.03)
+    data = [(i, typed(w), "person", [typed(w), "the speaker"] if i % 9 == 0 else None) for i, w in enumerate(names * 2)]
+    looked, join = [], entities.in_tiles
+    monkeypatch.setattr(entities, "in_tiles", lambda left, right, on, mark: looked.append(right.count()) or join(left, right, on, mark))
+    return spark.createDataFrame(data, "record_id int, name string, entity_type string, mentions array<string>"), looked
+
+
+def test_clusters_by_mentions_look_up_each_spelling_once(spelled):
+    df, looked = spelled
+    got = {r["name"]: r["canonical"] for r in entities.clusters(df, exact_ratio=True, mentions=True).collect()}
+    assert max(looked) <= entities.spellings(df).select("spelling").distinct().count()
+    pairs = entities.similar_records(df).collect()
+    assert pairs and all(got[p["name_a"]] == got[p["name_b"]] for p in pairs)
+
+
 def test_resolved_triples(spark):
     data = [
         (1, "Dr Ada", "knows", "Engine", "d"), (2, "He", "built", "it", "d"), (3, "Nobody", "saw", "Engine", "d"), (4, "they", "own", "Mill", "d"), (5, "she", "sees", "Engine", "d"),
