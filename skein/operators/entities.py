@@ -70,7 +70,7 @@ def similar_records(df: DataFrame, threshold: float = 0.85, exact_ratio: bool =
     """(entity_type, name_a, name_b, similarity): as ``similar_names``, but the similarity is the greatest of any spelling, name or mention, of the one
     and any of the other; a mention that two names share makes it 1. The rows grow with the square of the names that share one."""
     s = written(spellings(df))
-    alike = _similar(s.select("entity_type", F.col("spelling").alias("name")).distinct(), threshold, exact_ratio)
+    alike = written(_similar(s.select("entity_type", F.col("spelling").alias("name")).distinct(), threshold, exact_ratio))  # each way round, compared once
     x, y = F.col("name_a").alias("x"), F.col("name_b").alias("y")
     same = s.select("entity_type", F.col("spelling").alias("x"), F.col("spelling").alias("y"), F.lit(1.0).alias("similarity")).distinct()
     links = alike.select("entity_type", x, y, "similarity").unionByName(alike.select("entity_type", F.col("name_b").alias("x"), F.col("name_a").alias("y"), "similarity")).unionByName(same)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .skew import hot_keys
 
 ROWS = 16_000  # names of a tile
-SLAB = 512  # names compared with a tile at a time
+SLAB = 256  # names compared with a tile at a time
 PAIRS = 250_000  # pairs looked at closely at a time
 LETTERS = 94  # columns of a product
 BITS = 256  # of a name's pairs of neighbouring letters

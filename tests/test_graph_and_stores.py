@@ -270,6 +270,12 @@ def test_clusters_by_mentions_look_up_each_spelling_once(spelled):
     assert pairs and all(got[p["name_a"]] == got[p["name_b"]] for p in pairs)
 
 
+def test_similar_records_compare_once(spelled):
+    df, _ = spelled
+    plan = entities.similar_records(df)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "InArrow" not in plan
+
+
 def test_resolved_triples(spark):
     data = [
         (1, "Dr Ada", "knows", "Engine", "d"), (2, "He", "built", "it", "d"), (3, "Nobody", "saw", "Engine", "d"), (4, "they", "own", "Mill", "d"), (5, "she", "sees", "Engine", "d"),
