@@ -276,6 +276,15 @@ def test_similar_records_compare_once(spelled):
     assert "ArrowEvalPython" not in plan and "InArrow" not in plan
 
 
+def test_renamed_edges_by_mentions_look_up_each_spelling_once(spark, spelled):
+    df, looked = spelled
+    cluster = entities.clusters(df, exact_ratio=True, mentions=True)
+    known = {r["name"]: r["canonical"] for r in cluster.collect()}
+    edges = spark.createDataFrame([(a, "nobody") for a in known], "source string, target string")
+    assert rows(entities.renamed_edges(edges, cluster).select("source", "target")) == sorted((c, "nobody") for c in known.values())
+    assert max(looked) <= entities.spellings(df).select("spelling").distinct().count()
+
+
 def test_resolved_triples(spark):
     data = [
         (1, "Dr Ada", "knows", "Engine", "d"), (2, "He", "built", "it", "d"), (3, "Nobody", "saw", "Engine", "d"), (4, "they", "own", "Mill", "d"), (5, "she", "sees", "Engine", "d"),
