@@ -276,6 +276,13 @@ def test_similar_records_compare_once(spelled):
     assert "ArrowEvalPython" not in plan and "InArrow" not in plan
 
 
+def test_report_by_mentions_looks_up_each_spelling_once(spelled):
+    df, looked = spelled
+    got = entities.report(df, exact_ratio=True, mentions=True).first()
+    assert max(looked) <= entities.spellings(df).select("spelling").distinct().count()
+    assert got["names"] == entities.names(df).count() > got["canonical_names"]
+
+
 def test_renamed_edges_by_mentions_look_up_each_spelling_once(spark, spelled):
     df, looked = spelled
     cluster = entities.clusters(df, exact_ratio=True, mentions=True)
