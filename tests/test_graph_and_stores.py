@@ -9,7 +9,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import catalog, entities, graph, store, usage
+from skein.operators import catalog, components, entities, graph, store, usage
 from skein.operators.components import connected_components
 from skein.plans import answer, config, providers
 from skein.sources import files, sinks, stores
@@ -33,6 +33,26 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src int, dst int")).count() == 0
 
 
+def test_components_in_few_passes(spark, monkeypatch):
+    rng = random.Random(5)
+    name = lambda i: f"{'aé日𝒜'[i % 4]}{i:03}"
+    pairs = [(name(i), name(i + 1)) for i in range(200) if i % 40] + [(name(a), name(a // 300 * 300 + rng.randrange(300))) for a in range(300, 900)] + [(None, "b"), ("c", "c")]
+    root = {x: x for p in pairs if None not in p and p[0] != p[1] for x in p}
+    for _ in range(200):
+        for a, b in pairs:
+            if a in root and b in root:
+                root[a] = root[b] = min(root[a], root[b], key=lambda x: x.encode())
+    made, write = [], components.written
+    monkeypatch.setattr(components, "written", lambda df: made.append(1) or write(df))
+    df = spark.createDataFrame(pairs, "src string, dst string").repartition(4)
+    assert dict(rows(connected_components(df))) == root
+    assert len(made) <= 2
+    monkeypatch.setattr(components, "FOLD", 100)
+    assert dict(rows(connected_components(df))) == root
+    monkeypatch.setattr(components, "WHOLE", 0)  # the rounds
+    assert dict(rows(connected_components(df))) == root
+
+
 def test_expand_and_paths(spark, edges):
     seeds = spark.createDataFrame([("a",), ("zz",), (None,)], "seed string")
     assert rows(graph.expand(seeds, edges, 2)) == [("a", "b", 1), ("a", "c", 1), ("a", "d", 2)]
