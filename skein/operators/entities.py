@@ -124,7 +124,8 @@ def clusters(df: DataFrame, threshold: float = 0.85, exact_ratio: bool = False,
     if mentions:
         links = links.unionByName(s.select(key(F.col("entity_type"), F.col("name")).alias("src"), said(F.col("entity_type"), F.col("spelling")).alias("dst")))
     joined = connected_components(links)
-    n = names(df).withColumn("node", key(F.col("entity_type"), F.col("name"))).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = s.where("spelling = name").select("entity_type", "name") if mentions else names(df)  # every name is a spelling of itself
+    n = known.withColumn("node", key(F.col("entity_type"), F.col("name"))).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = n.groupBy("component").agg(F.min(F.struct((-F.length("name")).alias("l"), "name")).alias("c"), F.count("*").alias("members"))
     return n.join(best, "component").select("entity_type", "name", F.col("c.name").alias("canonical"), "members")
 

@@ -303,6 +303,13 @@ def test_report_by_mentions_looks_up_each_spelling_once(spelled):
     assert got["names"] == entities.names(df).count() > got["canonical_names"]
 
 
+def test_report_by_mentions_normalises_names_once(spelled, monkeypatch):
+    df, _ = spelled
+    want = tuple(entities.report(df, exact_ratio=True, mentions=True).first())
+    monkeypatch.setattr(entities, "names", lambda df: pytest.fail("the spellings hold the names"))
+    assert tuple(entities.report(df, exact_ratio=True, mentions=True).first()) == want
+
+
 def test_renamed_edges_by_mentions_look_up_each_spelling_once(spark, spelled):
     df, looked = spelled
     cluster = entities.clusters(df, exact_ratio=True, mentions=True)
