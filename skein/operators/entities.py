@@ -100,8 +100,10 @@ def _contained(n: DataFrame, t: float) -> DataFrame:
     filed = written(n.select("entity_type", "name", F.explode(F.flatten(F.array(*(F.when(fits(k), gram(F.lit(k))).otherwise(F.array().cast("array<string>")) for k in (1, 2, 3))))).alias("gram")))
     held = filed.groupBy("entity_type", "gram").agg(F.count("*").alias("n"))
     own = filed.where(F.length("gram") == F.least(length, F.lit(3))).join(held, ["entity_type", "gram"])
-    rare = own.groupBy("entity_type", "name").agg(F.min(F.struct("n", "gram")).alias("rarest"))
-    a = rare.select("entity_type", F.col("rarest.gram").alias("gram"), F.col("name").alias("x"))
+    # the count and the place of the rarest as one number, which is aggregated by hashing
+    rare = own.groupBy("entity_type", "name").agg(F.min(F.shiftleft(F.col("n"), 24).bitwiseOR(F.instr("name", F.col("gram")))).alias("rarest"))
+    gram_of = F.substring("name", F.col("rarest").bitwiseAND((1 << 24) - 1).cast("int"), F.least(length, F.lit(3)))
+    a = rare.select("entity_type", gram_of.alias("gram"), F.col("name").alias("x"))
     b = filed.select("entity_type", "gram", F.col("name").alias("y"))
     m, n_ = F.length("x"), F.length("y")
     near = (m < n_) & F.contains("y", "x")

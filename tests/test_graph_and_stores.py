@@ -4,6 +4,7 @@ import random
 import sqlite3
 import tarfile
 import zipfile
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
@@ -319,6 +320,19 @@ def test_renamed_edges_by_mentions_look_up_each_spelling_once(spark, spelled):
     assert max(looked) <= entities.spellings(df).select("spelling").distinct().count()
 
 
+def test_rarest_grams_are_found_without_sorting(spark, spelled, monkeypatch):
+    df, _ = spelled
+    looked = []
+    monkeypatch.setattr(entities, "in_tiles", lambda left, right, on, mark: looked.append(right) or left.join(right, on))
+    n = entities.names(df).select("entity_type", "name").unionByName(spark.createDataFrame([("x", "aé"), ("x", "日本é日本"), ("x", "𝒜𝒜b𝒜𝒜c")], "entity_type string, name string"))
+    entities._contained(n, 0.85)
+    assert "SortAggregate" not in looked[0]._jdf.queryExecution().sparkPlan().toString()
+    got = {r["x"]: r["gram"] for r in looked[0].collect()}
+    grams = {r["name"]: {r["name"][i : i + 3] for i in range(max(1, len(r["name"]) - 2))} for r in n.collect()}
+    held = Counter(g for x in grams.values() for g in x)
+    assert got.keys() == grams.keys() and all(got[x] in grams[x] and held[got[x]] == min(held[g] for g in grams[x]) for x in got)
+
+
 def test_resolved_triples(spark):
     data = [
         (1, "Dr Ada", "knows", "Engine", "d"), (2, "He", "built", "it", "d"), (3, "Nobody", "saw", "Engine", "d"), (4, "they", "own", "Mill", "d"), (5, "she", "sees", "Engine", "d"),
