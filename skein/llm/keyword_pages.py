@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from skein.plans.tables import written
 
-from .words import _BASE, Words, mix, slices
+from .words import _BASE, Words, letters_in, mix, slices
 
 LINK = re.compile(r"<a\s[^>]*>[^<]*</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)[^\s<>\"')\]]+|(?<![\w@./-])[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}/[^\s<>\"')\]]*", re.IGNORECASE)
 TAG = re.compile(r"#[^\W_]+")
@@ -46,20 +46,25 @@ def masked(words: Words) -> np.ndarray:
     """Hashes of the words, all words with digits alike."""
     if not len(words.h):
         return words.h
-    digit = np.zeros(len(words.points) + 1, np.int64)
-    np.cumsum((words.points >= 48) & (words.points <= 57), out=digit[1:])
-    return np.where(digit[words.end] > digit[words.start], NUMBER, words.h)
+    out = words.h.copy()
+    out[np.searchsorted(words.start, np.flatnonzero((words.points >= 48) & (words.points <= 57)), "right") - 1] = NUMBER
+    return out
 
 
 def pairs(h: np.ndarray) -> np.ndarray:
     return mix(h[:-1] * _BASE + h[1:]) if len(h) > 1 else np.zeros(0, np.uint64)
 
 
-def _held(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Each hash once for each text that holds it."""
-    order = np.lexsort((h, doc))
-    d, x = doc[order], h[order]
-    return x[np.concatenate(([True], (d[1:] != d[:-1]) | (x[1:] != x[:-1])))] if len(x) else x
+def _held(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes and how many texts hold each."""
+    if not len(h):
+        return h, np.zeros(0, np.int64)
+    order = np.argsort(h)
+    x, many = h[order], int(doc.max()) + 1
+    new = np.concatenate(([True], x[1:] != x[:-1]))
+    both = (np.cumsum(new) - 1) * many + doc[order]
+    both.sort()
+    return x[new], np.bincount(both[np.concatenate(([True], both[1:] != both[:-1]))] // many)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,10 +86,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = Words(texts[lo:hi])
             h = masked(words)
             same = words.doc[1:] == words.doc[:-1]
-            for kind, x in ((0, _held(words.doc, h)), (1, _held(words.doc[:-1][same], pairs(h)[same]))):
-                held += len(x) * (kind == 0)
-                kept[kind].append(np.unique(x, return_counts=True))
-                size += len(kept[kind][-1][0])
+            for kind, (x, many) in ((0, _held(words.doc, h)), (1, _held(words.doc[:-1][same], pairs(h)[same]))):
+                held += int(many.sum()) * (kind == 0)
+                kept[kind].append((x, many))
+                size += len(x)
             if size > 3_000_000:
                 yield from flush()
                 size = 0
@@ -103,17 +108,28 @@ class Counts:
         """How many texts hold each pair; 0 if it isn't supported."""
         if not len(self.pair_keys):
             return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == keys, self.pair_counts[at], 0)
+        if self.marks is None:  # most pairs are told by the first bits of their hashes not to be supported
+            self.marks = np.zeros(1 << 22, bool)
+            self.marks[self.pair_keys >> np.uint64(42)] = True
+        out = np.zeros(len(keys), np.int64)
+        able = np.flatnonzero(self.marks[keys >> np.uint64(42)])
+        at = np.minimum(np.searchsorted(self.pair_keys, keys[able]), len(self.pair_keys) - 1)
+        out[able] = np.where(self.pair_keys[at] == keys[able], self.pair_counts[at], 0)
+        return out
 
+    marks: np.ndarray | None = None
 
     def pmi(self, h: np.ndarray, support: np.ndarray) -> np.ndarray:
         """The pointwise mutual information of each word with the next; 0 where the pair is not supported."""
         if not len(self.word_keys):
             return np.zeros(len(support))
-        at = np.minimum(np.searchsorted(self.word_keys, h), len(self.word_keys) - 1)
-        df = np.maximum(np.where(self.word_keys[at] == h, self.word_counts[at], 3), 3).astype(float)
-        return np.where(support > 0, np.maximum(0, np.log(np.maximum(support, 1) * max(1, self.held) / (df[:-1] * df[1:]))), 0.0)
+        out, told = np.zeros(len(support)), np.flatnonzero(support > 0)
+        df = []
+        for x in (h[told], h[told + 1]):
+            at = np.minimum(np.searchsorted(self.word_keys, x), len(self.word_keys) - 1)
+            df.append(np.maximum(np.where(self.word_keys[at] == x, self.word_counts[at], 3), 3).astype(float))
+        out[told] = np.maximum(0, np.log(support[told] * max(1, self.held) / (df[0] * df[1])))
+        return out
 
     def rarity(self, support: np.ndarray) -> np.ndarray:
         """The pointwise mutual information of a text with a pair it holds."""
@@ -144,33 +160,42 @@ def corpus_counts(df: DataFrame, id_col: str, text_col: str, pair_share: float,
     return Counts(total, sums.get(1, 0), max(1.0, pair_share * total), key[word], many[word], key[pair], many[pair])
 
 
-def _flags(points: np.ndarray, chars: str) -> np.ndarray:
-    return np.isin(points, [ord(c) for c in chars])
+SPACE, END, CLOSING, BREAKS, LINE = 1, 2, 4, 8, 16
 
 
 @lru_cache(1)
-def _spaces() -> np.ndarray:
-    return np.array([i for i in range(0x3001) if chr(i).isspace()], np.uint32)
+def _kinds() -> np.ndarray:
+    """What each code point below 65,536 is, as bits; none of those beyond is anything."""
+    out = np.zeros(1 << 16, np.uint8)
+    out[[i for i in range(0x3001) if chr(i).isspace()]] |= SPACE
+    for bit, chars in ((END, ".?!。！？…"), (CLOSING, "\"'”’»)"), (BREAKS, ",;:|/()[]{}•*·–—!?.\n"), (LINE, "\n")):
+        out[[ord(c) for c in chars]] |= bit
+    return out
 
 
 def _ends(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Whether ``STOP`` and whether ``BREAK`` is found between each word and the next."""
     points = words.raw
-    space = np.isin(points, _spaces())
-    place = np.zeros(len(points) + 1, np.int64)
-    place[words.start] += 1
-    np.subtract.at(place, words.end, 1)
-    inside = np.cumsum(place) > 0
-    stop, closing = _flags(points, ".?!。！？…"), _flags(points, "\"'”’»)")
-    other = np.maximum.accumulate(np.where(~closing, np.arange(len(points)), -1))
-    closed = stop | closing & (other >= 0) & stop[np.maximum(other, 0)]
-    after = np.concatenate((space[1:], [True])) | inside[1:]
-    ended = (points == 10) | closed & after
-    dash = (points == 45) & np.concatenate(([False], space[:-1])) & np.concatenate((space[1:], [False]))
-    broken = _flags(points, ",;:|/()[]{}•*·–—!?.\n") | dash
+    top = int(points.max(initial=0))
+    kind = _kinds()[points if top < 1 << 16 else np.where(points < 1 << 16, points, 0)]
+    ended = (kind & LINE) > 0
+    space = (kind & SPACE) > 0
+    after = np.concatenate((space[1:] | letters_in(points[1:]), [True]))  # the next is white space or in a word
+    ended[(kind & END) > 0] |= after[(kind & END) > 0]
+    closing = np.flatnonzero(kind & CLOSING)
+    if len(closing):  # signs that close a sentence count with what stands before them all
+        begin = np.concatenate(([True], closing[1:] != closing[:-1] + 1))
+        other = (closing[begin] - 1)[np.cumsum(begin) - 1]
+        closed = (other >= 0) & ((kind[np.maximum(other, 0)] & END) > 0)
+        ended[closing[closed & after[closing]]] = True
+    broken = (kind & BREAKS) > 0
+    dash = np.flatnonzero(points == 45)
+    dash = dash[(dash > 0) & (dash < len(points) - 1)]
+    broken[dash[space[dash - 1] & space[dash + 1]]] = True
 
     def between(mark: np.ndarray) -> np.ndarray:
-        n = np.concatenate(([0], np.cumsum(mark)))
+        n = np.zeros(len(mark) + 1, np.int32)
+        np.cumsum(mark, dtype=np.int32, out=n[1:])
         return n[words.start[1:]] > n[words.end[:-1]]
 
     return between(ended), between(broken)
@@ -190,8 +215,14 @@ def suspects(texts: list[str], counts: Counts, share: float = 0.5, repeats: int
     h = masked(words)
     g = pairs(h)
     inner = words.doc[:-1] == words.doc[1:]
-    _, at, many = np.unique(mix(g + words.doc[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
-    again = (many[at] >= repeats) & inner
+    own = mix(g + words.doc[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    ordered = np.sort(own)
+    often = np.unique(ordered[repeats - 1 :][ordered[repeats - 1 :] == ordered[: max(0, len(ordered) - repeats + 1)]])
+    marks = np.zeros(1 << 20, bool)
+    marks[often >> np.uint64(44)] = True
+    able = np.flatnonzero(marks[own >> np.uint64(44)] & inner)
+    again = np.zeros(len(own), bool)
+    again[able[np.isin(own[able], often)]] = True
     support = counts.support(g)
     pmi = np.where(inner & ~again, counts.pmi(h, support), 0.0)
     excess = np.zeros(len(h))

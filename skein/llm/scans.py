@@ -501,7 +501,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n += len(texts)
         for lo, hi in slices(texts):
             words = Words(texts[lo:hi])
-            kept.append(np.unique(_held(words.doc, words.h), return_counts=True))
+            kept.append(_held(words.doc, words.h))
         if sum(len(k) for k, _ in kept) > 2_000_000:
             yield from flush()
     yield from flush()

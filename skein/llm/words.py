@@ -31,6 +31,11 @@ def _classes(top: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables[size]
 
 
+def letters_in(points: np.ndarray) -> np.ndarray:
+    """Whether each code point belongs to words."""
+    return _classes(int(points.max(initial=0)))[0][points]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
@@ -60,7 +65,7 @@ class Words:
         self.points = low[self.raw]
         edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
         self.start, self.end = edge[::2], edge[1::2]
-        self.doc = np.searchsorted(self.first, self.start, "right") - 1
+        self.doc = np.repeat(np.arange(self.n), np.diff(np.searchsorted(self.start, self.first), append=len(self.start)))
         self.h = self._hashes(inside)
 
     def _hashes(self, inside: np.ndarray) -> np.ndarray:

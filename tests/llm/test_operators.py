@@ -308,6 +308,30 @@ def test_scans(spark):
     assert scans.scan_lines(df.limit(0), "k", "body").count() == 0
 
 
+def test_counts_and_ends_of_many_texts(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("ab1é日𝒜 .?!\"'”),;-—\n\t"), rng.integers(0, 60))) for _ in range(400)] + ["", "a", "a. \"b\".c -d - e…”"]
+    words = Words(texts)
+    keys, many = kp._held(words.doc, words.h)
+    held = {}
+    for d, h in zip(words.doc.tolist(), words.h.tolist(), strict=True):
+        held.setdefault(h, set()).add(d)
+    assert dict(zip(keys.tolist(), many.tolist(), strict=True)) == {h: len(d) for h, d in held.items()} and sum(many) < len(words.h)
+    assert len(kp._held(words.doc[:0], words.h[:0])[1]) == 0
+    ended, broken = kp._ends(words)
+    whole = "\n".join(texts)
+    gaps = [(whole[a:b], whole[a : b + 1]) for a, b in zip(words.end[:-1], words.start[1:], strict=True)]
+    assert broken.tolist() == [bool(kp.BREAK.search(x)) for x, _ in gaps]
+    assert all(e or not kp.STOP.search(x) for e, (x, _) in zip(ended.tolist(), gaps, strict=True)) and 0 < ended.sum() < len(ended)
+    told = np.sort(kp.pairs(words.h)[:5])
+    counts = kp.Counts(9, 9, 1.0, told[:0], np.zeros(0, np.int64), told, np.arange(1, 6))
+    asked = rng.integers(0, 1 << 63, 100_000).astype(np.uint64)
+    looked, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest, **kw: looked.append(np.size(v)) or search(a, v, *rest, **kw))
+    got = counts.support(np.concatenate((asked, told)))
+    assert got[-5:].tolist() == [1, 2, 3, 4, 5] and not got[:-5].any() and sum(looked) < 100
+
+
 def test_scans_ask_for_many_words_at_once(monkeypatch):
     made, words = [], Words
     monkeypatch.setattr(scans, "Words", lambda texts: made.append(1) or words(texts))
